@@ -90,8 +90,9 @@ def previous_in_order(
     )
 
 
-RADIX = 16
-LEVELS = 14  # 16 ** 14 microseconds cover 2,283 years
+RADIX_BITS = 2
+# Microseconds per unit of interval bounds, and the bits that 9999 years of it take.
+UNITS = {"day": (86_400_000_000, 22), "second": (1_000_000, 39), "microsecond": (1, 59)}
 
 
 def _micros(c: Column) -> Column:
@@ -101,36 +102,55 @@ def _micros(c: Column) -> Column:
     )
 
 
-def _blocks(start: Column, stop: Column) -> Column:
-    """Cover ``[start, stop)`` by aligned blocks of size 16**level, as an array of structs."""
+def _bound(c: Column, unit: str) -> Column:
+    """An interval bound in whole units; a bound inside a unit fails the job."""
+    size = UNITS[unit][0]
+    micros = _micros(c)
+    return F.when(
+        F.pmod(micros, F.lit(size).cast("bigint")) != 0,
+        F.raise_error(F.lit(f"interval bound is not a whole {unit}")).cast("bigint"),
+    ).otherwise(_whole(micros, size))
+
+
+def _whole(micros: Column, size: int) -> Column:
+    """Whole units, by integer division; ``micros`` is never negative."""
+    return F.call_function("div", micros, F.lit(size).cast("bigint"))
+
+
+def _levels(unit: str) -> int:
+    return -(-UNITS[unit][1] // RADIX_BITS) + 1
+
+
+def _blocks(start: Column, stop: Column, unit: str) -> Column:
+    """Cover ``[start, stop)`` by aligned blocks of 4**level units, as an array of structs.
+
+    A level holds what its own blocks can cover and blocks of the next level cannot: at
+    most three blocks at either end.
+    """
+    empty = F.array().cast("array<bigint>")
+
+    def run(a: Column, b: Column) -> Column:
+        return F.when(a < b, F.sequence(a, b - 1)).otherwise(empty)
 
     def level_blocks(level: int) -> Column:
-        size = RADIX**level
-        left, right = _ceil_div(start, size), _floor_div(stop, size)
-        up, down = _ceil_div(left, RADIX), _floor_div(right, RADIX)
-        nested = up < down
-
-        def run(a: Column, b: Column) -> Column:
-            empty = F.array().cast("array<bigint>")
-            return F.when(a < b, F.sequence(a, b - 1)).otherwise(empty)
-
-        numbers = F.when(
-            nested, F.concat(run(left, up * RADIX), run(down * RADIX, right))
-        ).otherwise(run(left, right))
+        left, right = _ceil_shift(start, level), _floor_shift(stop, level)
+        inner_left, inner_right = _ceil_shift(start, level + 1), _floor_shift(stop, level + 1)
+        width = 1 << RADIX_BITS
+        edges = F.concat(run(left, inner_left * width), run(inner_right * width, right))
+        numbers = F.when(inner_left < inner_right, edges).otherwise(run(left, right))
         return F.transform(
             numbers, lambda n: F.struct(F.lit(level).alias("level"), n.alias("block"))
         )
 
-    return F.flatten(F.array(*[level_blocks(k) for k in range(LEVELS)]))
+    return F.flatten(F.array(*[level_blocks(k) for k in range(_levels(unit))]))
 
 
-def _floor_div(c: Column, size: int) -> Column:
-    """Whole division by a power of two; both sides are non-negative."""
-    return F.shiftright(c, size.bit_length() - 1)
+def _floor_shift(c: Column, level: int) -> Column:
+    return F.shiftright(c, RADIX_BITS * level)
 
 
-def _ceil_div(c: Column, size: int) -> Column:
-    return F.shiftright(c + F.lit(size - 1).cast("bigint"), size.bit_length() - 1)
+def _ceil_shift(c: Column, level: int) -> Column:
+    return F.shiftright(c + F.lit((1 << (RADIX_BITS * level)) - 1).cast("bigint"), RADIX_BITS * level)
 
 
 def best_at(
@@ -144,45 +164,46 @@ def best_at(
     valid_until: str,
     order: Sequence[Column],
     payload: Sequence[str],
+    unit: str = "microsecond",
 ) -> DataFrame:
     """The winning interval of each point's key at the point's instant, if any.
 
     An interval ``[valid_from, valid_until)`` (a null end is open) is cut into aligned
-    blocks of 16**level microseconds, at most 30 per level; each (key, level, block) keeps
-    only its winner, the least by ``order``. A point lies in one block per level, looks up
-    at most ``LEVELS`` winners and takes the best. Work is linear in both tables even if
-    one key holds most of both.
+    blocks of 4**level units; each (key, level, block) keeps only its winner, the least by
+    ``order``, which must be free of ties. A point lies in one block per level, so it looks
+    up one winner per level and takes the best. Work is linear in both tables even if one
+    key holds most of both, where pairing points with intervals would be quadratic.
+
+    ``unit`` is what interval bounds are whole multiples of: the coarser, the fewer levels.
+    Points may fall anywhere.
     """
-    first, last = F.lit(0).cast("bigint"), F.lit(RADIX**LEVELS - 1).cast("bigint")
-    spans = intervals.withColumn("_start", F.coalesce(_micros(F.col(valid_from)), first))
-    spans = spans.withColumn("_stop", F.coalesce(_micros(F.col(valid_until)), last))
+    levels = _levels(unit)
+    first = F.lit(0).cast("bigint")
+    last = F.lit(1 << (RADIX_BITS * (levels - 1))).cast("bigint")
     keys = [f"_k{i}" for i in range(len(interval_key))]
     winners = (
-        spans.filter(F.col("_start") < F.col("_stop"))
+        intervals.withColumn("_start", F.coalesce(_bound(F.col(valid_from), unit), first))
+        .withColumn("_stop", F.coalesce(_bound(F.col(valid_until), unit), last))
+        .filter(F.col("_start") < F.col("_stop"))
         .select(
             *[F.col(c).alias(k) for c, k in zip(interval_key, keys)],
             F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_order"),
             F.struct(*payload).alias("_payload"),
-            F.inline(_blocks(F.col("_start"), F.col("_stop"))).alias("level", "block"),
+            F.inline(_blocks(F.col("_start"), F.col("_stop"), unit)),
         )
         .groupBy(*keys, "level", "block")
         .agg(F.min(F.struct("_order", "_payload")).alias("_best"))
     )
     steps = F.array(
         *[
-            F.struct(
-                F.lit(k).alias("level"),
-                _floor_div(F.col("_instant"), RADIX**k).alias("block"),
-            )
-            for k in range(LEVELS)
+            F.struct(F.lit(k).alias("level"), _floor_shift(F.col("_instant"), k).alias("block"))
+            for k in range(levels)
         ]
     )
     return (
-        points.withColumn("_instant", _micros(F.col(at)))
+        points.withColumn("_instant", _whole(_micros(F.col(at)), UNITS[unit][0]))
         .select(
-            *point_id,
-            *[F.col(c).alias(k) for c, k in zip(point_key, keys)],
-            F.inline(steps).alias("level", "block"),
+            *point_id, *[F.col(c).alias(k) for c, k in zip(point_key, keys)], F.inline(steps)
         )
         .join(winners, [*keys, "level", "block"])
         .groupBy(*point_id)
