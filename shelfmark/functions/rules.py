@@ -162,8 +162,8 @@ def relationship_state(c: Column) -> Column:
     return looked_up(text.norm_name(c), RELATIONSHIPS, "unknown")
 
 
-FORMERLY = r"(?is)^(.+?)\s+\(formerly\s+(.+?)\)$"
-BY_VENDOR = r"(?is)^(.+?)\s+by\s+(.+)$"
+FORMERLY = r"(?i)^(.+?)\s+\(formerly\s+(.+?)\)$"
+BY_VENDOR = r"(?i)^(.+?)\s+by\s+(.+)$"
 
 
 def split_display_name(c: Column) -> Column:

@@ -25,6 +25,20 @@ def _nfkc_fold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_fold_all(values: pd.Series) -> pd.Series:
+    def fold(items):
+        return [i if i is None else unicodedata.normalize("NFKC", i) for i in items]
+
+    return values.map(fold, na_action="ignore")
+
+
+def nfkc_all(c: Column) -> Column:
+    """``nfkc`` over an array of texts; arrays of plain ASCII bypass Python."""
+    odd = F.exists(c, lambda t: F.coalesce(t.rlike(r"[^\x00-\x7F]"), F.lit(False)))
+    return F.coalesce(_nfkc_fold_all(F.when(odd, c)), c)
+
+
 def nfkc(c: Column) -> Column:
     """Unicode compatibility composition; ASCII values bypass Python."""
     return F.coalesce(_nfkc_fold(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)

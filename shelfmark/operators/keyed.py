@@ -63,6 +63,20 @@ def sole_match(df: DataFrame, keys: Sequence[str], identifier: str, *carried: st
     )
 
 
+def spread_nulls(key: Column, row: Column) -> Column:
+    """``key``, or a value no lookup holds that differs per row.
+
+    Rows without a key would otherwise meet in one task of an outer join.
+    """
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\x00"), row.cast("string")))
+
+
+def left_lookup(df: DataFrame, lookup: DataFrame, key: Column, row: str) -> DataFrame:
+    """Left join with a lookup whose column ``_key`` is unique; keys may be null."""
+    keyed = df.withColumn("_key", spread_nulls(key, F.col(row)))
+    return keyed.join(lookup, "_key", "left").drop("_key")
+
+
 def previous_in_order(
     df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str, into: str
 ) -> DataFrame:
