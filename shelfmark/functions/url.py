@@ -9,7 +9,7 @@ from __future__ import annotations
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -211,7 +211,12 @@ def _joined(reference: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(r, b) for r, b in zip(reference, base)], dtype="object")
 
 
-def resolve_asset_url(reference: Column, page_url: Column) -> Column:
-    """Absolute public URL of an asset named on a page, without fragment; else null."""
-    absolute = _joined(reference, page_url)
-    return F.when(public_url(absolute), absolute)
+# Declared so that the optimiser keeps the call where it stands and runs it once per row.
+_absolute = _joined.asNondeterministic()
+
+
+def resolve_asset_url(df: DataFrame, into: str, reference: Column, page_url: Column) -> DataFrame:
+    """Adds the absolute public URL of an asset named on a page, without fragment, or null."""
+    located = df.withColumn("_absolute", _absolute(reference, page_url))
+    public = F.when(public_url(F.col("_absolute")), F.col("_absolute"))
+    return located.withColumn(into, public).drop("_absolute")
