@@ -6,7 +6,7 @@ punycoded, and dot segments in paths are left as written.
 
 from __future__ import annotations
 
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -195,6 +195,10 @@ def official_source(source_domain: Column, official_domain: Column) -> Column:
     )
 
 
+# Fixed value: punctuation a path keeps as written; anything else is percent-encoded.
+PATH_KEPT = "/%!$&'()*+,-.:;=@[]_|~"
+
+
 @F.pandas_udf(T.StringType())
 def _joined(reference: pd.Series, base: pd.Series) -> pd.Series:
     def one(ref: str | None, page: str | None) -> str | None:
@@ -203,7 +207,10 @@ def _joined(reference: pd.Series, base: pd.Series) -> pd.Series:
         try:
             absolute = urlsplit(urljoin(page, ref.strip()))
             return absolute._replace(
-                netloc=absolute.netloc.lower().removesuffix(":443"), path=absolute.path or "/", fragment=""
+                netloc=absolute.netloc.lower().removesuffix(":443"),
+                path=quote(absolute.path or "/", safe=PATH_KEPT),
+                query=quote(absolute.query, safe=PATH_KEPT + "?"),
+                fragment="",
             ).geturl()
         except ValueError:
             return None
