@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import rules, text
+from shelfmark.session import cut_lineage
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -21,6 +22,19 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counted.filter(F.col("duplicate_count") > 1)
 
 
+def members_of_repeated(marked: DataFrame, key: str, identifier: str) -> DataFrame:
+    """Rows whose key repeats, with the number of copies and the first of them.
+
+    Members stay rows: a group holding a third of the table is never collected. ``marked``
+    is computed once and kept, as a key is usually a digest of something large.
+    """
+    kept = cut_lineage(marked)
+    groups = kept.groupBy(key).agg(
+        F.count(F.lit(1)).alias("copies"), F.min(identifier).alias("first_copy")
+    )
+    return kept.join(groups.filter("copies > 1"), key)
+
+
 def duplicate_names(df: DataFrame, name: str) -> DataFrame:
     named = df.filter(~text.is_blank(F.col(name)))
     normal = named.select(F.lower(F.trim(name)).alias("normalized_name"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as norm
+from shelfmark.session import cut_lineage
 
 LONGEST_GRAM = 5
 
@@ -72,7 +73,8 @@ def containment_join(
 
     body = texts.select(F.col(text_id).alias("_t"), normal(F.col(text)).alias("_text"))
     emitted = F.flatten(F.array(F.array().cast("array<bigint>"), *[_of_kind(k) for k in kinds]))
-    runs = (
+    # Texts are split into runs once; what is kept are the few runs some quote asks for.
+    runs = cut_lineage(
         _tokens(body, "_text")
         .select("_t", F.explode(emitted).alias("_gram"))
         .join(wanted.select("_gram").distinct(), "_gram", "left_semi")

@@ -17,7 +17,7 @@ WORDS = r"trim(regexp_replace(replace(lower(text), '&', ' and '), '[^\p{L}\p{N}]
 
 def _documents(spark: SparkSession, sf: str, value: Column) -> DataFrame:
     """Each text's result as a digest: whole texts, short rows."""
-    return table(spark, sf, "documents").select("doc_id", F.sha2(value, 256).alias("digest"))
+    return table(spark, sf, "documents", spread="doc_id").select("doc_id", F.sha2(value, 256).alias("digest"))
 
 
 def _digest(sql: str) -> str:
@@ -135,7 +135,7 @@ SORTED_QUERY = r"""array_to_string(list_sort(list_filter(
 
 
 def _pages(spark: SparkSession, sf: str, **columns: Column) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", *[c.alias(n) for n, c in columns.items()])
+    return table(spark, sf, "pages", spread="page_id").select("page_id", *[c.alias(n) for n, c in columns.items()])
 
 
 @query("norm_domain", f"select page_id, {BARE} as identity, case when url like 'https:%' then {BARE} end as discovery from pages")
@@ -262,7 +262,7 @@ def official_source(spark: SparkSession, sf: str) -> DataFrame:
       count(*) as n from links group by all""",
 )
 def resolve_asset_url(spark: SparkSession, sf: str) -> DataFrame:
-    links = table(spark, sf, "pages").select(
+    links = table(spark, sf, "pages", spread="page_id").select(
         "page_id", "url", F.explode(html.tags(F.col("html"), "a")).alias("tag")
     )
     named = links.withColumn("ref", html.html_attrs(F.col("tag"))["href"])
@@ -414,7 +414,7 @@ LEGAL = rules.LEGAL_WORDS.replace("'", "''")
     f"select doc_id, regexp_matches(text, '{LEGAL}', 'i') as legal from documents",
 )
 def legal_label(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", spread="doc_id").select(
         "doc_id", rules.legal_label(F.col("text")).alias("legal")
     )
 
@@ -447,7 +447,7 @@ _GROUP_SQL = " ".join(
     f"select doc_id, case {_GROUP_SQL} else '{rules.DEFAULT_GROUP}' end as grouped from documents",
 )
 def category_group(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", spread="doc_id").select(
         "doc_id", rules.category_group(F.col("text")).alias("grouped")
     )
 
@@ -458,7 +458,7 @@ def category_group(spark: SparkSession, sf: str) -> DataFrame:
     % "|".join(html.REJECTED_WORDS),
 )
 def rejected_asset(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", spread="doc_id").select(
         "doc_id", html.rejected_asset(F.col("text")).alias("rejected")
     )
 
@@ -484,7 +484,7 @@ def identity_signal(spark: SparkSession, sf: str) -> DataFrame:
 )
 def html_attrs(spark: SparkSession, sf: str) -> DataFrame:
     tags = F.regexp_extract_all("html", F.lit(r"(?i)<(?:a|div|meta|html)\b[^>]*>"), F.lit(0))
-    rows = table(spark, sf, "pages").select("page_id", F.explode(tags).alias("tag"))
+    rows = table(spark, sf, "pages", spread="page_id").select("page_id", F.explode(tags).alias("tag"))
     attributes = rows.select("page_id", html.html_attrs(F.col("tag")).alias("a"))
     named = [F.try_element_at("a", F.lit(n)) for n in ("href", "class", "lang", "charset")]
     return (
@@ -553,7 +553,7 @@ def image_header(spark: SparkSession, sf: str) -> DataFrame:
 def tag_inventory(spark: SparkSession, sf: str) -> DataFrame:
     names = F.regexp_extract_all("html", F.lit("<([a-zA-Z][a-zA-Z0-9]*)"), F.lit(1))
     return (
-        table(spark, sf, "pages")
+        table(spark, sf, "pages", spread="page_id")
         .select("page_id", F.explode(names).alias("tag"))
         .groupBy("page_id", F.lower("tag").alias("tag"))
         .agg(F.count(F.lit(1)).alias("n"))
@@ -565,7 +565,7 @@ def tag_inventory(spark: SparkSession, sf: str) -> DataFrame:
     "select page_id, url, length(html) as characters, sha256(html) as digest from pages",
 )
 def page_source(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select(
+    return table(spark, sf, "pages", spread="page_id").select(
         "page_id", "url", F.length("html").cast("long").alias("characters"),
         F.sha2("html", 256).alias("digest"),
     )

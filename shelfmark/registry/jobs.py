@@ -57,7 +57,7 @@ def backfill_links(spark: SparkSession, sf: str) -> DataFrame:
     shouted = F.concat(
         F.lit(" "), F.upper(F.substring("url", 1, 9)), F.expr("substring(url, 10)"), F.lit("/ ")
     )
-    pages = table(spark, sf, "pages")
+    pages = table(spark, sf, "pages", spread="page_id")
     programs = pages.select(
         F.col("page_id").alias("software_id"),
         F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("affiliate_program_id"),
@@ -241,7 +241,8 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     The text is the evidence. Name, vendor and category quote its beginning, the
     description its first line, the capability quotes the benchmark passage of the same id.
     """
-    documents, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    documents = table(spark, sf, "documents", spread="doc_id")
+    labels = table(spark, sf, "labels")
     passages = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("doc_id"), F.col("text").alias("passage")
     )
@@ -717,7 +718,7 @@ def _crawl(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     picture and plain http pages are unsafe.
     """
     language = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
-    pages = table(spark, sf, "pages").select(
+    pages = table(spark, sf, "pages", spread="page_id").select(
         "page_id",
         F.col("url").alias("page_url"),
         "html",

@@ -28,7 +28,8 @@ def link_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.lpad(F.col("l_suppkey").cast("string"), 8, "0"),
         F.date_format("l_shipdate", "yyyyMMdd"),
     )
-    return table(spark, sf, "lineitem").select(
+    # Lines have no unique column of their own; their price is spread widely enough.
+    return table(spark, sf, "lineitem", spread="l_extendedprice").select(
         F.col("l_partkey").alias("software_id"),
         identifier.alias("affiliate_link_id"),
         F.col("l_orderkey").alias("affiliate_program_id"),
@@ -293,7 +294,7 @@ def same_name_other_owner(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hosts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select(
+    return table(spark, sf, "pages", spread="page_id").select(
         "page_id", url.domain_text(F.col("url")).alias("domain")
     )
 
@@ -339,7 +340,7 @@ def lateral_unnest(spark: SparkSession, sf: str) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), F.lit(1))
     encoded = F.to_json(F.transform(found, lambda t: F.struct(t.alias("tag"))))
     return (
-        table(spark, sf, "pages")
+        table(spark, sf, "pages", spread="page_id")
         .select("page_id", encoded.alias("rows"))
         .select("page_id", F.inline(F.from_json("rows", "array<struct<tag: string>>")))
     )
@@ -355,7 +356,7 @@ def lateral_unnest(spark: SparkSession, sf: str) -> DataFrame:
 )
 def quote_support(spark: SparkSession, sf: str) -> DataFrame:
     return containment_join(
-        table(spark, sf, "benchmark"), table(spark, sf, "documents"),
+        table(spark, sf, "benchmark"), table(spark, sf, "documents", spread="doc_id"),
         "item_id", "text", "doc_id", "text", unicode=False,
     )
 

@@ -46,7 +46,8 @@ def _record(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("p_size") < 30, "Approved").alias("relationship"),
         F.struct(F.lit("CPA").alias("model")).alias("commission"),
     )
-    return table(spark, sf, "part").select(key.alias("input_index"), F.to_json(record).alias("json"))
+    part = table(spark, sf, "part", spread="p_partkey")
+    return part.select(key.alias("input_index"), F.to_json(record).alias("json"))
 
 
 CANDIDATES = """c as (

@@ -298,13 +298,10 @@ def coverage_report(spark: SparkSession, sf: str) -> DataFrame:
     from f qualify copies > 1""",
 )
 def duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
-    marked = table(spark, sf, "documents").select(
+    marked = table(spark, sf, "documents", spread="doc_id").select(
         "doc_id", F.sha2(text.norm_space(F.col("text")), 256).alias("fingerprint")
     )
-    groups = marked.groupBy("fingerprint").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_copy")
-    )
-    return marked.join(groups.filter("copies > 1"), "fingerprint")
+    return checks.members_of_repeated(marked, "fingerprint", "doc_id")
 
 
 @query(
@@ -331,7 +328,7 @@ def batch_first_wins(spark: SparkSession, sf: str) -> DataFrame:
     from shelfmark.plans.gate import mark_repeats
 
     digest = F.sha2(text.norm_space(F.col("text")), 256)
-    rows = table(spark, sf, "documents").select(
+    rows = table(spark, sf, "documents", spread="doc_id").select(
         "doc_id", F.when(F.col("lang") != "de", digest).alias("provider_key")
     )
     return mark_repeats(rows, "provider_key", "doc_id").select("doc_id", "repeated")
@@ -366,20 +363,10 @@ def previous_page(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "stable_sort",
-    """select p_partkey, row_number() over (order by p_retailprice desc, p_partkey) as position
-    from part qualify position <= 100""",
-)
+@query("stable_sort", "select p_partkey, p_retailprice from part")
 def stable_sort(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select("p_partkey", "p_retailprice")
-    first = part.orderBy(F.desc("p_retailprice"), "p_partkey").limit(100)
-    return keyed.top_per_key(
-        first.withColumn("_all", F.lit(1)),
-        ["_all"],
-        [F.desc("p_retailprice"), F.col("p_partkey")],
-        100,
-    ).select("p_partkey", "position")
+    return part.orderBy(F.desc("p_retailprice"), "p_partkey")
 
 
 @query(
