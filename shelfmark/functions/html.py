@@ -80,26 +80,24 @@ def tags(html: Column, name: str) -> Column:
 
 
 def html_attrs(tag: Column) -> Column:
-    """Attribute map of one tag; the last value of a repeated attribute stays."""
-    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), lambda n: F.lower(n))
+    """Attributes of one tag as ``array<struct<key, value>>``, in the order written."""
+    names = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1))
     values = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2))
-    bare = F.transform(
-        values,
-        lambda v: decode_entities(
-            F.when(v.rlike("""^".*"$|^'.*'$"""), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
-        ),
-    )
-    pairs = F.arrays_zip(names.alias("n"), bare.alias("v"))
-    final = F.filter(
-        F.transform(
-            pairs,
-            lambda p, i: F.struct(p["n"].alias("key"), p["v"].alias("value"), i.alias("at")),
-        ),
-        lambda p: ~F.exists(
-            F.transform(names, lambda n, i: (n == p["key"]) & (i > p["at"])), lambda later: later
-        ),
-    )
-    return F.map_from_entries(F.transform(final, lambda p: F.struct(p["key"], p["value"])))
+
+    def pair(name: Column, value: Column) -> Column:
+        quoted = value.rlike("""^".*"$|^'.*'$""")
+        bare = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        return F.struct(F.lower(name).alias("key"), decode_entities(bare).alias("value"))
+
+    return F.zip_with(names, values, pair)
+
+
+def attribute(attrs: Column, name: str) -> Column:
+    """Value of one attribute, the last if it repeats; null if absent.
+
+    ``attrs`` should be a stored column of ``html_attrs``.
+    """
+    return F.try_element_at(F.filter(attrs, lambda p: p["key"] == name), F.lit(-1))["value"]
 
 
 def rejected_asset(c: Column) -> Column:

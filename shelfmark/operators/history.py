@@ -34,7 +34,7 @@ def page_views(
         path, F.regexp_replace(F.col(path), r"[?#].*$", "")
     )
     looked = previous_in_order(
-        public, [session], F.date_trunc("day", F.col(at)), [at, identifier], path, "referrer"
+        public, [session], F.date_trunc("minute", F.col(at)), [at, identifier], path, "referrer"
     )
     return looked.filter(F.col("referrer").isNull() | (F.col("referrer") != F.col(path)))
 

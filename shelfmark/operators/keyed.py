@@ -77,27 +77,48 @@ def left_lookup(df: DataFrame, lookup: DataFrame, key: Column, row: str) -> Data
     return keyed.join(lookup, "_key", "left").drop("_key")
 
 
+HOT_ROWS = 5_000_000
+
+
 def previous_in_order(
-    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str, into: str
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: Column,
+    order: Sequence[str],
+    value: str,
+    into: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``lag(value)`` per key, computed bucket by bucket.
+    """``lag(value)`` per key; keys with more than ``hot_rows`` rows go bucket by bucket.
 
-    ``bucket`` must not decrease along ``order`` (a day, an hour). Rows look back inside
-    their bucket; the first row of a bucket takes the last value of the nearest earlier
-    bucket of its key, found in a table with one row per (key, bucket).
+    ``bucket`` must not decrease along ``order`` (a minute, say). Rows of a hot key look back
+    inside their bucket; the first row of a bucket takes the last value of the nearest
+    earlier bucket of its key, found in a table with one row per (hot key, bucket). Other
+    keys are a plain window.
     """
-    keyed = df.withColumn("_bucket", bucket)
+
+    def same(columns: Sequence[str]) -> list[Column]:
+        return [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in columns]
+
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # At most one hot key per ``hot_rows`` rows of the table.
+    hot = counted.filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    keyed = (
+        df.alias("l")
+        .join(hot.alias("r"), same(keys), "left")
+        .select("l.*", F.when(F.col("r._hot"), bucket).alias("_bucket"))
+    )
     within = W.partitionBy(*keys, "_bucket").orderBy(*order)
     along = W.partitionBy(*keys).orderBy("_bucket")
     last = (
-        keyed.groupBy(*keys, "_bucket")
+        keyed.filter(F.col("_bucket").isNotNull())
+        .groupBy(*keys, "_bucket")
         .agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
         .withColumn("_carry", F.lag("_last").over(along))
         .drop("_last")
     )
     looked = keyed.withColumn("_seen", F.lag(F.struct(value)).over(within))
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_bucket"]]
-    joined = looked.alias("l").join(last.alias("r"), on, "left")
+    joined = looked.alias("l").join(last.alias("r"), same([*keys, "_bucket"]), "left")
     return joined.select(
         *[F.col(f"l.{c}").alias(c) for c in df.columns],
         F.coalesce("_seen", "_carry")[value].alias(into),

@@ -557,7 +557,7 @@ def apply_verification(commands: DataFrame, software: DataFrame) -> tuple[DataFr
         software.select("software_id", F.col("verification_status").alias("_initial")), "software_id"
     )
     looked = previous_in_order(
-        valid, ["software_id"], F.date_trunc("day", F.col("at")), ["at", "command_id"], "kind", "_before"
+        valid, ["software_id"], F.date_trunc("minute", F.col("at")), ["at", "command_id"], "kind", "_before"
     )
     first_verify = (
         valid.filter("kind = 'verify' and _initial in ('needs_verification', 'failed', 'stale')")

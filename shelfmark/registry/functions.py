@@ -265,7 +265,7 @@ def resolve_asset_url(spark: SparkSession, sf: str) -> DataFrame:
     links = table(spark, sf, "pages", spread="page_id").select(
         "page_id", "url", F.explode(html.tags(F.col("html"), "a")).alias("tag")
     )
-    named = links.withColumn("ref", html.html_attrs(F.col("tag"))["href"])
+    named = links.withColumn("ref", html.attribute(html.html_attrs(F.col("tag")), "href"))
     resolved = url.resolve_asset_url(named, "resolved", F.col("ref"), F.col("url"))
     return (
         resolved.filter("ref is not null")
@@ -486,7 +486,7 @@ def html_attrs(spark: SparkSession, sf: str) -> DataFrame:
     tags = F.regexp_extract_all("html", F.lit(r"(?i)<(?:a|div|meta|html)\b[^>]*>"), F.lit(0))
     rows = table(spark, sf, "pages", spread="page_id").select("page_id", F.explode(tags).alias("tag"))
     attributes = rows.select("page_id", html.html_attrs(F.col("tag")).alias("a"))
-    named = [F.try_element_at("a", F.lit(n)) for n in ("href", "class", "lang", "charset")]
+    named = [html.attribute(F.col("a"), n) for n in ("href", "class", "lang", "charset")]
     return (
         attributes.select("page_id", F.coalesce(*named, F.lit("")).alias("value"))
         .groupBy("page_id", "value")

@@ -74,6 +74,7 @@ COUNT_LINE = r"(?m)^\*\*All programs\*\*([\d,]+) programs\s*$"
 CARD_IMAGE = r"(?m)^\[image\]\(https://company-images\.partnerstack\.com/[^)\r\n]+\)[^\S\n]*$"
 NOT_APPLIED = r"(?i)Programs not applied to yet\s+([\d,]+)"
 RELATIONSHIP_LINE = "(?i)^svg(?:Application pending|Application declined|Joined)$"
+STATED = r"(?im)^[^\S\n]*svg(?:Application pending|Application declined|Joined)[^\S\n]*$"
 BOLD_LINE = r"^\*\*(.+)\*\*$"
 MARKDOWN_SOURCE = "PartnerStack All Programs marketplace Markdown capture"
 
@@ -100,65 +101,82 @@ def parse_capture_text(files: DataFrame, content: str = "value") -> DataFrame:
         F.col("_blocks"),
         "The capture does not hold the number of program cards it declares.",
     )
-    cards = declared.select("file", "_declared", "_not_applied", F.transform(counted, _card).alias("_cards"))
-    stated = F.size(F.filter("_cards", lambda c: c["relationship"].isNotNull()))
+    stated = F.size(F.filter(F.col("_blocks"), lambda b: b.rlike(STATED)))
     fill = F.coalesce(F.col("_not_applied") + stated == F.col("_declared"), F.lit(False))
-    source = F.parse_json(
-        F.to_json(F.struct(F.lit(DEFAULT_KIND).alias("kind"), F.lit(MARKDOWN_SOURCE).alias("provenance")))
+    cards = declared.select(
+        "file", fill.alias("_fill"), F.posexplode(counted).alias("input_index", "_block")
     )
-    return (
-        cards.select("file", fill.alias("_fill"), F.posexplode("_cards").alias("input_index", "_card"))
-        .withColumn(
-            "_relationship",
-            F.coalesce("_card.relationship", F.when(F.col("_fill"), F.lit("Not applied"))),
-        )
-        .select(
-            "file",
-            source.alias("source"),
-            "input_index",
-            F.parse_json(
-                F.to_json(
-                    F.struct(
-                        F.col("_card.name").alias("name"),
-                        F.col("_card.description").alias("description"),
-                        F.when(
-                            F.col("_card.commission").isNotNull(),
-                            F.struct(
-                                F.col("_card.commission").alias("text"),
-                                commission_label(F.col("_card.commission")).alias("model"),
-                            ),
-                        ).alias("commission"),
-                        F.col("_relationship").alias("relationship"),
-                    )
+    source = F.to_json(
+        F.struct(F.lit(DEFAULT_KIND).alias("kind"), F.lit(MARKDOWN_SOURCE).alias("provenance"))
+    )
+    return _parsed_cards(cards).select(
+        "file",
+        F.parse_json(source).alias("source"),
+        "input_index",
+        F.parse_json(
+            F.to_json(
+                F.struct(
+                    F.col("_name").alias("name"),
+                    F.nullif(F.col("_description"), F.lit("")).alias("description"),
+                    F.when(
+                        F.col("_commission").isNotNull(),
+                        F.struct(
+                            F.col("_commission").alias("text"),
+                            commission_label(F.col("_commission")).alias("model"),
+                        ),
+                    ).alias("commission"),
+                    F.coalesce(
+                        "_relationship", F.when(F.col("_fill"), F.lit("Not applied"))
+                    ).alias("relationship"),
                 )
-            ).alias("record"),
-        )
+            )
+        ).alias("record"),
     )
 
 
-def _card(block: Column) -> Column:
-    """First bold line is the name, the second the commission, lines between the description."""
+def _parsed_cards(cards: DataFrame) -> DataFrame:
+    """First bold line is the name, the second the commission, lines between the description.
+
+    Each step is a column of its own: what a lambda refers to is computed once per card.
+    """
     lines = F.filter(
-        F.transform(F.split(block, r"\r?\n"), lambda s: text.strip(s)), lambda s: s != ""
+        F.transform(F.split("_block", r"\r?\n"), lambda s: text.strip(s)), lambda s: s != ""
+    )
+    numbered = F.transform("_lines", lambda s, i: F.struct(i.alias("at"), s.alias("line")))
+
+    def inside(n: str) -> Column:
+        return text.strip(F.regexp_extract(F.col(n)["line"], BOLD_LINE, 1))
+
+    located = (
+        cards.withColumn("_lines", lines)
+        .withColumn("_numbered", numbered)
+        .withColumns(
+            {
+                "_bold": F.filter("_numbered", lambda n: n["line"].rlike(BOLD_LINE)),
+                "_stated": F.filter("_numbered", lambda n: n["line"].rlike(RELATIONSHIP_LINE)),
+            }
+        )
+        .withColumns(
+            {"_first": F.get("_bold", 0), "_second": F.get("_bold", 1), "_state": F.get("_stated", 0)}
+        )
+        .withColumns(
+            {
+                "_from": F.col("_first.at"),
+                "_stop": F.coalesce("_second.at", "_state.at", F.size("_lines")),
+            }
+        )
     )
-    numbered = F.transform(lines, lambda s, i: F.struct(i.alias("at"), s.alias("line")))
-    bold = F.filter(numbered, lambda n: n["line"].rlike(BOLD_LINE))
-    stated = F.filter(numbered, lambda n: n["line"].rlike(RELATIONSHIP_LINE))
-    first, second, state = F.get(bold, 0), F.get(bold, 1), F.get(stated, 0)
-    stop = F.coalesce(second["at"], state["at"], F.size(lines))
     between = F.filter(
-        numbered, lambda n: (n["at"] > first["at"]) & (n["at"] < stop) & (n["line"] != "|")
+        "_numbered",
+        lambda n: (n["at"] > F.col("_from")) & (n["at"] < F.col("_stop")) & (n["line"] != "|"),
     )
-    words = F.array_join(F.transform(between, lambda n: n["line"]), " ")
-
-    def inside(n: Column) -> Column:
-        return text.strip(F.regexp_extract(n["line"], BOLD_LINE, 1))
-
-    return F.struct(
-        F.coalesce(inside(first), F.lit("")).alias("name"),
-        F.when(words != "", words).alias("description"),
-        inside(second).alias("commission"),
-        F.regexp_replace(state["line"], "(?i)^svg", "").alias("relationship"),
+    return located.withColumns(
+        {
+            "_name": F.coalesce(inside("_first"), F.lit("")),
+            "_description": F.array_join(F.transform(between, lambda n: n["line"]), " "),
+            "_commission": inside("_second"),
+            "_relationship": F.regexp_replace("_state.line", "(?i)^svg", ""),
+        }
     )
 
 

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,7 +71,8 @@ def test_best_interval_agrees_with_comparing_all(spark):
     assert {r["p"]: r["link"] for r in got.collect()} == expected
 
 
-def test_previous_in_order_looks_across_buckets(spark):
+@pytest.mark.parametrize("hot_rows", [0, 135, 10_000])
+def test_previous_in_order_looks_across_buckets(spark, hot_rows):
     rng = random.Random(8)
     rows = [
         (rng.choice(["s", "t", None]), i, START + dt.timedelta(hours=rng.randrange(400)),
@@ -85,7 +87,7 @@ def test_previous_in_order_looks_across_buckets(spark):
             before = v
     df = spark.createDataFrame(rows, "k string, i int, at timestamp_ntz, v string")
     got = keyed.previous_in_order(
-        df.repartition(5), ["k"], F.date_trunc("day", "at"), ["at", "i"], "v", "before"
+        df.repartition(5), ["k"], F.date_trunc("day", "at"), ["at", "i"], "v", "before", hot_rows
     )
     assert {r["i"]: r["before"] for r in got.collect()} == expected
 
