@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import rules, text
+from shelfmark.operators.keyed import fold_sorted
 from shelfmark.session import cut_lineage
 
 
@@ -136,13 +137,11 @@ def conflicting(df: DataFrame, key: str, value: str) -> DataFrame:
 def ordered_array(df: DataFrame, keys: Sequence[str], value: str, into: str) -> DataFrame:
     """Distinct values of each key in ascending order, joined by commas.
 
-    For values from a small vocabulary (column names, states, brands): they are made
-    distinct before they are collected, so an array is never longer than the vocabulary.
+    A key with very many values gives several rows, see ``fold_sorted``.
     """
-    distinct = df.select(*keys, value).distinct()
-    return distinct.groupBy(*keys).agg(
-        F.array_join(F.array_sort(F.collect_list(F.col(value).cast("string"))), ",").alias(into)
-    )
+    distinct = df.select(*keys, F.col(value).cast("string").alias(value)).distinct()
+    folded = fold_sorted(distinct, keys, F.col(value), into)
+    return folded.withColumn(into, F.array_join(into, ","))
 
 
 def count_by_class(df: DataFrame, column: str, classes: Sequence[str]) -> DataFrame:

@@ -78,6 +78,36 @@ def left_lookup(df: DataFrame, lookup: DataFrame, key: Column, row: str) -> Data
 
 
 HOT_ROWS = 5_000_000
+FOLD_LENGTH = 10_000
+
+
+def _same(columns: Sequence[str]) -> list[Column]:
+    return [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in columns]
+
+
+def with_hot_count(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """Adds ``_n``: the rows of the key if there are more than ``hot_rows``, else null.
+
+    The join sees at most one hot key per ``hot_rows`` rows of the table.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counted.filter(F.col("_n") > hot_rows)
+    return df.alias("l").join(hot.alias("r"), _same(keys), "left").select("l.*", "r._n")
+
+
+def fold_sorted(
+    df: DataFrame, keys: Sequence[str], entry: Column, into: str, longest: int = FOLD_LENGTH
+) -> DataFrame:
+    """One row per key with its entries as a sorted array; null entries are left out.
+
+    A key with more rows than ``longest`` gives several rows, numbered by ``part``, each
+    with about that many entries, so no array grows with the table. All others have the
+    single part 0. Sorted means within a part.
+    """
+    parts = F.ceil(F.col("_n") / F.lit(longest))
+    part = F.coalesce(F.pmod(F.xxhash64(entry), parts), F.lit(0)).cast("long")
+    counted = with_hot_count(df, keys, longest).withColumn("part", part)
+    return counted.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(entry)).alias(into))
 
 
 def previous_in_order(
@@ -96,17 +126,8 @@ def previous_in_order(
     earlier bucket of its key, found in a table with one row per (hot key, bucket). Other
     keys are a plain window.
     """
-
-    def same(columns: Sequence[str]) -> list[Column]:
-        return [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in columns]
-
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # At most one hot key per ``hot_rows`` rows of the table.
-    hot = counted.filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    keyed = (
-        df.alias("l")
-        .join(hot.alias("r"), same(keys), "left")
-        .select("l.*", F.when(F.col("r._hot"), bucket).alias("_bucket"))
+    keyed = with_hot_count(df, keys, hot_rows).select(
+        *df.columns, F.when(F.col("_n").isNotNull(), bucket).alias("_bucket")
     )
     within = W.partitionBy(*keys, "_bucket").orderBy(*order)
     along = W.partitionBy(*keys).orderBy("_bucket")
@@ -118,7 +139,7 @@ def previous_in_order(
         .drop("_last")
     )
     looked = keyed.withColumn("_seen", F.lag(F.struct(value)).over(within))
-    joined = looked.alias("l").join(last.alias("r"), same([*keys, "_bucket"]), "left")
+    joined = looked.alias("l").join(last.alias("r"), _same([*keys, "_bucket"]), "left")
     return joined.select(
         *[F.col(f"l.{c}").alias(c) for c in df.columns],
         F.coalesce("_seen", "_carry")[value].alias(into),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
-from shelfmark.operators.keyed import top_per_key
+from shelfmark.operators.keyed import fold_sorted, top_per_key
 
 PUBLISHED = "published"
 PAGE_SIZE = 12
@@ -290,26 +290,17 @@ def review_detail(
 
 
 def review_fold(detail: DataFrame) -> DataFrame:
-    """One row per product with its categories as an array in name order.
+    """One row per product with its distinct categories as an array in name order.
 
-    Pairs are made distinct first, so an array is as long as the category list at most.
-    ``status`` is ``error`` where a category id comes without a name.
+    ``status`` is ``error`` where a category id comes without a name. A product in very
+    many categories gives several rows, see ``fold_sorted``.
     """
-    pairs = detail.select(
-        "software_id", "software_name", "vendor_name", "category_id", "category_name"
-    ).distinct()
-    entry = F.struct("category_name", "category_id")
-    return pairs.groupBy("software_id", "software_name", "vendor_name").agg(
-        F.array_sort(
-            F.collect_list(F.when(F.col("category_id").isNotNull(), entry))
-        ).alias("categories"),
-        F.when(
-            F.bool_or(F.col("category_id").isNotNull() & text.is_blank(F.col("category_name"))),
-            F.lit("error"),
-        )
-        .otherwise(F.lit("success"))
-        .alias("status"),
-    )
+    product = ["software_id", "software_name", "vendor_name"]
+    pairs = detail.select(*product, "category_id", "category_name").distinct()
+    entry = F.when(F.col("category_id").isNotNull(), F.struct("category_name", "category_id"))
+    folded = fold_sorted(pairs, product, entry, "categories")
+    nameless = F.exists("categories", lambda c: text.is_blank(c["category_name"]))
+    return folded.withColumn("status", F.when(nameless, "error").otherwise("success"))
 
 
 def distinct_paths(

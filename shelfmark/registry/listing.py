@@ -293,7 +293,7 @@ def review_detail(spark: SparkSession, sf: str) -> DataFrame:
       coalesce(string_agg(category_id::varchar || ':' || coalesce(category_name, ''), ','
         order by category_name nulls first, category_id), '') as categories,
       case when bool_or(category_id is not null and category_name is null) then 'error'
-        else 'success' end as status
+        else 'success' end as status, 0::bigint as part
     from detail group by all""",
 )
 def review_fold(spark: SparkSession, sf: str) -> DataFrame:

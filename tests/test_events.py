@@ -102,6 +102,18 @@ def test_top_per_key_with_one_hot_key(spark):
     assert got.count() == 24
 
 
+def test_long_keys_fold_into_parts(spark):
+    df = spark.range(1000).select(
+        "id", F.when(F.col("id") < 900, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 3)).alias("k")
+    )
+    rows = keyed.fold_sorted(df, ["k"], F.when(F.col("id") % 2 == 0, F.col("id")), "ids", 100).collect()
+    hot = [r for r in rows if r["k"] == "hot"]
+    assert len(hot) > 5 and max(len(r["ids"]) for r in hot) < 200
+    assert all(r["ids"] == sorted(r["ids"]) for r in rows)
+    assert sorted(i for r in rows for i in r["ids"]) == list(range(0, 1000, 2))
+    assert [r["part"] for r in rows if r["k"] != "hot"] == [0, 0, 0]
+
+
 VIEWS = T.StructType(
     [
         T.StructField("session", T.StringType()),
