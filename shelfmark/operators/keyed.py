@@ -146,7 +146,8 @@ def previous_in_order(
     )
 
 
-RADIX_BITS = 2
+RADIX_BITS = 1
+TIER = 6
 # Microseconds per unit of interval bounds, and the bits that 9999 years of it take.
 UNITS = {"day": (86_400_000_000, 22), "second": (1_000_000, 39), "microsecond": (1, 59)}
 
@@ -178,10 +179,10 @@ def _levels(unit: str) -> int:
 
 
 def _blocks(start: Column, stop: Column, unit: str) -> Column:
-    """Cover ``[start, stop)`` by aligned blocks of 4**level units, as an array of structs.
+    """Cover ``[start, stop)`` by aligned blocks of 2**level units, as an array of structs.
 
     A level holds what its own blocks can cover and blocks of the next level cannot: at
-    most three blocks at either end.
+    most one block at either end.
     """
     empty = F.array().cast("array<bigint>")
 
@@ -225,10 +226,12 @@ def best_at(
     """The winning interval of each point's key at the point's instant, if any.
 
     An interval ``[valid_from, valid_until)`` (a null end is open) is cut into aligned
-    blocks of 4**level units; each (key, level, block) keeps only its winner, the least by
+    blocks of 2**level units; each (key, level, block) keeps only its winner, the least by
     ``order``, which must be free of ties. A point lies in one block per level, so it looks
-    up one winner per level and takes the best. Work is linear in both tables even if one
-    key holds most of both, where pairing points with intervals would be quadratic.
+    up one winner per level and takes the best. Six levels travel together: the winners
+    below one block of the level above are packed into a row of at most 126. Work is linear
+    in both tables even if one key holds most of both, where pairing points with intervals
+    would be quadratic.
 
     ``unit`` is what interval bounds are whole multiples of: the coarser, the fewer levels.
     Points may fall anywhere.
@@ -250,18 +253,45 @@ def best_at(
         .groupBy(*keys, "level", "block")
         .agg(F.min(F.struct("_order", "_payload")).alias("_best"))
     )
+    level, block = F.col("level"), F.col("block")
+    tier = F.floor(level / TIER).cast("int")
+    climb = RADIX_BITS * ((tier + 1) * TIER - level)
+    packed = (
+        winners.select(
+            *keys,
+            tier.alias("tier"),
+            F.call_function("shiftright", block, climb).alias("parent"),
+            F.struct("level", "block", "_best").alias("_entry"),
+        )
+        .groupBy(*keys, "tier", "parent")
+        .agg(F.collect_list("_entry").alias("_entries"))
+    )
+    tiers = -(-levels // TIER)
     steps = F.array(
         *[
-            F.struct(F.lit(k).alias("level"), _floor_shift(F.col("_instant"), k).alias("block"))
-            for k in range(levels)
+            F.struct(
+                F.lit(g).alias("tier"),
+                _floor_shift(F.col("_instant"), (g + 1) * TIER).alias("parent"),
+            )
+            for g in range(tiers)
         ]
     )
+    held = F.filter(
+        "_entries",
+        lambda e: e["block"]
+        == F.call_function("shiftright", F.col("_instant"), e["level"] * RADIX_BITS),
+    )
     return (
         points.withColumn("_instant", _whole(_micros(F.col(at)), UNITS[unit][0]))
         .select(
-            *point_id, *[F.col(c).alias(k) for c, k in zip(point_key, keys)], F.inline(steps)
+            *point_id,
+            "_instant",
+            *[F.col(c).alias(k) for c, k in zip(point_key, keys)],
+            F.inline(steps),
         )
-        .join(winners, [*keys, "level", "block"])
+        .join(packed, [*keys, "tier", "parent"])
+        .select(*point_id, F.array_min(F.transform(held, lambda e: e["_best"])).alias("_best"))
+        .filter(F.col("_best").isNotNull())
         .groupBy(*point_id)
         .agg(F.min("_best").alias("_best"))
         .select(*point_id, "_best._payload.*")
