@@ -43,20 +43,20 @@ def containment_join(
     text: str,
     unicode: bool = True,
 ) -> DataFrame:
-    """Pairs (quote id, text id) whose normalised text contains the normalised quote.
-
-    Quotes under three characters support nothing and are left out. Each quote is looked
-    up by the one of its word runs that occurs in the fewest texts (by a run of three
-    characters if it has no inner word), so a run shared by a third of all texts is used
-    only by quotes that have no rarer one, and every candidate is verified.
+    """Per quote: how many texts contain it after normalisation, and the first of them.
+
+    Quotes under three characters support nothing; quotes found nowhere are left out. Each
+    quote is looked up by the one of its word runs that occurs in the fewest texts (by a
+    run of three characters if it has no inner word), so a run shared by a third of all
+    texts is used only by quotes that have no rarer one, and every candidate is verified.
+    Equal quotes and equal texts are compared once and counted, never paired with each
+    other.
     """
     normal = norm.norm_evidence if unicode else norm.norm_space
-    asked = _tokens(
-        quotes.select(F.col(quote_id).alias("_q"), normal(F.col(quote)).alias("_quote")).filter(
-            F.length("_quote") >= CHARACTER_RUN
-        ),
-        "_quote",
-    )
+    named = quotes.select(
+        F.col(quote_id).alias("_id"), normal(F.col(quote)).alias("_quote")
+    ).filter(F.length("_quote") >= CHARACTER_RUN)
+    asked = _tokens(named.select("_quote").distinct(), "_quote")
     # The first and last word of a quote may be parts of longer words in a text.
     inner = F.when(F.size("_words") > 2, F.slice("_words", F.lit(2), F.size("_words") - 2)).otherwise(
         F.array().cast("array<string>")
@@ -69,29 +69,31 @@ def containment_join(
     keys = F.when(F.lit(False), F.array().cast("array<bigint>"))
     for kind in kinds:
         keys = keys.when(F.col("_kind") == kind, _of_kind(kind))
-    wanted = asked.select("_q", "_quote", F.explode(keys).alias("_gram"))
+    wanted = asked.select("_quote", F.explode(keys).alias("_gram"))
 
     body = texts.select(F.col(text_id).alias("_t"), normal(F.col(text)).alias("_text"))
     emitted = F.flatten(F.array(F.array().cast("array<bigint>"), *[_of_kind(k) for k in kinds]))
-    # Texts are split into runs once; what is kept are the few runs some quote asks for.
+    # Texts are split into runs once; what is kept are the few runs some quote asks for,
+    # one row for all texts that are equal.
     runs = cut_lineage(
         _tokens(body, "_text")
-        .select("_t", F.explode(emitted).alias("_gram"))
+        .select("_t", F.sha2("_text", 256).alias("_hash"), F.explode(emitted).alias("_gram"))
         .join(wanted.select("_gram").distinct(), "_gram", "left_semi")
+        .groupBy("_gram", "_hash")
+        .agg(F.min("_t").alias("_t"), F.count(F.lit(1)).alias("_copies"))
     )
     spread = runs.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
     rarest = (
-        wanted.join(spread, "_gram", "left")
-        .groupBy("_q")
-        .agg(
-            F.min(F.struct(F.coalesce("_texts", F.lit(0)), "_gram"))["_gram"].alias("_gram"),
-            F.first("_quote").alias("_quote"),
-        )
+        wanted.join(spread, "_gram")
+        .groupBy("_quote")
+        .agg(F.min(F.struct("_texts", "_gram"))["_gram"].alias("_gram"))
     )
-    return (
+    found = (
         rarest.join(runs, "_gram")
-        .select("_q", "_quote", "_t")
+        .select("_quote", "_t", "_copies")
         .join(body, "_t")
         .filter(F.contains("_text", "_quote"))
-        .select(F.col("_q").alias(quote_id), F.col("_t").alias(text_id))
+        .groupBy("_quote")
+        .agg(F.sum("_copies").alias("texts"), F.min("_t").alias("first_text"))
     )
+    return named.join(found, "_quote").select(F.col("_id").alias(quote_id), "texts", "first_text")

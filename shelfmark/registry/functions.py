@@ -198,12 +198,13 @@ def safe_url(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "public_url",
-    """select page_id, url like 'https:%' as plain, url like 'https:%' and page_id >= 100 as numeric_host
+    """select page_id, url like 'https:%' as plain,
+      url like 'https:%' and not contains(url, '.example.com/') as numeric_host
     from pages""",
 )
 def public_url(spark: SparkSession, sf: str) -> DataFrame:
-    """Hosts replaced by addresses: 10.x below page 100, 203.x from there on."""
-    first = F.when(F.col("page_id") < 100, "10").otherwise("203")
+    """Hosts replaced by addresses: private ones for .com hosts, public ones for the others."""
+    first = F.when(F.contains("url", F.lit(".example.com/")), "10").otherwise("203")
     moved = F.concat(
         F.regexp_extract("url", "^(https?://)", 1), first, F.lit(".0.0."), F.col("page_id") % 250,
         F.regexp_extract("url", "^https?://[^/]+(/.*)$", 1),
@@ -323,26 +324,27 @@ def batch_digest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "fingerprint",
-    rf"""select page_id, case
-        when page_id < 50 then 'partner net|external-program-id:' || page_id
-        when page_id < 120 and url like 'https:%' then 'partner net|program-url:https://' || {HOST} || {TIDY}
+    rf"""with p as (select *, case when contains(url, '.example.com/') then 'external-program-id'
+        when contains(url, '.example.net/') and url like 'https:%' then 'program-url'
+        when contains(url, '.example.net/') then 'domain' else 'names' end as basis from pages)
+    select page_id, basis, 'partner net|' || basis || ':' || case basis
+        when 'external-program-id' then page_id::varchar
+        when 'program-url' then 'https://' || {HOST} || {TIDY}
           || case when {SORTED_QUERY} = '' then '' else '?' || {SORTED_QUERY} end
-        when page_id < 200 then 'partner net|domain:' || {BARE}
-        else 'partner net|names:product-name:page ' || page_id || '|program-name:|vendor-name:maker '
-          || regexp_replace({BARE}, '[^a-z0-9]+', ' ', 'g') end as fingerprint,
-      case when page_id < 50 then 'external-program-id'
-        when page_id < 120 and url like 'https:%' then 'program-url'
-        when page_id < 200 then 'domain' else 'names' end as basis
-    from pages""",
+        when 'domain' then {BARE}
+        else 'product-name:page ' || page_id || '|program-name:|vendor-name:maker '
+          || regexp_replace({BARE}, '[^a-z0-9]+', ' ', 'g') end as fingerprint
+    from p""",
 )
 def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    page, domain = F.col("page_id"), url.domain_text(F.col("url"))
+    domain = url.domain_text(F.col("url"))
+    com, net = F.contains("url", F.lit(".example.com/")), F.contains("url", F.lit(".example.net/"))
     value = keys.fingerprint(
         F.lit("Partner-Net"),
-        F.when(page < 50, page.cast("string")),
-        F.when(page < 120, F.col("url")),
-        F.when(page < 200, F.array(domain, F.upper(domain))),
-        F.concat(F.lit("Page "), page.cast("string")),
+        F.when(com, F.col("page_id").cast("string")),
+        F.when(net, F.col("url")),
+        F.when(net, F.array(domain, F.upper(domain))),
+        F.concat(F.lit("Page "), F.col("page_id").cast("string")),
         F.lit(None).cast("string"),
         F.concat(F.lit("Maker "), domain),
     )

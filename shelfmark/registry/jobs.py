@@ -40,7 +40,7 @@ def canonical_vendors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "backfill_links",
-    r"""with p as (select page_id, case when page_id % 3 = 0 then 'Active' else 'paused' end as status,
+    r"""with p as (select page_id, case when url like 'https:%' then 'Active' else 'paused' end as status,
         ' ' || upper(left(url, 9)) || substr(url, 10) || '/ ' as u from pages),
     c as (select page_id as software_id, trim(u) as destination_url,
         lower(regexp_extract(trim(u), '^([^:]+)://', 1)) || '://'
@@ -50,31 +50,31 @@ def canonical_vendors(spark: SparkSession, sf: str) -> DataFrame:
         'affiliate_program:' || lower(hex(encode('P' || page_id))) as legacy_source_key
       from p where status = 'Active')
     select software_id, destination_url, canonical_destination_url, legacy_source_key from c
-    where software_id >= 60""",
+    where not contains(destination_url, '?') and not contains(destination_url, '#')""",
 )
 def backfill_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Links of pages below 30 are known by key, of those below 60 by product and URL."""
+    """Pages with a query are linked already by key, those with a fragment by product and URL."""
     shouted = F.concat(
         F.lit(" "), F.upper(F.substring("url", 1, 9)), F.expr("substring(url, 10)"), F.lit("/ ")
     )
-    pages = table(spark, sf, "pages", spread="page_id")
-    programs = pages.select(
+    programs = table(spark, sf, "pages", spread="page_id").select(
         F.col("page_id").alias("software_id"),
         F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("affiliate_program_id"),
         shouted.alias("affiliate_url"),
-        F.when(F.col("page_id") % 3 == 0, "Active").otherwise("paused").alias("status"),
+        F.when(F.col("url").startswith("https:"), "Active").otherwise("paused").alias("status"),
     )
-    early = F.col("software_id") < 30
-    existing = programs.filter("software_id < 60").select(
+    by_key = F.contains("affiliate_url", F.lit("?"))
+    known = programs.filter(by_key | F.contains("affiliate_url", F.lit("#")))
+    existing = known.select(
         "software_id",
         "affiliate_program_id",
         F.trim("affiliate_url").alias("destination_url"),
-        F.when(early, "elsewhere").otherwise(url.canon_url_text(F.col("affiliate_url"))).alias(
+        F.when(by_key, "elsewhere").otherwise(url.canon_url_text(F.col("affiliate_url"))).alias(
             "canonical_destination_url"
         ),
         F.concat(
             F.lit("affiliate_program:"),
-            F.when(early, text.hex_text(F.col("affiliate_program_id"))).otherwise("other"),
+            F.when(by_key, text.hex_text(F.col("affiliate_program_id"))).otherwise("other"),
         ).alias("legacy_source_key"),
         F.lit(100).alias("priority"),
         F.lit("active").alias("status"),

@@ -352,7 +352,8 @@ def lateral_unnest(spark: SparkSession, sf: str) -> DataFrame:
       from documents),
     b as (select item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as quote
       from benchmark)
-    select item_id, doc_id from b join d on contains(body, quote)""",
+    select item_id, count(*) as texts, min(doc_id) as first_text from b join d on contains(body, quote)
+    group by item_id""",
 )
 def quote_support(spark: SparkSession, sf: str) -> DataFrame:
     return containment_join(

@@ -154,3 +154,29 @@ def test_expired_hashes(spark):
     assert [(r["ip_hash"], r["valid"]) for r in got] == [
         (None, True), ("h", True), ("h", False), (None, True),
     ]
+
+
+def test_containment_agrees_with_comparing_all(spark):
+    from shelfmark.operators.containment import containment_join
+
+    rng = random.Random(4)
+    words = ["ab", "b", "cab", "d e", "Éa", "x-y"]
+    texts = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 14)))) for i in range(150)]
+    texts += [(500 + i, texts[3][1].upper()) for i in range(20)]
+    quotes = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 9)))) for i in range(60)]
+    quotes += [(100, "b"), (101, "b  c"), (102, quotes[0][1]), (103, "nowhere at all to be found")]
+
+    def plain(t):
+        return " ".join(t.split()).lower()
+
+    expected = {}
+    for q, quote in quotes:
+        hits = [t for t, body in texts if plain(quote) in plain(body)]
+        if len(plain(quote)) >= 3 and hits:
+            expected[q] = (len(hits), min(hits))
+    got = containment_join(
+        spark.createDataFrame(quotes, "q int, quote string"),
+        spark.createDataFrame(texts, "t int, body string"),
+        "q", "quote", "t", "body",
+    )
+    assert {r["q"]: (r["texts"], r["first_text"]) for r in got.collect()} == expected
