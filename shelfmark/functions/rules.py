@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -190,6 +192,14 @@ def legal_label(c: Column) -> Column:
     return F.coalesce(c.rlike(f"(?i){LEGAL_WORDS}"), F.lit(False))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it.
+
+    Branches of a ``when`` chain would otherwise each compute it again.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def semantic_label(c: Column) -> Column:
     """Question a form label asks; legal wording is tried last."""
     plain = F.trim(
@@ -198,7 +208,8 @@ def semantic_label(c: Column) -> Column:
     legal = F.when(c.rlike(f"(?i){TERMS_WORDS}"), F.lit("TERMS_ACCEPTANCE")).otherwise(
         F.lit("LEGAL_ATTESTATION")
     )
-    return F.coalesce(first_rule(plain, SEMANTIC_LABELS), F.when(legal_label(c), legal))
+    asked = once(plain, lambda label: first_rule(label, SEMANTIC_LABELS))
+    return F.coalesce(asked, F.when(legal_label(c), legal))
 
 
 # Legacy product and category states and the editorial state of each.

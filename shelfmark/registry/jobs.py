@@ -139,7 +139,7 @@ def seed_claims(spark: SparkSession, sf: str) -> DataFrame:
 
 def _identity_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Products up to size 25 and their brands are canonical; claims are verified up to size 20."""
-    part = table(spark, sf, "part").withColumn("sid", F.concat(F.lit("S"), "p_partkey"))
+    part = table(spark, sf, "part", spread="p_partkey").withColumn("sid", F.concat(F.lit("S"), "p_partkey"))
     known = part.filter("p_size < 25")
     entities = known.select(
         F.lit("software").alias("kind"), F.col("sid").alias("id"), F.col("p_brand").alias("vendor_id")
@@ -924,7 +924,7 @@ def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
         control(6, "input", "hidden", F.lit("x")),
     )
     empty = F.filter(controls, lambda c: F.lit(False))
-    return table(spark, sf, "part").select(
+    return table(spark, sf, "part", spread="p_partkey").select(
         F.col("p_partkey").alias("program_id"),
         F.col("p_name").alias("program_name"),
         F.lit("https://x.partnerstack.com/apply?a=1").alias("page_url"),
