@@ -8,15 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text, url
+from shelfmark.functions.keys import hashed_id, legacy_source_key
 from shelfmark.functions.rules import valid_at
-from shelfmark.operators.keyed import best_at
+from shelfmark.operators.keyed import best_at, left_lookup
 from shelfmark.operators.versions import new_rows, not_exists_or
-from shelfmark.functions.keys import hashed_id, legacy_source_key
-
-LINK_COLUMNS = (
-    "software_id, affiliate_link_id, affiliate_program_id, destination_url, priority, status, "
-    "verification_status, verified_at, valid_from, valid_until"
-)
 
 
 def verified_link() -> Column:
@@ -141,7 +136,10 @@ def canonical_vendors(software: DataFrame) -> tuple[DataFrame, DataFrame]:
             ),
         )
     )
-    linked = software.withColumn("canonical_name", text.norm_space(F.col("vendor"))).join(
-        vendors.select("canonical_name", "vendor_id"), "canonical_name", "left"
+    linked = left_lookup(
+        software.withColumn("canonical_name", text.norm_space(F.col("vendor"))),
+        vendors.select(F.col("canonical_name").alias("_key"), "vendor_id"),
+        F.col("canonical_name"),
+        "software_id",
     )
     return vendors, linked

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.checks import union_all
+from shelfmark.operators.keyed import left_lookup
 from shelfmark.operators.links import link_at
 from shelfmark.session import cut_lineage
 
@@ -85,11 +86,13 @@ def enrich_click(clicks: DataFrame, links: DataFrame, unit: str = "microsecond")
 def conversions_to_clicks(conversions: DataFrame, clicks: DataFrame) -> DataFrame:
     """Conversions with their click and the click's link, both optional."""
     known = clicks.select(
-        "affiliate_click_id",
+        F.col("affiliate_click_id").cast("string").alias("_key"),
         F.col("affiliate_link_id").alias("click_link_id"),
         F.col("occurred_at").alias("clicked_at"),
     )
-    return conversions.join(known, "affiliate_click_id", "left")
+    return left_lookup(
+        conversions, known, F.col("affiliate_click_id"), "affiliate_conversion_id"
+    )
 
 
 def expire_ip_hash(clicks: DataFrame, at: Column) -> DataFrame:
