@@ -19,8 +19,10 @@ PAGE_SIZE = 12
 INDEX_PAGE_SIZE = 6
 
 
-def published_only(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("publication_status") == PUBLISHED)
+def published_only(
+    df: DataFrame, column: str = "publication_status", value: str = PUBLISHED
+) -> DataFrame:
+    return df.filter(F.col(column) == value)
 
 
 def id_in_list(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

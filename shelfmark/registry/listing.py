@@ -58,9 +58,9 @@ def catalog_export(spark: SparkSession, sf: str) -> DataFrame:
     "select o_orderkey, o_custkey, o_totalprice from orders where o_orderstatus = 'F'",
 )
 def published_only(spark: SparkSession, sf: str) -> DataFrame:
-    state = F.when(F.col("o_orderstatus") == "F", "published").otherwise(F.col("o_orderstatus"))
-    orders = table(spark, sf, "orders").withColumn("publication_status", state)
-    return listing.published_only(orders).select("o_orderkey", "o_custkey", "o_totalprice")
+    return listing.published_only(table(spark, sf, "orders"), "o_orderstatus", "F").select(
+        "o_orderkey", "o_custkey", "o_totalprice"
+    )
 
 
 @query(
