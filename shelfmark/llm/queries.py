@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import licenses, mixing
+from shelfmark.llm import language, licenses, mixing, quality
+from shelfmark.llm.common import remainder
 from shelfmark.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,24 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = language.fit(docs.filter(~held_out))
+    narrow = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return language.predict(narrow, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    model = quality.fit(docs, labels.filter(~held_out))
+    marked = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return quality.score(marked, model, keep=("doc_id", "held_out"))
+
+
 @query("op7_license_scan")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf, "documents")))
