@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import language, licenses, mixing, quality
+from shelfmark.llm import html, language, licenses, mixing, quality, simhash
 from shelfmark.llm.common import remainder
 from shelfmark.session import table
 
@@ -45,6 +45,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(marked, model, keep=("doc_id", "held_out"))
 
 
+@query("op5_html_text")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return html.main_texts(table(spark, sf, "pages"))
+
+
 @query("op7_license_scan")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf, "documents")))
@@ -88,3 +93,8 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return mixed.select("doc_id", "size", "source_size", "target", taken)
+
+
+@query("op10_simhash")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
