@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import html, language, licenses, mixing, quality, simhash
+from shelfmark.llm import embeddings, html, language, licenses, lm, mixing, quality, simhash
 from shelfmark.llm.common import remainder
 from shelfmark.session import table
 
@@ -45,6 +45,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(marked, model, keep=("doc_id", "held_out"))
 
 
+@query("op4_embeddings")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf, "embeddings"))
+
+
 @query("op5_html_text")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return html.main_texts(table(spark, sf, "pages"))
@@ -95,6 +100,15 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+@query("op9_lm_score")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = remainder(F.col("doc_id"), 7) == 2
+    model, counts = lm.fit(docs.filter(~held_out))
+    marked = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return lm.score(marked, model, counts, keep=("doc_id", "held_out"))
+
+
 @query("op10_simhash")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
