@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import embeddings, html, language, licenses, lm, mixing, quality, simhash
+from shelfmark.llm import embeddings, html, language, licenses, lm, mixing, quality, simhash, substrings
 from shelfmark.llm.common import remainder
 from shelfmark.session import table
 
@@ -45,6 +45,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(marked, model, keep=("doc_id", "held_out"))
 
 
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf, "documents"))
+
+
 @query("op4_embeddings")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf, "embeddings"))
