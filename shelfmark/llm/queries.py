@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import embeddings, html, language, licenses, lm, mixing, quality, simhash, substrings
+import corpus_pipeline
+from shelfmark.llm import decontamination, embeddings, html, language, licenses, lm, mixing, quality, simhash, substrings
 from shelfmark.llm.common import remainder
 from shelfmark.session import table
 
@@ -60,6 +61,13 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return html.main_texts(table(spark, sf, "pages"))
 
 
+@query("op6_decontamination")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = decontamination.with_matches(docs, table(spark, sf, "benchmark"))
+    return found.select("doc_id", F.inline("matches"))
+
+
 @query("op7_license_scan")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf, "documents")))
@@ -117,3 +125,6 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_simhash")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
