@@ -30,7 +30,7 @@ PARTS = (0.4, 0.96, 1.0)
 #: Most pieces of a group that one suffix array takes; larger groups are cut again.
 GROUP = 32
 #: Bytes of the groups that are sorted in step.
-BATCH_BYTES = 1_500_000
+BATCH_BYTES = 600_000
 #: Starts that one round of numpy work takes from a long text.
 CHUNK = 4_000_000
 ROW = "id {id}, tag bigint"
@@ -191,7 +191,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     for level, part in enumerate(PARTS):
         k = min(length, max(1, round(part * length)))
         cut = written(_pieces(bodies, length, k, kind), f"pieces-{level}")
-        often = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor")
+        # written, so that the joins with it can split a frequent anchor
+        often = written(cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor"), f"often-{level}")
         some = written(cut.join(often, "anchor").select(*cut.columns), f"shared-{level}")
         classes = some.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag", "base", "start", "starts")).alias("first"))
         classes = written(classes, f"classes-{level}")
@@ -200,7 +201,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if k == length:
             break
         groups = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("_classes"), F.min("n").alias("_least"))
-        open_groups = groups.filter("_classes > 1 and _least = 1").select("anchor", (F.col("_classes") > GROUP).alias("hot"))
+        open_groups = written(groups.filter("_classes > 1 and _least = 1").select("anchor", (F.col("_classes") > GROUP).alias("hot")), f"open-{level}")
         wanted = classes.join(open_groups, "anchor").select("first.*", "anchor", "hot")
         source = _packed(bodies, kind) if packed else bodies
         found = written(_bodies(wanted, source, length, kind, packed), f"bodies-{level}")
