@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from shelfmark.session import scratch_path
 
 MASK = (1 << 64) - 1
-#: Bytes that one round of numpy work takes; arrays of eight bytes a position stay below 32 MB.
-SLICE_BYTES = 2_000_000
+#: Bytes and rows that one round of numpy work takes; arrays of eight bytes a position stay below 8 MB.
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 5_000
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -43,6 +43,17 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of Arrow batches for whole texts, unless the session has a smaller bound.
+
+    The default of 10,000 rows can be tens of megabytes of text in several copies per worker.
+    """
+    name, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
 def remainder(identifier: Column, modulus: int) -> Column:
     """crc32 of the identifier as text, modulo ``modulus``; a null identifier counts as ''."""
     text = F.coalesce(identifier.cast("string"), F.lit(""))
@@ -64,8 +75,8 @@ class Texts:
         return np.repeat(np.arange(self.rows), np.diff(self.offsets) if sizes is None else sizes)
 
 
-def texts(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Texts]:
-    """A string column as slices of about ``size`` bytes; nulls are empty. A longer row stands alone."""
+def texts(column: pa.Array, size: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[Texts]:
+    """A string column as slices of about ``size`` bytes and ``rows`` rows; nulls are empty. A longer row stands alone."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not (pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)):
@@ -85,7 +96,7 @@ def texts(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Texts]:
     start = 0
     while start < len(column):
         stop = int(np.searchsorted(lengths, lengths[start] + size, "right")) - 1
-        stop = min(max(stop, start + 1), len(column))
+        stop = min(max(stop, start + 1), start + rows, len(column))
         yield Texts(data[lengths[start] : lengths[stop]], lengths[start : stop + 1] - lengths[start], start)
         start = stop
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import Rolling, Texts, texts, word_table, words, written
+from shelfmark.llm.common import Rolling, Texts, small_batches, texts, word_table, words, written
 
 FEATURES = 1 << 18
 RANK, EXTRA, ROUNDS = 192, 16, 3
@@ -318,6 +318,7 @@ def with_matches(
     joined; a column of the name ``into`` is replaced. The benchmark comes to the driver in blocks of a fixed number
     of passages; tasks hold at most ``BLOCKS_PER_PASS`` blocks.
     """
+    small_batches(docs.sparkSession)
     base = docs.drop(into)
     kind = benchmark.schema[item_id].dataType.simpleString()
     idf = weights(*frequencies(docs, text))

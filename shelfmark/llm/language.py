@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import Texts, broadcast_up_to, texts, word_table
+from shelfmark.llm.common import Texts, broadcast_up_to, small_batches, texts, word_table
 from shelfmark.operators.keyed import top_per_key
 
 FEATURES = 4096
@@ -25,6 +25,8 @@ CENTROIDS = 4
 #: A text is rejected if its cosine is below this part of the lowest one among its centroid's sample.
 REJECT_PART = 0.25
 UNKNOWN = "und"
+#: Bytes and rows of a round; each row takes FEATURES numbers.
+SLICE, ROWS = 500_000, 300
 #: Everything in ASCII that is no letter separates n-grams.
 LETTERS = word_table(bytes(b for b in range(128) if not chr(b).isalpha()))
 
@@ -106,6 +108,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     The sample of a language is its ``SAMPLE_ROWS`` rows with the smallest hash of the key.
     """
+    small_batches(docs.sparkSession)
     known = docs.select(
         F.col(lang).alias("lang"), _lowered(text).alias("text"), F.coalesce(F.xxhash64(F.col(key)), F.lit(0)).alias("pick")
     ).filter(F.col("lang").isNotNull())
@@ -113,7 +116,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
-            for part in texts(batch.column("text")):
+            for part in texts(batch.column("text"), SLICE, ROWS):
                 total += (counts(part) > 0).sum(axis=0)
                 rows += part.rows
         found = np.append(total, rows)
@@ -135,7 +138,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     def centre(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["pick", "position"])
-        parts = texts(pa.array(group["text"], pa.string()))
+        parts = texts(pa.array(group["text"], pa.string()), SLICE, ROWS)
         rows = np.vstack([vectors(counts(p), idf) for p in parts])
         rows = rows[rows.any(axis=1)]
         if not len(rows):
@@ -161,6 +164,7 @@ def predict(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
     """
     made = ["lang_pred", "score", "rejected"]
     base = docs.drop(*made)
+    small_batches(base.sparkSession)
     shared = base.sparkSession.sparkContext.broadcast(model)
     ready = base.select("*", _lowered(text).alias("_lowered"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     fields = [f.simpleString().replace(":", "` ", 1) for f in base.schema.fields]
@@ -169,7 +173,7 @@ def predict(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores, far = [], [], []
-            for part in texts(batch.column("_lowered"), 500_000):
+            for part in texts(batch.column("_lowered"), SLICE, ROWS):
                 a, b, c = shared.value.predict(part)
                 names += a
                 scores.append(b)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import LOWER, SPACES, Rolling, Texts, drop_at_end, texts, word_table, words, written
+from shelfmark.llm.common import LOWER, SPACES, Rolling, Texts, drop_at_end, small_batches, texts, word_table, words, written
 from shelfmark.session import scratch_path
 
 ORDER = 3
@@ -228,6 +228,7 @@ class Automaton:
 
 def fit(docs: DataFrame, text: str = "text", order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> tuple[Automaton, DataFrame]:
     """The automaton and the table (key, n) of all words, from all rows of ``docs``; order is 1 to 3."""
+    small_batches(docs.sparkSession)
     texts_only = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     tokens = lambda: (lambda find: lambda part: find(part)[1])(Tokens())
     counts = written(_counted(texts_only, tokens), "lm-words")

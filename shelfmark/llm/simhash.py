@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import LOWER, SPACES, Texts, texts, word_table, words, written
+from shelfmark.llm.common import LOWER, SPACES, Texts, small_batches, texts, word_table, words, written
 from shelfmark.llm.components import components
 
 SEED = 42
@@ -63,6 +63,7 @@ def fingerprints(part: Texts, shingle: int) -> np.ndarray:
 
 def fingerprinted(docs: DataFrame, identifier: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(identifier, fp) for each row, fp a signed bigint with the fingerprint's bits. Null texts are empty: 0."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[identifier].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import Rolling, Texts, texts, written
+from shelfmark.llm.common import Rolling, Texts, small_batches, texts, written
 from shelfmark.llm.suffixes import repeated_windows
 
 LENGTH = 400
@@ -241,6 +241,7 @@ def without_repeats(
     A repeated or null identifier does not matter: rows are told apart by identifier and text, and equal rows are copies of
     each other. Columns not in ``keep`` are left out, so that no name can clash.
     """
+    small_batches(docs.sparkSession)
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
     kept = [f for f in docs.schema.fields if f.name in keep and f.name not in made]
     names = [f"k{i}" for i in range(len(kept))]
