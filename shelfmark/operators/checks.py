@@ -135,10 +135,7 @@ def conflicting(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def ordered_array(df: DataFrame, keys: Sequence[str], value: str, into: str) -> DataFrame:
-    """Distinct values of each key in ascending order, joined by commas.
-
-    A key with very many values gives several rows, see ``fold_sorted``.
-    """
+    """Distinct values of each key in ascending order, joined by commas."""
     distinct = df.select(*keys, F.col(value).cast("string").alias(value)).distinct()
     folded = fold_sorted(distinct, keys, F.col(value), into)
     return folded.withColumn(into, F.array_join(into, ","))

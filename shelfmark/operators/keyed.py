@@ -77,63 +77,34 @@ def left_lookup(df: DataFrame, lookup: DataFrame, key: Column, row: str) -> Data
     return keyed.join(lookup, "_key", "left").drop("_key")
 
 
-HOT_ROWS = 5_000_000
-FOLD_LENGTH = 10_000
-
-
 def _same(columns: Sequence[str]) -> list[Column]:
     return [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in columns]
 
 
-def with_hot_count(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Adds ``_n``: the rows of the key if there are more than ``hot_rows``, else null.
-
-    The join sees at most one hot key per ``hot_rows`` rows of the table.
-    """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counted.filter(F.col("_n") > hot_rows)
-    return df.alias("l").join(hot.alias("r"), _same(keys), "left").select("l.*", "r._n")
-
-
-def fold_sorted(
-    df: DataFrame, keys: Sequence[str], entry: Column, into: str, longest: int = FOLD_LENGTH
-) -> DataFrame:
+def fold_sorted(df: DataFrame, keys: Sequence[str], entry: Column, into: str) -> DataFrame:
     """One row per key with its entries as a sorted array; null entries are left out.
 
-    A key with more rows than ``longest`` gives several rows, numbered by ``part``, each
-    with about that many entries, so no array grows with the table. All others have the
-    single part 0. Sorted means within a part.
+    An array is one value of one row, so this is for keys whose entries fit in one: the caller
+    folds what a person reads, such as the categories of a product. Use ``top_per_key`` for the
+    first entries of keys without a limit.
     """
-    parts = F.ceil(F.col("_n") / F.lit(longest))
-    part = F.coalesce(F.pmod(F.xxhash64(entry), parts), F.lit(0)).cast("long")
-    counted = with_hot_count(df, keys, longest).withColumn("part", part)
-    return counted.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(entry)).alias(into))
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias(into))
 
 
 def previous_in_order(
-    df: DataFrame,
-    keys: Sequence[str],
-    bucket: Column,
-    order: Sequence[str],
-    value: str,
-    into: str,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str, into: str
 ) -> DataFrame:
-    """``lag(value)`` per key; keys with more than ``hot_rows`` rows go bucket by bucket.
+    """``lag(value)`` per key, bucket by bucket, so that a long key is not sorted in one task.
 
-    ``bucket`` must not decrease along ``order`` (a minute, say). Rows of a hot key look back
-    inside their bucket; the first row of a bucket takes the last value of the nearest
-    earlier bucket of its key, found in a table with one row per (hot key, bucket). Other
-    keys are a plain window.
+    ``bucket`` must not decrease along ``order`` (a minute, say). Rows look back inside their
+    bucket; the first row of a bucket takes the last value of the nearest earlier bucket of
+    its key, found in a table with one row per (key, bucket). Rows of one bucket meet in one task.
     """
-    keyed = with_hot_count(df, keys, hot_rows).select(
-        *df.columns, F.when(F.col("_n").isNotNull(), bucket).alias("_bucket")
-    )
+    keyed = df.withColumn("_bucket", bucket)
     within = W.partitionBy(*keys, "_bucket").orderBy(*order)
     along = W.partitionBy(*keys).orderBy("_bucket")
     last = (
-        keyed.filter(F.col("_bucket").isNotNull())
-        .groupBy(*keys, "_bucket")
+        keyed.groupBy(*keys, "_bucket")
         .agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
         .withColumn("_carry", F.lag("_last").over(along))
         .drop("_last")

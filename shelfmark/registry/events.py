@@ -216,7 +216,8 @@ def stream_counts_by_link(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_unique_conversions(spark: SparkSession, sf: str) -> DataFrame:
     unique = streams.unique_conversions(conversions(_stream(spark, sf)), "60 days")
-    return streams.run_available(unique.select("network", "external_event_id", "payload_digest", "occurred_at")).drop("occurred_at")
+    folder = streams.store_conversions(unique, "affiliate_conversion_id")
+    return spark.read.parquet(folder).select("network", "external_event_id", "payload_digest")
 
 
 @query("stream_enrich_click", _enriched_sql())

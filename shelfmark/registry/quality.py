@@ -175,7 +175,7 @@ def conflicting_slugs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "ordered_array",
-    """select p_brand, string_agg(distinct p_type, ',' order by p_type) as types, 0::bigint as part
+    """select p_brand, string_agg(distinct p_type, ',' order by p_type) as types
     from part group by 1""",
 )
 def ordered_array(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfmark.session import scratch_path
+from shelfmark.streaming.events import ingest_conversions
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files: str = "*") -> DataFrame:
@@ -40,18 +41,9 @@ def run_available(stream: DataFrame, path: str | None = None, mode: str = "appen
     return stream.sparkSession.read.schema(stream.schema).parquet(target)
 
 
-def run_batches(
-    stream: DataFrame, step: Callable[[DataFrame], DataFrame], path: str | None = None
-) -> str:
-    """Apply a batch operator to each micro-batch; each batch owns one folder of the result.
-
-    A batch that is run again after a failure overwrites its folder, so rows are neither
-    lost nor doubled.
-    """
-    target = path or scratch_path(stream.sparkSession, "batches")
-
+def _each_batch(stream: DataFrame, step: Callable[[DataFrame, int], DataFrame], target: str) -> str:
     def write(batch: DataFrame, number: int) -> None:
-        step(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        step(batch, number).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     started = (
         stream.writeStream.foreachBatch(write)
@@ -63,24 +55,47 @@ def run_batches(
     return target
 
 
+def run_batches(
+    stream: DataFrame, step: Callable[[DataFrame], DataFrame], path: str | None = None
+) -> str:
+    """Apply a batch operator to each micro-batch; each batch owns one folder of the result.
+
+    A batch that is run again after a failure overwrites its folder, so rows are neither
+    lost nor doubled.
+    """
+    target = path or scratch_path(stream.sparkSession, "batches")
+    return _each_batch(stream, lambda batch, _: step(batch), target)
+
+
 def unique_conversions(conversions: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Conversions whose event id and payload digest were not seen within the delay.
+    """Conversions without exact repeats, the usual retry: same event id and payload digest within the delay.
 
-    What comes later than the delay is caught by ``ingest_conversions`` when a batch of the
-    result is stored. A missing identity never equals another missing one.
+    Rows that share only one of the two are left to ``store_conversions``: whether one is refused
+    depends on what was accepted before it, and a refused row must reserve nothing.
     """
-    event = F.coalesce("external_event_id", F.concat(F.lit("\x00"), "payload_digest"))
-    digest = F.coalesce("payload_digest", F.concat(F.lit("\x00"), "external_event_id"))
+    missing = F.lit("\x00")
     return (
         conversions.filter("external_event_id is not null or payload_digest is not null")
-        .withColumns({"_event": event, "_digest": digest})
+        .withColumns({"_event": F.coalesce("external_event_id", missing), "_digest": F.coalesce("payload_digest", missing)})
         .withWatermark("occurred_at", delay)
-        .dropDuplicatesWithinWatermark(["network", "_event"])
-        .dropDuplicatesWithinWatermark(["network", "_digest"])
+        .dropDuplicatesWithinWatermark(["network", "_event", "_digest"])
         .drop("_event", "_digest")
     )
 
 
+def store_conversions(conversions: DataFrame, order: str, path: str | None = None) -> str:
+    """Settle each micro-batch, in ``order``, against the conversions of all earlier ones, and store what is accepted."""
+    target = path or scratch_path(conversions.sparkSession, "conversions")
+
+    def settle(batch: DataFrame, number: int) -> DataFrame:
+        if number == 0:
+            return ingest_conversions(batch, batch.limit(0), order)
+        stored = batch.sparkSession.read.parquet(target).filter(F.col("batch") < number)
+        return ingest_conversions(batch, stored, order)
+
+    return _each_batch(conversions, settle, target)
+
+
 def counts_by_link(
     events: DataFrame, link: str, at: str, width: str = "1 hour", delay: str = "10 minutes"
 ) -> DataFrame:

@@ -71,8 +71,7 @@ def test_best_interval_agrees_with_comparing_all(spark):
     assert {r["p"]: r["link"] for r in got.collect()} == expected
 
 
-@pytest.mark.parametrize("hot_rows", [0, 135, 10_000])
-def test_previous_in_order_looks_across_buckets(spark, hot_rows):
+def test_previous_in_order_looks_across_buckets(spark):
     rng = random.Random(8)
     rows = [
         (rng.choice(["s", "t", None]), i, START + dt.timedelta(hours=rng.randrange(400)),
@@ -87,7 +86,7 @@ def test_previous_in_order_looks_across_buckets(spark, hot_rows):
             before = v
     df = spark.createDataFrame(rows, "k string, i int, at timestamp_ntz, v string")
     got = keyed.previous_in_order(
-        df.repartition(5), ["k"], F.date_trunc("day", "at"), ["at", "i"], "v", "before", hot_rows
+        df.repartition(5), ["k"], F.date_trunc("day", "at"), ["at", "i"], "v", "before"
     )
     assert {r["i"]: r["before"] for r in got.collect()} == expected
 
@@ -102,16 +101,28 @@ def test_top_per_key_with_one_hot_key(spark):
     assert got.count() == 24
 
 
-def test_long_keys_fold_into_parts(spark):
-    df = spark.range(1000).select(
-        "id", F.when(F.col("id") < 900, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 3)).alias("k")
-    )
-    rows = keyed.fold_sorted(df, ["k"], F.when(F.col("id") % 2 == 0, F.col("id")), "ids", 100).collect()
-    hot = [r for r in rows if r["k"] == "hot"]
-    assert len(hot) > 5 and max(len(r["ids"]) for r in hot) < 200
-    assert all(r["ids"] == sorted(r["ids"]) for r in rows)
-    assert sorted(i for r in rows for i in r["ids"]) == list(range(0, 1000, 2))
-    assert [r["part"] for r in rows if r["k"] != "hot"] == [0, 0, 0]
+@pytest.mark.parametrize("n", [100, 30_000])
+def test_fold_has_one_shape_at_every_size(spark, n):
+    df = spark.range(n).select("id", F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("k"))
+    rows = keyed.fold_sorted(df, ["k"], F.when(F.col("id") % 2 == 0, F.col("id")), "ids").collect()
+    assert {r["k"]: list(r["ids"]) for r in rows} == {
+        "hot": [i for i in range(n) if i % 10 < 9 and i % 2 == 0], "cold": []
+    }
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_refused_conversion_reserves_nothing_in_the_stream(spark, tmp_path, files):
+    rows = [(i, "shop", e, d, START) for i, (e, d) in enumerate([("e1", "d1"), ("e2", "d1"), ("e2", "d9"), ("e1", "d1"), (None, "d9"), ("e3", None)])]
+    schema = "id int, network string, external_event_id string, payload_digest string, occurred_at timestamp"
+    df = spark.createDataFrame(rows, schema)
+    for part in range(files):
+        df.filter(F.col("id") % files == part if files == 1 else (F.col("id") / 2).cast("int") == part).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    folder = streams.store_conversions(streams.unique_conversions(source), "id", f"{tmp_path}/out")
+    streamed = {r["id"] for r in spark.read.parquet(folder).collect()}
+    batch = {r["id"] for r in events.ingest_conversions(df, df.limit(0), "id").collect()}
+    assert streamed == batch == {0, 2, 5}
+
 
 
 VIEWS = T.StructType(
