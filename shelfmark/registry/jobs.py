@@ -167,15 +167,18 @@ def _identity_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         )
         .unionByName(
             claim(
-                part.filter("p_size = 1"), "vendor", F.col("p_brand"), "domain", "official_vendor", brand_site
+                part, "vendor", F.col("p_brand"), "domain", "official_vendor",
+                F.concat(F.when(F.col("p_size") == 1, "").otherwise("old."), brand_site),
             ).distinct()
         )
     )
-    existing = part.filter("p_size in (2, 3, 30)").select(
+    # Identities of other sizes are known under ids that no record asks for.
+    asked = F.when(F.col("p_size").isin(2, 3, 30), "").otherwise("x")
+    existing = part.select(
         F.concat(F.lit("E"), "p_partkey").alias("external_identity_id"),
         F.lit("market").alias("provider_key"),
         F.lit("product").alias("external_object_type"),
-        F.col("p_partkey").cast("string").alias("external_id"),
+        F.concat(asked, "p_partkey").alias("external_id"),
         F.when(F.col("p_size") == 3, "ignored").otherwise("reviewed_matched").alias("match_state"),
         F.lit("alias").alias("match_method"),
         F.lit(90).alias("confidence"),
@@ -300,25 +303,29 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Products of sizes one to five hold the names of documents; sources are categories."""
-    part = table(spark, sf, "part").filter("p_size <= 5")
+    """All products, of which those of sizes one to five hold the names of documents; sources are categories.
+
+    Of the makers, those that write English or French are known by name.
+    """
+    part = table(spark, sf, "part")
     software = part.select(
         F.concat(F.lit("S"), "p_partkey").alias("id"),
         F.when(F.col("p_size") < 3, F.concat(F.lit("doc-"), "p_partkey"))
         .otherwise(F.concat(F.lit("other-"), "p_partkey"))
         .alias("slug"),
-        F.concat(F.lit("DOC "), "p_partkey").alias("name"),
+        F.concat(F.when(F.col("p_size") <= 5, "DOC ").otherwise("PART "), "p_partkey").alias("name"),
         F.lit(None).cast("string").alias("vendorId"),
         F.lit("Maker en").alias("vendorName"),
         F.lit("https://x.example.com").alias("officialUrl"),
     )
+    tongue = F.coalesce("lang", F.lit("none"))
+    known = F.col("lang").isin("en", "fr")
     vendors = (
         table(spark, sf, "documents")
-        .filter("lang in ('en', 'fr')")
         .select(
-            F.concat(F.lit("V"), "lang").alias("id"),
-            F.concat(F.lit("maker-"), "lang").alias("slug"),
-            F.concat(F.lit("MAKER "), "lang").alias("name"),
+            F.concat(F.lit("V"), tongue).alias("id"),
+            F.concat(F.when(known, "maker-").otherwise("studio-"), tongue).alias("slug"),
+            F.concat(F.when(known, "MAKER ").otherwise("STUDIO "), tongue).alias("name"),
             F.lit(None).cast("string").alias("officialUrl"),
         )
         .distinct()

@@ -268,29 +268,28 @@ def either_key_join(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "not_exists_or",
     """select p_partkey, p_name, p_brand from part p where not exists (
-      select 1 from part q where q.p_size < 10 and (q.p_partkey = p.p_partkey + 1
-        or (q.p_name = p.p_name and q.p_brand = p.p_brand)))""",
+      select 1 from part q where q.p_partkey * 3 = p.p_partkey
+        or (q.p_name = p.p_name and q.p_brand || q.p_size = p.p_brand || (p.p_size + 1)))""",
 )
 def not_exists_or(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
-    existing = part.filter("p_size < 10").select(
-        (F.col("p_partkey") - 1).alias("p_partkey"), "p_name", "p_brand"
-    )
-    return versions.not_exists_or(
-        part.select("p_partkey", "p_name", "p_brand"), existing, ["p_partkey"], ["p_name", "p_brand"]
+    existing = part.select(
+        (F.col("p_partkey") * 3).alias("p_partkey"), "p_name", F.concat("p_brand", "p_size").alias("kind")
     )
+    wanted = part.select("p_partkey", "p_name", "p_brand", F.concat("p_brand", F.col("p_size") + 1).alias("kind"))
+    return versions.not_exists_or(wanted, existing, ["p_partkey"], ["p_name", "kind"]).drop("kind")
 
 
 @query(
     "same_name_other_owner",
     """select p_partkey, p_name, p_brand from part a where exists (
-      select 1 from part b where b.p_size < 8 and b.p_name = a.p_name and b.p_brand <> a.p_brand)""",
+      select 1 from part b where b.p_name = a.p_name and b.p_size = a.p_size and b.p_brand <> a.p_brand)""",
 )
 def same_name_other_owner(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    owners = keyed.sole_match(part.filter("p_size < 8"), ["p_name"], "p_brand")
+    owners = keyed.sole_match(part, ["p_name", "p_size"], "p_brand")
     other = (F.col("min_p_brand") != F.col("p_brand")) | (F.col("max_p_brand") != F.col("p_brand"))
-    return part.join(owners, "p_name").filter(other).select("p_partkey", "p_name", "p_brand")
+    return part.join(owners, ["p_name", "p_size"]).filter(other).select("p_partkey", "p_name", "p_brand")
 
 
 def _hosts(spark: SparkSession, sf: str) -> DataFrame:

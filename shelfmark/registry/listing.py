@@ -204,8 +204,7 @@ def visible_software(spark: SparkSession, sf: str) -> DataFrame:
     "visible_vendors",
     """select s_suppkey as vendor_id, s_name as vendor_name from supplier
     where s_acctbal > 0 and s_suppkey in (
-      select l_suppkey from lineitem join part on p_partkey = l_partkey
-      where p_size < 25 and l_linestatus = 'F' and l_quantity > 45)""",
+      select l_suppkey from lineitem join part on p_partkey = l_partkey where p_size < 25)""",
 )
 def visible_vendors(spark: SparkSession, sf: str) -> DataFrame:
     vendors = table(spark, sf, "supplier").select(
@@ -213,7 +212,7 @@ def visible_vendors(spark: SparkSession, sf: str) -> DataFrame:
         F.col("s_name").alias("vendor_name"),
         F.when(F.col("s_acctbal") > 0, "active").otherwise("inactive").alias("status"),
     )
-    offers = table(spark, sf, "lineitem").filter("l_linestatus = 'F' and l_quantity > 45")
+    offers = table(spark, sf, "lineitem")
     sold = software(spark, sf).join(
         offers.select(F.col("l_partkey").alias("software_id"), F.col("l_suppkey").alias("vendor_id")),
         "software_id",
