@@ -90,7 +90,8 @@ def signed(vectors: DataFrame, identifier: str, vector: str, label: str) -> Data
                 item = column[i]
                 row = np.array(item.as_py(), float) if name is not None and item.is_valid else np.zeros(0)
                 # None became nan
-                if not len(row) or not np.isfinite(row).all() or not row.any() or not np.isfinite(np.linalg.norm(row)):
+                # a length of zero is also that of a vector too small for one in double precision
+                if not len(row) or not np.isfinite(row).all() or not 0 < np.linalg.norm(row) < np.inf:
                     sigs.append(None)
                     codes.append(0)
                     continue

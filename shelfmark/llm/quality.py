@@ -162,7 +162,8 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) ->
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> Trees:
     """Trees from the ``SAMPLE_ROWS`` labelled rows with the smallest hash of their key.
 
-    ``labels`` has (key, label 0 or 1); rows with a null in either are left out.
+    ``labels`` has (key, label 0 or 1); rows with a null in either are left out. Of texts that share a key, as many as
+    the sample holds are used.
     """
     usable = labels.select(F.col(key), F.col(label).cast("int").alias("_label")).filter(
         F.col(key).isNotNull() & F.col("_label").isin(0, 1)
@@ -170,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     chosen = usable.orderBy(F.xxhash64(F.col(key)), key, "_label").limit(SAMPLE_ROWS)
     # at most SAMPLE_ROWS rows of two numbers
     labelled = docs.select(key, text).join(F.broadcast(chosen), key)
-    rows = measured(labelled, text, (key, "_label")).orderBy(key, "_label").collect()
+    rows = measured(labelled, text, (key, "_label")).orderBy(key, "_label", "x").limit(SAMPLE_ROWS).collect()
     x = np.array([r.x for r in rows]).reshape(len(rows), len(STATISTICS))
     return grow(x, np.array([r["_label"] for r in rows], float))
 

@@ -127,7 +127,7 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((8, 12))
     vectors = [(base[i % 8] + 0.13 * rng.standard_normal(12)).tolist() for i in range(90)]
-    listed = [(i, v, i % 2) for i, v in enumerate(vectors)] + [(90, vectors[0], 0), (91, vectors[0], None), (92, [0.0] * 12, 0), (93, None, 0), (94, [float("nan")] * 12, 1), (95, [None] + [1.0] * 11, 1), (96, [1.0], 0)]
+    listed = [(i, v, i % 2) for i, v in enumerate(vectors)] + [(90, vectors[0], 0), (91, vectors[0], None), (92, [0.0] * 12, 0), (93, None, 0), (94, [float("nan")] * 12, 1), (95, [None] + [1.0] * 11, 1), (96, [1.0], 0), (97, [1e-200] * 12, 0)]
     got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(listed, "vec_id bigint, embedding array<double>, label int")).collect()}
     usable = {i: (np.array(v), label) for i, v, label in listed if label is not None and i < 92}
     near = {i: {j for j, (y, b) in usable.items() if i != j and a == b and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93} for i, (x, a) in usable.items()}
