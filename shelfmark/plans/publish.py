@@ -359,9 +359,11 @@ def merge_publication(
     """The next version of every catalogue table, and the report.
 
     Adds vendors, products, category relations, claims, providers and identities of the
-    READY records. Rerunning with the result as the catalogue changes nothing, since every
-    insert skips keys that exist. Besides the tables ``dispose`` needs, ``catalogue`` has
-    relations (software_id, category_id, primary_category) and providers (provider_key).
+    READY records. Vendors, claims and providers that exist are not added again. Products and
+    identities must be new and a READY record must resolve to one vendor, else the whole batch
+    fails: records are to be disposed against the catalogue they are merged into. Besides the
+    tables ``dispose`` needs, ``catalogue`` has relations (software_id, category_id,
+    primary_category) and providers (provider_key). ``verify_merge`` checks the outcome.
     """
     _expect(
         conflicting_vendor_slugs(decisions),
@@ -402,6 +404,16 @@ def merge_publication(
         .withColumn("vendor_id", F.col("_vendor"))
         .drop("_vendor")
     )
+    held_ids = catalogue["software"].select(F.col("software_id").cast("string").alias("software_id"))
+    _expect(ready.join(held_ids, "software_id", "left_semi"), "a READY product is in the catalogue already")
+    object_key = ["provider_key", "external_object_type", "external_id"]
+    named = ready.select(F.lower("provider_key").alias("provider_key"), F.lower("external_object_type").alias("external_object_type"), "external_id")
+    _expect(named.join(catalogue["identities"], object_key, "left_semi"), "a READY identity is in the catalogue already")
+    times = ready.select("software_id", F.lit(1).alias("_n")).unionAll(placed.select("software_id", F.lit(-1).alias("_n")))
+    _expect(
+        times.groupBy("software_id").agg(F.sum("_n").alias("_n"), F.count_if(F.col("_n") > 0).alias("_ready")).filter("_n <> 0 or _ready <> 1"),
+        "a READY product does not resolve to one vendor, or is listed twice",
+    )
 
     software = placed.select(
         "software_id",
@@ -531,7 +543,8 @@ VERIFIABLE = ("needs_verification", "failed", "stale")
 def apply_verification(commands: DataFrame, software: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ordered verify and return commands: a result per command, and the new states.
 
-    ``commands``: command_id, software_id, at, kind ('verify' or 'return'), source_url, note.
+    ``commands``: command_id, software_id, at, kind ('verify' or 'return'), source_url, note and,
+    if there is one, source_reference (at most 500 characters, for 'verify' only).
     ``software``: software_id, verification_status, verified_at. The state before a command
     depends on the valid command just before it and on the first verification of the
     product only, so products with very many commands need no fold over all of them.
@@ -542,7 +555,9 @@ def apply_verification(commands: DataFrame, software: DataFrame) -> tuple[DataFr
     note = F.nullif(F.trim("note"), F.lit(""))
     base_ok = product.isNotNull() & (F.length(product) <= 200) & (F.length(F.coalesce(note, F.lit(""))) <= 2000)
     source = F.trim("source_url")
-    verify_ok = base_ok & url.evidence_url_ok(source) & (F.col("kind") == "verify")
+    cited = F.trim("source_reference") if "source_reference" in commands.columns else F.lit("")
+    short = F.length(F.coalesce(cited, F.lit(""))) <= 500
+    verify_ok = base_ok & short & url.evidence_url_ok(source) & (F.col("kind") == "verify")
     return_ok = base_ok & note.isNotNull() & (F.col("kind") == "return")
     judged = commands.select(
         "command_id",
@@ -639,18 +654,31 @@ def verification_events(results: DataFrame) -> DataFrame:
 
 
 def apply_publication(commands: DataFrame, software: DataFrame) -> DataFrame:
-    """Result of each publish ('published') or unpublish ('in_review') command.
+    """Result of each publish ('published') or unpublish ('in_review') command, in order per product.
 
-    At most one command per product: ``software_id`` and ``target``. A product must be in
-    the opposite state.
+    ``commands``: command_id, software_id, at, target. ``software``: software_id, publication_status. A
+    product must be in the opposite state. Whatever came of the command before, the product is then in the
+    state that it asked for, so no fold over a product's commands is needed. Products in another
+    state, or unknown, never move. Adds ``result`` and the ``publication_status`` after the command.
     """
-    states = software.select("software_id", F.col("publication_status").alias("_now"))
-    opposite = F.when(F.col("target") == "published", "in_review").when(
-        F.col("target") == "in_review", "published"
+    from shelfmark.operators.keyed import previous_in_order
+
+    kinds = ("published", "in_review")
+    joined = commands.join(
+        software.select("software_id", F.col("publication_status").alias("_initial")), "software_id", "left"
     )
-    moves = F.coalesce(F.col("_now") == opposite, F.lit(False))
-    return commands.join(states, "software_id", "left").select(
+    able = F.coalesce(F.col("_initial").isin(*kinds) & F.col("target").isin(*kinds), F.lit(False))
+    looked = previous_in_order(
+        joined.filter(able), ["software_id"], F.date_trunc("minute", F.col("at")), ["at", "command_id"], "target", "_before"
+    )
+    moves = F.coalesce("_before", "_initial") != F.col("target")
+    refused = F.lit("invalid_transition")
+    ran = looked.select(
         *commands.columns,
-        F.when(moves, "success").otherwise("invalid_transition").alias("result"),
-        F.when(moves, F.col("target")).otherwise(F.col("_now")).alias("publication_status"),
+        F.when(moves, "success").otherwise(refused).alias("result"),
+        F.col("target").alias("publication_status"),
+    )
+    left = joined.filter(~able).select(
+        *commands.columns, refused.alias("result"), F.col("_initial").alias("publication_status")
     )
+    return ran.unionAll(left)

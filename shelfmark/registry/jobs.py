@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text, url
 from shelfmark.functions.html import REJECTED_WORDS
 from shelfmark.operators import links
+from shelfmark.operators.checks import union_all
 from shelfmark.plans import assets, forms, gate, identity, publish
 from shelfmark.registry import query
 from shelfmark.session import cut_lineage, table
@@ -57,7 +58,7 @@ def backfill_links(spark: SparkSession, sf: str) -> DataFrame:
     shouted = F.concat(
         F.lit(" "), F.upper(F.substring("url", 1, 9)), F.expr("substring(url, 10)"), F.lit("/ ")
     )
-    programs = table(spark, sf, "pages", spread="page_id").select(
+    programs = table(spark, sf, "pages").select(
         F.col("page_id").alias("software_id"),
         F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("affiliate_program_id"),
         shouted.alias("affiliate_url"),
@@ -139,7 +140,7 @@ def seed_claims(spark: SparkSession, sf: str) -> DataFrame:
 
 def _identity_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Products up to size 25 and their brands are canonical; claims are verified up to size 20."""
-    part = table(spark, sf, "part", spread="p_partkey").withColumn("sid", F.concat(F.lit("S"), "p_partkey"))
+    part = table(spark, sf, "part").withColumn("sid", F.concat(F.lit("S"), "p_partkey"))
     known = part.filter("p_size < 25")
     entities = known.select(
         F.lit("software").alias("kind"), F.col("sid").alias("id"), F.col("p_brand").alias("vendor_id")
@@ -244,7 +245,7 @@ def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     The text is the evidence. Name, vendor and category quote its beginning, the
     description its first line, the capability quotes the benchmark passage of the same id.
     """
-    documents = table(spark, sf, "documents", spread="doc_id")
+    documents = table(spark, sf, "documents")
     labels = table(spark, sf, "labels")
     passages = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("doc_id"), F.col("text").alias("passage")
@@ -648,6 +649,35 @@ def merge_publication(spark: SparkSession, sf: str) -> DataFrame:
     return after["software"].select("software_id", "vendor_id", "publication_status")
 
 
+@query(
+    "merge_growth",
+    f"""with {DISPOSED}, ready as (select * from d where disposition = 'READY')
+    select 'software' as name, (select count(*) from part where p_size <= 25) as before, count(*) as added from ready
+    union all select 'identities', (select count(*) from part where p_size < 5), count(*) from ready
+    union all select 'relations', (select count(*) from part where p_size <= 25), count(*) from ready
+    union all select 'vendors', (select count(distinct p_brand) from part where split_part(p_brand, '#', 2)::int <= 15),
+      count(distinct p_brand) from ready where b > 15""",
+)
+def merge_growth(spark: SparkSession, sf: str) -> DataFrame:
+    """How each table grows by a merge whose outcome was verified."""
+    catalogue = _catalogue(spark, sf)
+    catalogue["software"] = catalogue["software"].withColumn("vendor_id", F.lit(None).cast("string"))
+    decided = cut_lineage(publish.dispose(_records(spark, sf), catalogue))
+    after = publish.merge_publication(decided, catalogue, F.lit("2026-01-01"))
+    # kept, as they are verified and counted
+    after = {name: cut_lineage(after[name]) for name in ("software", "identities", "relations", "vendors", "new_vendors")}
+    publish.verify_merge(catalogue, after, decided)
+
+    def size(name: str) -> DataFrame:
+        old = catalogue[name].agg(F.count(F.lit(1)).alias("before"))
+        new = after[name].agg(F.count(F.lit(1)).alias("after"))
+        return old.join(new, F.lit(True)).select(
+            F.lit(name).alias("name"), "before", (F.col("after") - F.col("before")).alias("added")
+        )
+
+    return union_all([size(name) for name in ("software", "identities", "relations", "vendors")])
+
+
 # Commands ------------------------------------------------------------------------------------
 
 
@@ -695,24 +725,32 @@ def apply_verification(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "apply_publication",
-    """select o_orderkey as software_id, case when o_orderpriority = '1-URGENT' then 'published'
-        else 'in_review' end as target,
-      case when (o_orderpriority = '1-URGENT') = (o_orderstatus = 'O') and o_orderstatus <> 'P'
-        then 'success' else 'invalid_transition' end as result
-    from orders""",
+    """with c as (
+      select o_orderkey, o_orderdate, o_custkey,
+        case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'published' else 'in_review' end as target,
+        case when c_acctbal > 5000 then 'published' when c_acctbal > 0 then 'in_review' end as initial
+      from orders left join customer on c_custkey = o_custkey),
+    o as (select *, lag(target) over (partition by o_custkey order by o_orderdate, o_orderkey) as before from c)
+    select o_orderkey as command_id, target, case when initial is not null and coalesce(before, initial) <> target
+        then 'success' else 'invalid_transition' end as result,
+      case when initial is not null then target end as publication_status
+    from o""",
 )
 def apply_publication(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders")
-    urgent = F.col("o_orderpriority") == "1-URGENT"
-    commands = orders.select(
-        F.col("o_orderkey").alias("software_id"),
-        F.when(urgent, "published").otherwise("in_review").alias("target"),
+    """Orders as commands on their customers, in order of time; customers in debt have no state."""
+    commands = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("command_id"),
+        F.col("o_custkey").alias("software_id"),
+        F.col("o_orderdate").alias("at"),
+        F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "published").otherwise("in_review").alias("target"),
     )
-    state = F.when(F.col("o_orderstatus") == "F", "published").when(
-        F.col("o_orderstatus") == "O", "in_review"
+    balance = F.col("c_acctbal")
+    software = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("software_id"),
+        F.when(balance > 5000, "published").when(balance > 0, "in_review").alias("publication_status"),
     )
-    software = orders.select(F.col("o_orderkey").alias("software_id"), state.alias("publication_status"))
-    return publish.apply_publication(commands, software).select("software_id", "target", "result")
+    done = publish.apply_publication(commands, software)
+    return done.select("command_id", "target", "result", "publication_status")
 
 
 # Page assets ---------------------------------------------------------------------------------
@@ -725,7 +763,7 @@ def _crawl(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     picture and plain http pages are unsafe.
     """
     language = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
-    pages = table(spark, sf, "pages", spread="page_id").select(
+    pages = table(spark, sf, "pages").select(
         "page_id",
         F.col("url").alias("page_url"),
         "html",
@@ -931,7 +969,7 @@ def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
         control(6, "input", "hidden", F.lit("x")),
     )
     empty = F.filter(controls, lambda c: F.lit(False))
-    return table(spark, sf, "part", spread="p_partkey").select(
+    return table(spark, sf, "part").select(
         F.col("p_partkey").alias("program_id"),
         F.col("p_name").alias("program_name"),
         F.lit("https://x.partnerstack.com/apply?a=1").alias("page_url"),

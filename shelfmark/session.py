@@ -24,17 +24,9 @@ def local_session(cores: int | str = 8, app: str = "shelfmark") -> SparkSession:
     )
 
 
-def table(spark: SparkSession, folder: str, name: str, spread: str | None = None) -> DataFrame:
-    """A parquet table. ``spread`` names a unique column of a table that is costly to process:
-
-    its rows are dealt out to all cores if it comes in fewer files than there are cores, as
-    a file with one row group is read by one task. Larger inputs are left as they are split.
-    """
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and len(df.inputFiles()) < cores:
-        return df.repartition(cores, spread)
-    return df
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A parquet table, split as the session's ``spark.sql.files`` settings say."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:

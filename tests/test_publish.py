@@ -143,6 +143,8 @@ def test_merge_grows_tables_and_reruns_change_nothing(spark, decided):
     assert sorted(r["provider_key"] for r in after["providers"].collect()) == ["other", "web"]
     again = publish.dispose(records(spark), after)
     assert again.filter("disposition = 'READY'").count() == 0
+    with pytest.raises(GuardFailed, match="in the catalogue already"):
+        publish.merge_publication(decided, after, F.lit("2026-01-03"))
 
 
 def test_two_slugs_for_one_vendor_fail_the_batch(spark):
@@ -232,3 +234,27 @@ def test_verification_commands_agree_with_a_fold(spark):
     assert {r["software_id"]: r["verification_status"] for r in after.collect()} == finals
     events = publish.verification_events(results).collect()
     assert len(events) == sum(ok for ok, _ in expected.values())
+
+
+def test_publication_commands_run_in_order(spark):
+    commands = spark.createDataFrame(
+        [(1, "a", 1, "published"), (2, "a", 2, "in_review"), (3, "a", 3, "in_review"), (4, "b", 1, "published"), (5, "c", 1, "published"), (6, "a", 4, "other")],
+        "command_id int, software_id string, minute int, target string",
+    ).select("command_id", "software_id", F.timestamp_seconds(F.col("minute") * 60).alias("at"), "target")
+    software = spark.createDataFrame([("a", "in_review"), ("b", "draft")], "software_id string, publication_status string")
+    got = {r.command_id: (r.result, r.publication_status) for r in publish.apply_publication(commands, software).collect()}
+    refused = "invalid_transition"
+    assert got == {
+        1: ("success", "published"), 2: ("success", "in_review"), 3: (refused, "in_review"),
+        4: (refused, "draft"), 5: (refused, None), 6: (refused, "in_review"),
+    }
+
+
+def test_a_long_source_reference_is_refused(spark):
+    commands = spark.createDataFrame(
+        [(i, "a", "verify", "https://a.example.com/", None, "x" * n) for i, n in ((1, 501), (2, 500))],
+        "command_id int, software_id string, kind string, source_url string, note string, source_reference string",
+    ).withColumn("at", F.timestamp_seconds(F.col("command_id")))
+    software = spark.createDataFrame([("a", "stale")], "software_id string, verification_status string").withColumn("verified_at", F.lit(None).cast("timestamp"))
+    results, _ = publish.apply_verification(commands, software)
+    assert {r.command_id: r.result for r in results.collect()} == {1: "invalid_input", 2: "success"}
