@@ -16,6 +16,7 @@ from shelfmark.functions import keys, text, url
 from shelfmark.operators.checks import GuardFailed, conflicting, duplicate_keys, union_all
 from shelfmark.operators.keyed import first_per_key
 from shelfmark.operators.versions import insert_ignore, new_rows
+from shelfmark.session import cut_lineage
 
 READY = "READY"
 
@@ -404,6 +405,7 @@ def merge_publication(
         .withColumn("vendor_id", F.col("_vendor"))
         .drop("_vendor")
     )
+    placed = cut_lineage(placed)  # four tables and a guard are made of it
     held_ids = catalogue["software"].select(F.col("software_id").cast("string").alias("software_id"))
     _expect(ready.join(held_ids, "software_id", "left_semi"), "a READY product is in the catalogue already")
     object_key = ["provider_key", "external_object_type", "external_id"]
