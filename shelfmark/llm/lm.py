@@ -1,38 +1,39 @@
 """Language-model scores by a weighted backoff automaton over words.
 
-Counts come from all training texts. Words are 64-bit hashes of their bytes. The lowest order is add-one
-smoothed over the whole vocabulary; above it, n-grams with at least a given share of all tokens get an
-absolutely discounted probability, and what they leave is passed down by a backoff weight. Such n-grams become
-arcs and their contexts states; a state without an arc for the next word follows its failure arc, which carries the
-weight, to the next shorter context. A share bounds the automaton by its inverse, whatever the corpus: no
-more than 1 / share n-grams of an order can reach it. Words too rare for it lie outside every n-gram, so they
-only need their own count, which a join supplies.
+The model holds every word, pair and triple of words of all training texts, each a 64-bit hash with its
+count. N-grams that may stand before a word are states, their continuations arcs. The lowest order is add-one smoothed
+over the whole vocabulary; each order above mixes its counts with the order below, as if ``PRIOR`` more tokens
+had been seen there. What a state gives to words it has no arc for is the weight of its failure arc to the next
+shorter context. A traversal goes through a text once from left to right, carries the state and adds up log-probabilities.
+
+The automaton grows with the corpus, so it is never in one place. Texts are dealt into blocks of about
+``BLOCK_BYTES``. A block sends its distinct n-grams, with their counts in its training texts, to the buckets of
+their hashes; a bucket adds them up and answers each block. A block then knows all arcs and failure arcs its texts can
+take, and walks them. An n-gram comes to its bucket once per block, however frequent it is, so no key is hot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shelfmark.llm.common import LOWER, SPACES, Rolling, Texts, drop_at_end, small_batches, texts, word_table, words, written
-from shelfmark.session import scratch_path
+from shelfmark.llm.common import LOWER, SPACES, Rolling, Texts, mixed, small_batches, texts, word_table, words
 
 ORDER = 3
-#: Least share of all tokens of a word that the automaton holds: at most 2,000,000 of them.
-WORD_SHARE = 5e-7
-#: The same for n-grams of two and more words: at most 200,000 of an order.
-GRAM_SHARE = 5e-6
-DISCOUNT = 0.5
-#: Distinct keys that a task gathers before it passes them on.
-FLUSH = 2_000_000
+#: Tokens that the order below is worth in a mixture.
+PRIOR = 4.0
+#: Text that one block holds; a longer text is a block's own.
+BLOCK_BYTES = 24_000_000
 #: The token that ends a text; word hashes avoid it.
 END = 0
 _INSIDE = word_table(SPACES)
+_NEXT = np.uint64(0x9E3779B97F4A7C15)
+MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 class Tokens:
@@ -45,286 +46,205 @@ class Tokens:
         """Row and hash of each token, in order."""
         row, start, stop = words(part, _INSIDE)
         prefix = self.hasher.prefix(LOWER[part.data])
-        key = self.hasher.spans(prefix, start, stop).view(np.int64)
+        key = self.hasher.spans(prefix, start, stop)
         key[key == END] = 1
         ends = np.cumsum(np.bincount(row, minlength=part.rows))
-        return np.insert(row, ends, np.arange(part.rows)), np.insert(key, ends, END)
-
-
-def _merged(kept: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
-    return keys, np.bincount(place, np.concatenate([n for _, n in kept]), len(keys)).astype(np.int64)
-
-
-def _counted(docs: DataFrame, keys_of: Callable[[], Callable[[Texts], np.ndarray]]) -> DataFrame:
-    """(key, n): how often each key comes up in the texts of ``docs`` (column text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = keys_of()
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        held = 0
-        for batch in batches:
-            for part in texts(batch.column("text")):
-                key, n = np.unique(find(part), return_counts=True)
-                kept.append((key, n))
-                held += len(key)
-                if held > FLUSH:
-                    kept = [_merged(kept)]
-                    held = len(kept[0][0])
-                    if held > FLUSH // 2:
-                        yield pa.RecordBatch.from_pydict({"key": kept[0][0], "n": kept[0][1]})
-                        kept, held = [], 0
-        if kept:
-            key, n = _merged(kept)
-            yield pa.RecordBatch.from_pydict({"key": key, "n": n})
-
-    return docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class Words:
-    """The words that the automaton knows, sorted by hash; a word's number is its place."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
-
-    def numbers(self, key: np.ndarray) -> np.ndarray:
-        """The number of each word; -1 for others."""
-        if not len(self.keys):
-            return np.full(len(key), -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, at, -1)
+        return np.insert(row, ends, np.arange(part.rows)), np.insert(key, ends, np.uint64(END))
 
 
 class Grams:
-    """N-grams of one order: sorted codes context * width + word, where a context is the place of a shorter n-gram."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(codes)
-        self.codes, self.counts = codes[order], counts[order]
-
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        if not len(self.codes):
-            return np.full(len(codes), -1)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where((codes >= 0) & (self.codes[at] == codes), at, -1)
-
-
-def _codes(row: np.ndarray, number: np.ndarray, orders: list[Grams], width: int) -> np.ndarray:
-    """Code of the n-gram that ends at each token, one order above the last known; -1 if it is not in question."""
-    context = number
-    for grams in [*orders, None]:
-        before = np.full(len(row), -1)
-        before[1:] = np.where(row[1:] == row[:-1], context[:-1], -1)
-        code = np.where((before >= 0) & (number >= 0), before * width + number, -1)
-        if grams is None:
-            return code
-        context = grams.find(code)
-    raise AssertionError
+    """The n-grams of one order in a block: distinct hashes, sorted, and which one ends at each token that has one."""
+
+    def __init__(self, key: np.ndarray, there: np.ndarray):
+        self.there = there
+        self.distinct, self.place = np.unique(key[there], return_inverse=True)
+
+    def in_training(self, learn: np.ndarray) -> np.ndarray:
+        """How often each distinct n-gram ends at a token marked in ``learn``."""
+        return np.bincount(self.place, learn[self.there], len(self.distinct)).astype(np.int64)
+
+    def per_token(self, totals: np.ndarray) -> np.ndarray:
+        """The count of the n-gram that ends at each token, 0 if there is none."""
+        out = np.zeros(len(self.there), np.int64)
+        out[self.there] = totals[self.place]
+        return out
+
+
+class Block:
+    """Tokens of the texts of a block and its n-grams of all orders."""
+
+    def __init__(self, column: pa.ChunkedArray, order: int):
+        find, rows, keys, base = Tokens(), [], [], 0
+        for part in texts(column):
+            row, key = find(part)
+            rows.append(row + base)
+            keys.append(key)
+            base += part.rows
+        self.rows = base
+        self.row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        self.grams = [Grams(key, np.ones(len(key), bool))]
+        gram, there = key, self.grams[0].there
+        for n in range(1, order):
+            before = np.zeros(len(key), np.uint64)
+            before[1:] = gram[:-1]
+            there = there & self.after(there)
+            gram = mixed(mixed(before + np.uint64(n)) * _NEXT + key)
+            self.grams.append(Grams(gram, there))
+
+    def after(self, values: np.ndarray) -> np.ndarray:
+        """For each token, the value of the token before it in the same text; nothing (0) for the first."""
+        out = np.zeros_like(values)
+        out[1:] = np.where(self.row[1:] == self.row[:-1], values[:-1], 0)
+        return out
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, so that the shuffle's compression finds their empty high bytes."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes as steps."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
+
+
+def _cuts(distinct: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's share of sorted hashes begins, and the end."""
+    edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+    return np.append(np.searchsorted(distinct, edges), len(distinct))
+
+
+def _totals(block: pa.Table) -> pa.Table:
+    """A bucket's answer to each block: total counts in the order of the hashes it sent, tokens and distinct n-grams."""
+    keys = [_unpacked_keys(k) for k in block["keys"].to_pylist()]
+    counts = np.concatenate([_unpacked(n, np.int64) for n in block["n"].to_pylist()])
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, counts, len(distinct)).astype(np.int64)
+    answers = np.split(total[place], np.cumsum([len(k) for k in keys])[:-1])
+    n = len(keys)
+    return pa.table(
+        {
+            "block": block["block"],
+            "bucket": block["bucket"],
+            "totals": pa.array([_packed(a) for a in answers], pa.binary()),
+            "tokens": pa.array([int(total.sum())] * n, pa.int64()),
+            "vocabulary": pa.array([int((total > 0).sum())] * n, pa.int64()),
+        }
+    )
 
 
 class Automaton:
-    """States and arcs of a fitted model. State 0 is the empty context, 1 + w the context of word w alone."""
-
-    def __init__(self, known: Words, orders: list[Grams], tokens: int, vocabulary: int):
-        self.known, self.tokens, self.vocabulary = known, tokens, vocabulary
-        self.unigram = np.log10((known.counts + 1) / self.total)
-        width = len(known.keys)
-        self.width = width
-        first = [1]  # number of the first state of each order
-        size = width
-        for grams in orders:
-            first.append(first[-1] + size)
-            size = len(grams.codes)
-        count = first[-1] + (size if len(orders) < 1 else 0)
-        self.states = max(count, 1 + width)
-        self.back, self.fail = np.zeros(self.states), np.zeros(self.states, np.int64)
-        below = 10.0**self.unigram  # probability of a word after the shorter context, for each n-gram of this order
-        holders = np.zeros(width, bool)
-        lower = Grams(np.arange(width), known.counts)
-        self.arcs: dict[int, tuple[int, float]] = {}
-        plans = []
-        for order, grams in enumerate(orders):
-            context, word = grams.codes // width, grams.codes % width
-            if order == 0:
-                probability_below = below[word]
-                shorter = word + 1
-            else:
-                # the context without its first word, and what that context gives the word
-                inner = plans[-1][0][context] % width
-                code = inner * width + word
-                place = orders[0].find(code) if order == 1 else np.full(len(code), -1)
-                explicit = plans[0][1]
-                probability_below = np.where(place >= 0, explicit[place] if len(explicit) else 0.0, 10.0 ** (self.back[1 + inner] + self.unigram[word]))
-                shorter = np.where(place >= 0, first[1] + place, 1 + word)
-            probability = (grams.counts - DISCOUNT) / np.maximum(lower.counts[context], grams.counts)
-            left = 1 - np.bincount(context, probability, len(lower.codes))
-            rest = 1 - np.bincount(context, probability_below, len(lower.codes))
-            used = np.bincount(context, minlength=len(lower.codes)) > 0
-            state = first[order] + np.flatnonzero(used)
-            if len(state):
-                self.back[state] = np.log10(np.maximum(left[used], 1e-12) / np.maximum(rest[used], 1e-12))
-                self.fail[state] = 0 if order == 0 else 1 + plans[-1][0][np.flatnonzero(used)] % width
-            plans.append((grams.codes, probability, context, word, shorter, used))
-            lower = grams
-        usable = [p[5] for p in plans]
-        for order, (codes, probability, context, word, shorter, _) in enumerate(plans):
-            here = first[order] + context
-            if order + 1 < len(plans):
-                own = first[order + 1] + np.arange(len(codes))
-                follow = np.where(usable[order + 1], own, shorter)
-            else:
-                follow = shorter
-            # a state that begins no arc is the same as its failure state
-            for s, w, n, p in zip(here.tolist(), word.tolist(), follow.tolist(), np.log10(probability).tolist()):
-                self.arcs[s * width + w] = (self._live(n, first, usable, plans), p)
-        start = np.arange(width) + 1
-        self.start = np.where(usable[0], start, 0) if plans else np.zeros(width, np.int64)
-
-    @staticmethod
-    def _live(state: int, first: list[int], usable: list[np.ndarray], plans: list) -> int:
-        while state:
-            order = 1 if len(first) > 2 and state >= first[1] and len(plans) > 1 else 0
-            at = state - first[order]
-            if order < len(usable) and at < len(usable[order]) and usable[order][at]:
-                return state
-            state = 1 + int(plans[0][0][at] % len(usable[0])) if order else 0
-        return 0
-
-    @property
-    def total(self) -> int:
-        """What an add-one probability divides by: tokens, the vocabulary, and one for all unseen words."""
-        return self.tokens + self.vocabulary + 1
-
-    def score(self, numbers: list[int]) -> float:
-        """log10 probability of a text without what its rare words (-1) themselves take; one pass, left to right."""
-        arcs, width, unigram, back, fail, start = self.arcs, self.width, self._unigram, self._back, self._fail, self._start
-        state, sum_ = 0, 0.0
-        for w in numbers:
-            if w < 0:
-                while state:
-                    sum_ += back[state]
-                    state = fail[state]
-                continue
-            while state:
-                arc = arcs.get(state * width + w)
-                if arc is not None:
-                    state = arc[0]
-                    sum_ += arc[1]
-                    break
-                sum_ += back[state]
-                state = fail[state]
-            else:
-                sum_ += unigram[w]
-                state = start[w]
-        return sum_
-
-    def ready(self) -> Automaton:
-        """Plain lists for the traversal, made once per Python worker."""
-        if not hasattr(self, "_unigram"):
-            self._unigram, self._back, self._fail, self._start = (a.tolist() for a in (self.unigram, self.back, self.fail, self.start))
-        return self
-
-
-def fit(docs: DataFrame, text: str = "text", order: int = ORDER, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> tuple[Automaton, DataFrame]:
-    """The automaton and the table (key, n) of all words, from all rows of ``docs``; order is 1 to 3."""
-    small_batches(docs.sparkSession)
-    texts_only = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    tokens = lambda: (lambda find: lambda part: find(part)[1])(Tokens())
-    counts = written(_counted(texts_only, tokens), "lm-words")
-    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    # at most 1 / word_share words
-    head = counts.filter((F.col("n") >= word_share * whole.n) | (F.col("key") == END)).toPandas()
-    known = Words(head["key"].to_numpy(np.int64), head["n"].to_numpy(np.int64))
-    orders: list[Grams] = []
-    spark = docs.sparkSession
-    frequent = Words(known.keys, known.counts)
-    # a frequent n-gram has frequent parts only
-    enough = known.counts >= gram_share * whole.n
-    for _ in range(1, order):
-        shared = spark.sparkContext.broadcast((frequent, enough, orders))
-
-        def grams() -> Callable[[Texts], np.ndarray]:
-            find = Tokens()
-            words_, often, lower = shared.value  # noqa: B023 - used within this round
-
-            def codes(part: Texts) -> np.ndarray:
-                row, key = find(part)
-                number = words_.numbers(key)
-                number[(number >= 0) & ~often[number]] = -1
-                found = _codes(row, number, lower, len(words_.keys))
-                return found[found >= 0]
+    """The arcs and failure arcs that a block's tokens can take.
 
-            return codes
-
-        made = _counted(texts_only, grams).filter(F.col("n") >= gram_share * whole.n).toPandas()
-        orders = [*orders, Grams(made["key"].to_numpy(np.int64), made["n"].to_numpy(np.int64))]
-    return Automaton(known, orders, int(whole.n), int(whole.v)), counts
-
-
-def score(docs: DataFrame, model: Automaton, counts: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` per row.
+    ``arc[k]`` is the log10 weight of the arc by each token from the context of the ``k`` tokens before it, ``has[k]``
+    whether there is such an arc, ``fail[k]`` the weight of this context's failure arc. The empty context has an
+    arc by every token. ``seen`` tells whether the token alone came up in training.
+    """
 
-    ``base_score`` sums the add-one log10 probabilities of single tokens; ``score`` is the automaton's.
-    Null and empty texts have one token, the end. Repeated rows are scored alike. A model of an empty
-    table gives every token the same probability, 1 / 1. Columns not in ``keep`` are left out, so that
-    no name can clash.
+    def __init__(self, block: Block, counts: list[np.ndarray], total: int, prior: float):
+        self.seen = counts[0] > 0
+        self.ends = np.append(block.row[1:] != block.row[:-1], True)
+        probability = (counts[0] + 1) / total
+        self.arc, self.fail, self.has = [np.log10(probability)], [np.zeros(len(probability))], [self.seen]
+        for shorter, own in zip(counts, counts[1:]):
+            context = block.after(shorter)
+            probability = (own + prior * probability) / (context + prior)
+            self.arc.append(np.log10(probability))
+            self.fail.append(np.log10(prior / (context + prior)))
+            self.has.append(own > 0)
+
+    def walk(self, start: int, stop: int) -> Iterator[float]:
+        """Weights of the arcs and failure arcs on the way through tokens of whole texts, one sum per token.
+
+        The state is the longest known context, told by its length: the tokens before the current one say which it is.
+        The end of a text is in no context, so the walk starts anew after it.
+        """
+        top = len(self.arc) - 1
+        steps = [zip(*[a[start:stop].tolist() for a in column]) for column in (self.has, self.arc, self.fail)]
+        state = 0
+        for has, arc, fail, ends in zip(*steps, self.ends[start:stop].tolist()):
+            passed = 0.0
+            while state and not has[state]:
+                passed += fail[state]
+                state -= 1
+            yield passed + arc[state]
+            # the arc leads to the context it spells, or to that without its first word
+            state = min(state + 1, top) if has[state] and not ends else 0
+
+
+def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``keep`` columns with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of all rows.
+
+    The model is learned from the rows for which ``learn`` is true. ``base_score`` sums the add-one log10
+    probabilities of single tokens; ``score`` is the automaton's. Null and empty texts have one token, the end. Repeated
+    rows are learned and scored one by one. Without training rows every token has the same probability, 1 / 1.
+    Columns not in ``keep`` are left out, so that no name can clash.
     """
-    made = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    kept = [f for f in docs.schema.fields if f.name in keep and f.name not in made]
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    small_batches(spark)
+    kept = [f for f in docs.schema.fields if f.name in keep and f.name not in MADE]
     names = [f"k{i}" for i in range(len(kept))]
-    schema = ", ".join([f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept)] + ["_row bigint", "n_tokens bigint", "_known bigint", "_base double", "_score double", "_rare array<bigint>"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, find = shared.value.ready(), Tokens()
-        number_of_row = TaskContext.get().partitionId() << 40
-        unigram = np.append(automaton.unigram, 0.0)  # the last one for -1
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            rare_keys, rare_sizes = [], []
-            for part in texts(batch.column("_text")):
-                row, key = find(part)
-                number = automaton.known.numbers(key)
-                size = np.bincount(row, minlength=part.rows)
-                known = number >= 0
-                n_known = np.bincount(row[known], minlength=part.rows)
-                base = np.bincount(row, unigram[number], part.rows)
-                each, ends = number.tolist(), np.cumsum(size)
-                found = [automaton.score(each[e - n : e]) for e, n in zip(ends.tolist(), size.tolist())]
-                for column, values in zip(out, (size, n_known, base, found)):
-                    column.append(np.asarray(values))
-                rare_keys.append(key[~known])
-                rare_sizes.append(size - n_known)
-            rows = batch.num_rows
-            joined = [np.concatenate(c) if c else np.zeros(0) for c in out[:4]]
-            offsets = np.append(0, np.cumsum(np.concatenate(rare_sizes) if rare_sizes else np.zeros(0, int))).astype(np.int32)
-            rare = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rare_keys) if rare_keys else np.zeros(0, np.int64)))
-            numbers = pa.array(np.arange(number_of_row, number_of_row + rows))
-            number_of_row += rows
-            columns = [*[batch.column(n) for n in names], numbers, pa.array(joined[0].astype(np.int64)), pa.array(joined[1].astype(np.int64)), pa.array(joined[2].astype(float)), pa.array(joined[3].astype(float)), rare]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "_row", "n_tokens", "_known", "_base", "_score", "_rare"])
-
-    narrow = docs.select(*[F.col(f.name).alias(n) for n, f in zip(names, kept)], F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    # two tables, as one reads the rare words and the other all else; rows are numbered once, on writing
-    path = scratch_path(spark, "lm-scored")
-    narrow.mapInArrow(run, schema).write.parquet(path)
-    drop_at_end(spark, path)
-    scored = spark.read.parquet(path)
-    total = float(model.total)
-    rare = (
-        scored.select("_row", F.explode("_rare").alias("key"))
-        .join(counts, "key", "left")
-        .groupBy("_row")
-        .agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(total))).alias("_more"), F.count("n").alias("_seen"))
-    )
-    more = F.coalesce("_more", F.lit(0.0))
-    return scored.drop("_rare").join(rare, "_row", "left").select(
-        *[F.col(n).alias(f.name) for n, f in zip(names, kept)],
-        "n_tokens",
-        (F.col("_known") + F.coalesce("_seen", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("_base") + more).alias("base_score"),
-        (F.col("_score") + more).alias("score"),
-    )
+    whole = F.coalesce(F.col(text), F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(whole))).first()[0] or 0
+    blocks = size // block_bytes + 1
+    buckets = min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    narrow = docs.select(*[F.col(f.name).alias(n) for n, f in zip(names, kept)], F.coalesce(learn, F.lit(False)).alias("_learn"), whole.alias("_text"))
+    # copies of one text have their own ids, so they are dealt to many blocks
+    dealt = F.xxhash64("_text", *[n for n, f in zip(names, kept) if isinstance(f.dataType, T.AtomicType)])
+    blocked = narrow.withColumn("block", F.pmod(dealt, F.lit(blocks)))
+
+    def ask(table: pa.Table) -> pa.Table:
+        block = Block(table["_text"], order)
+        learned = np.asarray(table["_learn"].to_numpy(), bool)[block.row]
+        out: dict[str, list] = {"block": [], "bucket": [], "keys": [], "n": []}
+        number = table["block"][0].as_py()
+        for at, grams in enumerate(block.grams):
+            n, cuts = grams.in_training(learned), _cuts(grams.distinct, buckets)
+            for bucket, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+                # each bucket of words is asked, as its answer also counts towards the vocabulary
+                if b > a or at == 0:
+                    for column, value in zip(out.values(), (number, at * buckets + bucket, _packed_keys(grams.distinct[a:b]), _packed(n[a:b]))):
+                        column.append(value)
+        return pa.table([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], list(out))
+
+    def walk(table: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block(table["_text"], order)
+        answers = answers.sort_by("bucket")
+        found = [[] for _ in block.grams]
+        for bucket, totals in zip(answers["bucket"].to_pylist(), answers["totals"].to_pylist()):
+            found[bucket // buckets].append(_unpacked(totals, np.int64))
+        counts = [g.per_token(np.concatenate(f) if f else np.zeros(0, np.int64)) for g, f in zip(block.grams, found)]
+        of_words = [b < buckets for b in answers["bucket"].to_pylist()]
+        tokens = sum(n for n, w in zip(answers["tokens"].to_pylist(), of_words) if w)
+        vocabulary = sum(n for n, w in zip(answers["vocabulary"].to_pylist(), of_words) if w)
+        automaton = Automaton(block, counts, tokens + vocabulary + 1, prior)
+        n_tokens = np.bincount(block.row, minlength=block.rows)
+        bounds = np.append(0, np.cumsum(n_tokens))
+        scores = []
+        for first in range(0, block.rows, 500):
+            last = min(first + 500, block.rows)
+            each = np.fromiter(automaton.walk(bounds[first], bounds[last]), float, bounds[last] - bounds[first])
+            scores.append(np.add.reduceat(each, bounds[first:last] - bounds[first]))
+        made = (
+            n_tokens.astype(np.int64),
+            np.bincount(block.row, automaton.seen, block.rows).astype(np.int64),
+            np.full(block.rows, tokens, np.int64),
+            np.bincount(block.row, automaton.arc[0], block.rows),
+            np.concatenate(scores),
+        )
+        return pa.table([*[table[n] for n in names], *[pa.array(m) for m in made]], [*names, *MADE])
+
+    asked = blocked.groupBy("block").applyInArrow(ask, "block bigint, bucket bigint, keys binary, n binary")
+    answered = asked.groupBy("bucket").applyInArrow(_totals, "block bigint, bucket bigint, totals binary, tokens bigint, vocabulary bigint")
+    schema = ", ".join([*[f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept)], "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"])
+    scored = blocked.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(walk, schema)
+    return scored.select(*[F.col(n).alias(f.name) for n, f in zip(names, kept)], *MADE)

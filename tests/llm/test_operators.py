@@ -166,48 +166,46 @@ def test_trees_walk_like_their_nodes():
     assert np.allclose(trees.score(x), 1 / (1 + np.exp(-margin)))
 
 
-def test_language_model_against_brute_force(spark, docs):
-    train = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
-    model, counts = lm.fit(train)
-    got = {r.doc_id: r for r in lm.score(docs, model, counts).collect()}
+@pytest.mark.parametrize("block_bytes", [lm.BLOCK_BYTES, 100_000])
+def test_language_model_against_brute_force(spark, docs, block_bytes):
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    got = {r.doc_id: r for r in lm.score(docs, learn, block_bytes=block_bytes).collect()}
     tokens = {r.doc_id: [*split(r.text), None] for r in docs.collect()}
     one, two, three = (collections.Counter() for _ in range(3))
-    learned = [w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    for w in learned:
+    for w in (w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2):
         one.update(w)
         two.update(zip(w, w[1:]))
+        three.update(zip(w, w[1:], w[2:]))
     total, vocabulary = sum(one.values()), len(one)
-    least = lm.GRAM_SHARE * total
-    two = {k: n for k, n in two.items() if n >= least}
-    for w in learned:
-        three.update(k for k in zip(w, w[1:], w[2:]) if k[:2] in two and k[1:] in two)
-    three = {k: n for k, n in three.items() if n >= least}
 
     def p1(a):
         return (one[a] + 1) / (total + vocabulary + 1)
 
-    after1, after2 = collections.defaultdict(list), collections.defaultdict(list)
-    for k in two:
-        after1[k[0]].append(k[1])
-    for k in three:
-        after2[k[:2]].append(k[2])
-    q2 = {k: (n - 0.5) / one[k[0]] for k, n in two.items()}
-    left1 = {a: (1 - sum(q2[a, b] for b in bs)) / (1 - sum(map(p1, bs))) for a, bs in after1.items()}
-
     def p2(a, b):
-        return q2.get((a, b)) or left1.get(a, 1) * p1(b)
+        return (two[a, b] + lm.PRIOR * p1(b)) / (one[a] + lm.PRIOR)
+
+    def p3(a, b, c):
+        return (three[a, b, c] + lm.PRIOR * p2(b, c)) / (two[a, b] + lm.PRIOR)
 
-    q3 = {k: (n - 0.5) / two[k[:2]] for k, n in three.items()}
-    left2 = {k: (1 - sum(q3[*k, c] for c in cs)) / (1 - sum(p2(k[1], c) for c in cs)) for k, cs in after2.items()}
+    assert got.keys() == tokens.keys()
     for i, w in tokens.items():
         score = math.log10(p1(w[0])) + sum(math.log10(p2(*k)) for k in zip(w[:2], w[1:2]))
-        score += sum(math.log10(q3.get(k) or left2.get(k[:2], 1) * p2(*k[1:])) for k in zip(w, w[1:], w[2:]))
+        score += sum(math.log10(p3(*k)) for k in zip(w, w[1:], w[2:]))
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(one[a] > 0 for a in w), total)
         assert math.isclose(r.base_score, sum(math.log10(p1(a)) for a in w), rel_tol=1e-9)
         assert math.isclose(r.score, score, rel_tol=1e-9)
 
 
+def test_language_model_of_held_out_texts(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a", "b b", "a", "a b", "b a b"])], "doc_id int, text string")
+    asked = docs.unionByName(spark.createDataFrame([(100 + i, f"a b {t}") for i, t in enumerate("abx")], "doc_id int, text string"))
+    found = {r.doc_id: r for r in lm.score(asked, F.col("doc_id") < 100).collect()}
+    first = {r.doc_id: r for r in lm.score(asked, F.col("doc_id") < 100, order=1).collect()}
+    assert found[102].n_known == 3 and found[102].n_tokens == 4 and found[102].score < found[100].score
+    assert all(math.isclose(first[i].score, first[i].base_score) for i in first)
+
+
 def test_license_places_against_brute_force(spark, docs, odd):
     extra = spark.createDataFrame(rows(["CC BY CC-by 4.0", "All rights reserved. all\nRIGHTS reserved", "xcc by", "GNU General Public License, version 3", "ccİ by"]), SCHEMA)
     for frame in (docs, extra, odd.filter("doc_id is not null").dropDuplicates(["doc_id"])):
@@ -300,7 +298,6 @@ def test_slices_cover_all_rows():
 def applied(frame, spark):
     """What each operator returns for a frame of documents."""
     benchmark = spark.createDataFrame([(1, "one two three four five")], "item_id bigint, text string")
-    model, counts = lm.fit(frame)
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (6, None)], "doc_id bigint, quality int")
     return {
         "language": language.predict(frame, language.fit(frame)),
@@ -309,7 +306,7 @@ def applied(frame, spark):
         "licenses": licenses.digest(licenses.scan(frame)),
         "decontamination": decontamination.with_matches(frame, benchmark),
         "mixing": mixing.mix(frame),
-        "lm": lm.score(frame, model, counts),
+        "lm": lm.score(frame, F.col("doc_id") != 5),
         "simhash": simhash.near_duplicates(frame),
     }
 
