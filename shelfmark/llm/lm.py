@@ -1,6 +1,6 @@
 """Language-model scores by a weighted backoff automaton over words.
 
-The model holds every word, pair and triple of words of all training texts, each a 64-bit hash with its
+The model holds every word, pair and triple of words of all training texts, each a hash with its
 count. N-grams that may stand before a word are states, their continuations arcs. The lowest order is add-one smoothed
 over the whole vocabulary; each order above mixes its counts with the order below, as if ``PRIOR`` more tokens
 had been seen there. What a state gives to words it has no arc for is the weight of its failure arc to the next
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,11 @@ ORDER = 3
 #: Tokens that the order below is worth in a mixture.
 PRIOR = 4.0
 #: Text that one block holds; a longer text is a block's own.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 8_000_000
+#: Tokens that a walk takes out of its arrays at once.
+STEP = 100_000
+#: Bits of the hashes of n-grams above words, which only decide what the model adds to the base score.
+GRAM_BITS = 56
 #: The token that ends a text; word hashes avoid it.
 END = 0
 _INSIDE = word_table(SPACES)
@@ -57,7 +62,8 @@ class Grams:
 
     def __init__(self, key: np.ndarray, there: np.ndarray):
         self.there = there
-        self.distinct, self.place = np.unique(key[there], return_inverse=True)
+        self.distinct, place = np.unique(key[there], return_inverse=True)
+        self.place = place.astype(np.int32)
 
     def in_training(self, learn: np.ndarray) -> np.ndarray:
         """How often each distinct n-gram ends at a token marked in ``learn``."""
@@ -77,7 +83,7 @@ class Block:
         find, rows, keys, base = Tokens(), [], [], 0
         for part in texts(column):
             row, key = find(part)
-            rows.append(row + base)
+            rows.append((row + base).astype(np.int32))
             keys.append(key)
             base += part.rows
         self.rows = base
@@ -90,7 +96,7 @@ class Block:
             before[1:] = gram[:-1]
             there = there & self.after(there)
             gram = mixed(mixed(before + np.uint64(n)) * _NEXT + key)
-            self.grams.append(Grams(gram, there))
+            self.grams.append(Grams(gram >> np.uint64(64 - GRAM_BITS), there))
 
     def after(self, values: np.ndarray) -> np.ndarray:
         """For each token, the value of the token before it in the same text; nothing (0) for the first."""
@@ -100,12 +106,12 @@ class Block:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane, so that the shuffle's compression finds their empty high bytes."""
-    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers byte plane by byte plane, compressed: most of their high bytes are zero."""
+    return zstandard.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
 
 
 def _packed_keys(keys: np.ndarray) -> bytes:
@@ -117,9 +123,9 @@ def _unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
 
 
-def _cuts(distinct: np.ndarray, buckets: int) -> np.ndarray:
+def _cuts(distinct: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Where each bucket's share of sorted hashes begins, and the end."""
-    edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
+    edges = np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)
     return np.append(np.searchsorted(distinct, edges), len(distinct))
 
 
@@ -162,23 +168,23 @@ class Automaton:
             self.fail.append(np.log10(prior / (context + prior)))
             self.has.append(own > 0)
 
-    def walk(self, start: int, stop: int) -> Iterator[float]:
-        """Weights of the arcs and failure arcs on the way through tokens of whole texts, one sum per token.
+    def walk(self) -> Iterator[float]:
+        """Weights of the arcs and failure arcs on the way through all tokens, one sum per token.
 
         The state is the longest known context, told by its length: the tokens before the current one say which it is.
         The end of a text is in no context, so the walk starts anew after it.
         """
-        top = len(self.arc) - 1
-        steps = [zip(*[a[start:stop].tolist() for a in column]) for column in (self.has, self.arc, self.fail)]
-        state = 0
-        for has, arc, fail, ends in zip(*steps, self.ends[start:stop].tolist()):
-            passed = 0.0
-            while state and not has[state]:
-                passed += fail[state]
-                state -= 1
-            yield passed + arc[state]
-            # the arc leads to the context it spells, or to that without its first word
-            state = min(state + 1, top) if has[state] and not ends else 0
+        top, state = len(self.arc) - 1, 0
+        for start in range(0, len(self.ends), STEP):
+            steps = [zip(*[a[start : start + STEP].tolist() for a in arrays]) for arrays in (self.has, self.arc, self.fail)]
+            for has, arc, fail, ends in zip(*steps, self.ends[start : start + STEP].tolist()):
+                passed = 0.0
+                while state and not has[state]:
+                    passed += fail[state]
+                    state -= 1
+                yield passed + arc[state]
+                # the arc leads to the context it spells, or to that without its first word
+                state = min(state + 1, top) if has[state] and not ends else 0
 
 
 def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, ...] = ("doc_id",), order: int = ORDER, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -208,7 +214,7 @@ def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, .
         out: dict[str, list] = {"block": [], "bucket": [], "keys": [], "n": []}
         number = table["block"][0].as_py()
         for at, grams in enumerate(block.grams):
-            n, cuts = grams.in_training(learned), _cuts(grams.distinct, buckets)
+            n, cuts = grams.in_training(learned), _cuts(grams.distinct, buckets, GRAM_BITS if at else 64)
             for bucket, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
                 # each bucket of words is asked, as its answer also counts towards the vocabulary
                 if b > a or at == 0:
@@ -228,18 +234,13 @@ def score(docs: DataFrame, learn: Column, text: str = "text", keep: tuple[str, .
         vocabulary = sum(n for n, w in zip(answers["vocabulary"].to_pylist(), of_words) if w)
         automaton = Automaton(block, counts, tokens + vocabulary + 1, prior)
         n_tokens = np.bincount(block.row, minlength=block.rows)
-        bounds = np.append(0, np.cumsum(n_tokens))
-        scores = []
-        for first in range(0, block.rows, 500):
-            last = min(first + 500, block.rows)
-            each = np.fromiter(automaton.walk(bounds[first], bounds[last]), float, bounds[last] - bounds[first])
-            scores.append(np.add.reduceat(each, bounds[first:last] - bounds[first]))
+        each = np.fromiter(automaton.walk(), float, len(block.row))
         made = (
             n_tokens.astype(np.int64),
             np.bincount(block.row, automaton.seen, block.rows).astype(np.int64),
             np.full(block.rows, tokens, np.int64),
             np.bincount(block.row, automaton.arc[0], block.rows),
-            np.concatenate(scores),
+            np.bincount(block.row, each, block.rows),
         )
         return pa.table([*[table[n] for n in names], *[pa.array(m) for m in made]], [*names, *MADE])
 
