@@ -51,10 +51,13 @@ def fingerprint(
     net = text.norm_name(network)
     external = F.coalesce(text.strip(external_program_id), F.lit(""))
     site = url.canon_http_url(program_url)
+    listed = url.standard_all(
+        F.transform(F.coalesce(domains, F.array().cast("array<string>")), url.with_https)
+    )
     hosts = F.array_sort(
         F.array_distinct(
             F.filter(
-                F.transform(F.coalesce(domains, F.array().cast("array<string>")), _discovered),
+                F.transform(listed, lambda d: url.norm_domain(d, "discovery", plain=True)),
                 lambda d: d.isNotNull(),
             )
         )
@@ -76,7 +79,3 @@ def fingerprint(
         .when(F.size(hosts) > 0, tagged("domain", F.array_join(hosts, ",")))
         .when(F.concat(*names) != "", tagged("names", named)),
     )
-
-
-def _discovered(domain: Column) -> Column:
-    return url.norm_domain(domain, "discovery")

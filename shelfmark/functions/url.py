@@ -1,11 +1,14 @@
-"""URL rules as regular expressions over the raw text.
+"""URL rules as regular expressions over the text of an address.
 
-Hosts are compared in lower case. Hosts outside ASCII are refused rather than
-punycoded, and dot segments in paths are left as written.
+Hosts are compared in lower case. ``standard`` first gives hosts outside ASCII their ASCII form and
+resolves dot segments; other addresses, nearly all, never leave the JVM. Python cannot be called within
+an array function: there ``standard_all`` prepares the array, and the rules are told ``plain=True``.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
@@ -35,14 +38,85 @@ def _tidy_path(path: Column) -> Column:
     return F.when(cut == "", F.lit("/")).otherwise(cut)
 
 
-def safe_url(c: Column) -> Column:
+# An address that ``standard`` changes: something outside ASCII, or a dot segment.
+_UNUSUAL = r"(?i)[^\x00-\x7f]|^https?://[^/?#]+(?:/[^?#]*)?/(?:\.|%2e){1,2}(?:[/?#]|$)"
+_PARTS = re.compile(r"(?is)(https?://)([^/?#\\]*)([^?#]*)(.*)")
+_DOT, _DOTS = re.compile(r"(?i)\.|%2e"), re.compile(r"(?i)(?:\.|%2e){2}")
+_ASCII = "".join(map(chr, range(128)))
+# Characters a host may be written with that stand for nothing.
+_IGNORED = dict.fromkeys(map(ord, "\xad\u200b\u2060\ufeff"))
+
+
+def _ascii_host(host: str) -> str:
+    """Compatibility composition in lower case, then Punycode for each label outside ASCII."""
+    folded = unicodedata.normalize("NFKC", host.translate(_IGNORED).lower()).replace("\u3002", ".")
+    labels = [x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in folded.split(".")]
+    return ".".join(labels)
+
+
+def _resolved(path: str) -> str:
+    """A path without ``.`` and ``..``, what is outside ASCII percent-encoded."""
+    out: list[str] = []
+    steps = path.split("/")[1:]
+    for i, step in enumerate(steps):
+        up = bool(_DOTS.fullmatch(step))
+        if up:
+            out = out[:-1]
+        elif not _DOT.fullmatch(step):
+            out.append(step)
+            continue
+        if i == len(steps) - 1:
+            out.append("")
+    return quote("/" + "/".join(out), safe=_ASCII) if steps else path
+
+
+def _standard(address: str) -> str:
+    found = _PARTS.fullmatch(address)
+    if not found or "@" in found[2]:
+        return address
+    host, colon, port = found[2].partition(":")
+    try:
+        return found[1] + _ascii_host(host) + colon + port + _resolved(found[3]) + quote(found[4], safe=_ASCII)
+    except UnicodeError:
+        return address
+
+
+@F.pandas_udf(T.StringType())
+def _standard_each(addresses: pd.Series) -> pd.Series:
+    return addresses.map(_standard, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _standard_lists(addresses: pd.Series) -> pd.Series:
+    return addresses.map(lambda items: [i if i is None else _standard(i) for i in items], na_action="ignore")
+
+
+def standard(c: Column) -> Column:
+    """An http(s) address with an ASCII host and without dot segments; anything else as it is."""
+    return F.coalesce(_standard_each(F.when(c.rlike(_UNUSUAL), c)), c)
+
+
+def standard_all(c: Column) -> Column:
+    """``standard`` over an array; arrays it does not change bypass Python."""
+    unusual = F.exists(c, lambda a: F.coalesce(a.rlike(_UNUSUAL), F.lit(False)))
+    return F.coalesce(_standard_lists(F.when(unusual, c)), c)
+
+
+def with_https(c: Column) -> Column:
+    """Trimmed; a bare host becomes an https address."""
+    raw = strip(c)
+    return F.when(raw.rlike("(?i)^https://") | (raw == ""), raw).otherwise(F.concat(F.lit("https://"), raw))
+
+
+def safe_url(c: Column, plain: bool = False) -> Column:
     """True for an https URL that is fit to be shown: dotted host, no credentials, no blanks."""
-    host = F.regexp_extract(c, "(?i)^https://([^/?#:]+)", 1)
-    port = F.regexp_extract(c, "(?i)^https://[^/?#:]+:([0-9]+)", 1)
+    address = c if plain else standard(c)
+    host = F.regexp_extract(address, "(?i)^https://([^/?#:]+)", 1)
+    port = F.regexp_extract(address, "(?i)^https://[^/?#:]+:([0-9]+)", 1)
     return F.coalesce(
         (F.length(c) <= 2048)
         & ~c.rlike(rf"{SPACE}|[\\\x00-\x1f\x7f]")
-        & c.rlike(rf"(?i)^https://{DOTTED_HOST}(?::[0-9]{{0,5}})?(?:[/?#].*)?$")
+        & address.rlike(rf"(?i)^https://{DOTTED_HOST}(?::[0-9]{{0,5}})?(?:[/?#].*)?$")
         & (F.length(host) <= 253)
         & ((port == "") | (F.lpad(port, 5, "0") <= "65535")),
         F.lit(False),
@@ -51,7 +125,8 @@ def safe_url(c: Column) -> Column:
 
 def canon_http_url(c: Column) -> Column:
     """Comparable form of a safe URL: no fragment, parameters sorted by key, no trailing slash."""
-    url = strip(c)
+    written = strip(c)
+    url = standard(written)
     host = F.lower(F.regexp_extract(url, "(?i)^https://([^/?#:]+)", 1))
     port = F.regexp_extract(url, "(?i)^https://[^/?#:]+(:[0-9]+)", 1)
     path = F.regexp_extract(url, "(?i)^https://[^/?#]+(/[^?#]*)", 1)
@@ -73,12 +148,12 @@ def canon_http_url(c: Column) -> Column:
         _tidy_path(path),
         F.when(ordered == "", F.lit("")).otherwise(F.concat(F.lit("?"), ordered)),
     )
-    return F.when(safe_url(url), href)
+    return F.when(safe_url(written), href)
 
 
-def canon_https_url(c: Column) -> Column:
+def canon_https_url(c: Column, plain: bool = False) -> Column:
     """Official-site form: https, dotted host, no port; query and fragment dropped."""
-    url = strip(c)
+    url = strip(c) if plain else standard(strip(c))
     shape = rf"(?i)^https://({PLAIN_HOST})(?::(?:443)?)?(?:[/?#].*)?$"
     host = F.lower(F.regexp_extract(url, shape, 1))
     path = F.replace(
@@ -106,7 +181,7 @@ def domain_text(c: Column) -> Column:
     return F.regexp_replace(_found(F.lower(c), "^https?://([^/:?#]+)"), r"^www\.", "")
 
 
-def norm_domain(c: Column, form: str = "identity") -> Column:
+def norm_domain(c: Column, form: str = "identity", plain: bool = False) -> Column:
     """Bare comparable domain.
 
     ``identity`` accepts http or https and refuses an explicit port; ``discovery``
@@ -114,22 +189,20 @@ def norm_domain(c: Column, form: str = "identity") -> Column:
     """
     raw = strip(c)
     if form == "discovery":
-        with_scheme = F.when(raw.rlike("(?i)^https://"), raw).otherwise(
-            F.concat(F.lit("https://"), raw)
-        )
+        written = with_https(c)
+        address = written if plain else standard(written)
         return F.when(
-            (raw != "") & safe_url(with_scheme),
-            _without_www(F.regexp_extract(with_scheme, "(?i)^https://([^/?#:]+)", 1)),
+            (raw != "") & safe_url(written, plain),
+            _without_www(F.regexp_extract(address, "(?i)^https://([^/?#:]+)", 1)),
         )
     if form != "identity":
         raise ValueError(f"unknown domain form {form!r}")
-    with_scheme = F.when(raw.rlike("(?i)^https?://"), raw).otherwise(
-        F.concat(F.lit("https://"), raw)
-    )
+    written = F.when(raw.rlike("(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
+    address = written if plain else standard(written)
     shape = rf"(?i)^(?:http://({PLAIN_HOST})(?::(?:80)?)?|https://({PLAIN_HOST})(?::(?:443)?)?)(?:[/?#].*)?$"
-    host = F.concat(F.regexp_extract(with_scheme, shape, 1), F.regexp_extract(with_scheme, shape, 2))
+    host = F.concat(F.regexp_extract(address, shape, 1), F.regexp_extract(address, shape, 2))
     bare = _without_www(host)
-    return F.when(with_scheme.rlike(shape) & (bare != ""), bare)
+    return F.when(address.rlike(shape) & (bare != ""), bare)
 
 
 def host_without_www(c: Column) -> Column:

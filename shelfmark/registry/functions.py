@@ -138,9 +138,20 @@ def _pages(spark: SparkSession, sf: str, **columns: Column) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", *[c.alias(n) for n, c in columns.items()])
 
 
-@query("norm_domain", f"select page_id, {BARE} as identity, case when url like 'https:%' then {BARE} end as discovery from pages")
+# Every fifth page gets a host outside ASCII, every fifth other one dot segments; the twin writes what they stand for.
+SPELLED = r"""(select page_id, case page_id % 5 when 0 then replace(url, '://', '://xn--bcher-kva.')
+  when 1 then regexp_replace(url, '^(https?://[^/?#]+)/', '\1/y/') else url end as url from pages) spelled"""
+
+
+def _spelled(c: Column) -> Column:
+    dotted = F.regexp_replace(c, "^(https?://[^/?#]+)/", "$1/x/../y/./")
+    kind = F.col("page_id") % 5
+    return F.when(kind == 0, F.replace(c, F.lit("://"), F.lit("://Bücher."))).when(kind == 1, dotted).otherwise(c)
+
+
+@query("norm_domain", f"select page_id, {BARE} as identity, case when url like 'https:%' then {BARE} end as discovery from {SPELLED}")
 def norm_domain(spark: SparkSession, sf: str) -> DataFrame:
-    address = F.col("url")
+    address = _spelled(F.col("url"))
     return _pages(
         spark, sf,
         identity=url.norm_domain(address),
@@ -156,18 +167,18 @@ def domain_sql(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "canon_http_url",
     f"""select page_id, case when url like 'https:%' then 'https://' || {HOST} || {TIDY}
-      || case when {SORTED_QUERY} = '' then '' else '?' || {SORTED_QUERY} end end as url from pages""",
+      || case when {SORTED_QUERY} = '' then '' else '?' || {SORTED_QUERY} end end as url from {SPELLED}""",
 )
 def canon_http_url(spark: SparkSession, sf: str) -> DataFrame:
-    return _pages(spark, sf, url=url.canon_http_url(F.col("url")))
+    return _pages(spark, sf, url=url.canon_http_url(_spelled(F.col("url"))))
 
 
 @query(
     "canon_https_url",
-    f"select page_id, case when url like 'https:%' then 'https://' || {HOST} || {TIDY} end as url from pages",
+    f"select page_id, case when url like 'https:%' then 'https://' || {HOST} || {TIDY} end as url from {SPELLED}",
 )
 def canon_https_url(spark: SparkSession, sf: str) -> DataFrame:
-    return _pages(spark, sf, url=url.canon_https_url(F.col("url")))
+    return _pages(spark, sf, url=url.canon_https_url(_spelled(F.col("url"))))
 
 
 @query(
@@ -188,7 +199,7 @@ def canon_url_sql(spark: SparkSession, sf: str) -> DataFrame:
       as without_blank from pages""",
 )
 def safe_url(spark: SparkSession, sf: str) -> DataFrame:
-    address = F.col("url")
+    address = _spelled(F.col("url"))
     return _pages(
         spark, sf,
         plain=url.safe_url(address),

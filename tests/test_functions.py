@@ -31,7 +31,15 @@ CASES = [
         ("https://a.example.com/ x", False), ("https://-a.example.com/", False), (None, False),
         ("https://a.example.com/" + "x" * 2048, False), ("javascript:alert(1)", False),
     ]),
+    (url.standard, [
+        ("https://MÜNCHEN.de:8443/ä?ö#ü", "https://xn--mnchen-3ya.de:8443/%C3%A4?%C3%B6#%C3%BC"),
+        ("http://a。b/x/../../y/.?q=/../", "http://a.b/y/?q=/../"), ("https://a.b/x/%2E%2e/z/..", "https://a.b/"),
+        ("https://straße.de/.hidden/..x", "https://xn--strae-oqa.de/.hidden/..x"),
+        ("https://ü@a.b/./", "https://ü@a.b/./"), ("https://a.b/?q=/./", "https://a.b/?q=/./"), ("ä", "ä"), (None, None),
+    ]),
     (url.canon_http_url, [
+        ("https://Bücher.example.com/a/./b/../c/", "https://xn--bcher-kva.example.com/a/c"),
+        ("https://a.example.com/\u00a0x", None),
         ("HTTPS://A.Example.com:443//p//?b=1&a=2&b=0#f", "https://a.example.com//p?a=2&b=1&b=0"),
         ("https://a.example.com", "https://a.example.com/"),
         ("https://a.example.com/?q", "https://a.example.com/?q="),
@@ -39,19 +47,20 @@ CASES = [
     ]),
     (url.canon_https_url, [
         ("https://A.example.com/x/?q=1#f", "https://a.example.com/x"),
+        ("https://münchen.de/x/../y", "https://xn--mnchen-3ya.de/y"),
         ("https://a.example.com:8443/", None), ("https://nodot/", None),
         ("https://u:p@a.example.com/", None),
     ]),
     (url.norm_domain, [
         ("https://www.A.example.com/x", "a.example.com"), ("a.example.com", "a.example.com"),
         ("http://a.example.com:80/", "a.example.com"), ("http://a.example.com:8080/", None),
-        ("https://u@a.example.com", None), (" ", None),
+        ("https://u@a.example.com", None), (" ", None), ("WWW.München.de", "xn--mnchen-3ya.de"),
         # Read as a bare host, this is the host "ftp" with an empty port.
         ("ftp://a.example.com", "ftp"),
     ]),
     (lambda c: url.norm_domain(c, "discovery"), [
         ("https://www.a.example.com:8443/x", "a.example.com"), ("a.example.com", "a.example.com"),
-        ("http://a.example.com", None),
+        ("http://a.example.com", None), ("münchen.de", "xn--mnchen-3ya.de"),
     ]),
     (url.public_url, [
         ("https://example.com", True), ("http://example.com", False),
@@ -89,6 +98,13 @@ def test_function(spark, function, cases):
     assert apply(spark, function, [c[0] for c in cases]) == [c[1] for c in cases]
 
 
+def test_fingerprint_of_hosts_outside_ascii(spark):
+    rows = spark.createDataFrame([(["Bücher.example.com", None, "xn--bcher-kva.example.com", ""],)], "d array<string>")
+    none = F.lit(None).cast("string")
+    got = rows.select(keys.fingerprint(F.lit("net"), none, none, F.col("d"), none, none, none).alias("k")).first()["k"]
+    assert tuple(got) == ("net|domain:xn--bcher-kva.example.com", "domain")
+
+
 def test_provider_key(spark):
     rows = spark.createDataFrame(
         [(" Web", "Product", " a/B "), ("no key", "p", "x"), ("web", "p", " "), (None, "p", "x")],
