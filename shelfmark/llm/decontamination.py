@@ -32,8 +32,6 @@ BLOCK_PASSAGES = 384
 LEAST_HELD = 0.3
 #: Blocks that one pass over the documents compares with; a larger benchmark takes more passes.
 BLOCKS_PER_PASS = 8
-#: A word that more than this share of all documents hold has no weight.
-COMMON = 0.25
 #: Least cosine of a window to be aligned.
 NEAR = 0.27
 #: Least part of an item that must be found in order; the lower one needs the answer too.
@@ -108,8 +106,8 @@ def frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def weights(held: np.ndarray, n: int) -> np.ndarray:
-    """Inverse document frequency of each feature; 0 for common ones."""
-    return np.where(held > COMMON * n, 0.0, np.log((1 + n) / (1 + held)) + 0.1).astype(np.float32)
+    """Inverse document frequency of each feature, above 0 for one that all documents hold."""
+    return (np.log((1 + n) / (1 + held)) + 0.1).astype(np.float32)
 
 
 def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ import random
 
 
 import corpus_pipeline
+from shelfmark.llm import decontamination
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -69,3 +70,20 @@ def test_pipeline_drops_a_large_group_of_near_copies(spark):
         listed.append((n, " ".join(w)))
     found = corpus_pipeline.drop_near_duplicates(spark, rows(spark, [*listed, (900, "something else altogether in here")]), "")
     assert sorted(r.doc_id for r in found.select("doc_id").collect()) == [0, 900]
+
+
+def hits(spark, texts, items):
+    """The items found in each text."""
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = decontamination.with_matches(rows(spark, list(enumerate(texts))), benchmark).collect()
+    return {r.doc_id: [m.item_id for m in r.matches] for r in found}
+
+
+def test_decontamination_where_a_contaminated_text_is_common(spark):
+    random.seed(9)
+    words = ["".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(800)]
+    item = " ".join(random.sample(words, 23))
+    dirty = " ".join([*random.sample(words, 40), item, *random.sample(words, 40)])
+    clean = [" ".join(random.sample(words, 90)) for _ in range(40)]
+    assert hits(spark, [dirty], [item]) == {0: [0]}
+    assert hits(spark, [dirty] * 20 + clean, [item]) == {n: [0] if n < 20 else [] for n in range(60)}
