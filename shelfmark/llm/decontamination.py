@@ -6,6 +6,10 @@ orthonormalises a matrix of fixed size. Every window of every document is placed
 compared with the block's passages by cosine. What is near enough is aligned word by word: the longest common
 subsequence must cover most of the item, or a good part of it together with its answer.
 
+An item that fills little of a window is far from it by cosine, so items are also looked up by pairs of words: text
+that holds one with at most a fifth of its words changed, left out or put in shares a known number of its word pairs,
+about as far from the text's start as in the item. What shares as many is aligned as well, whatever its words weigh.
+
 Cosines use the whole length of a window's vector, not only its part in the space, so a window that merely shares
 common words stays far; they are divided by the share of the passage that the space holds, which makes them estimates
 of the cosine before reduction.
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import Rolling, Texts, small_batches, texts, word_table, words, written
+from shelfmark.llm.common import Rolling, Texts, mixed, small_batches, texts, word_table, words, written
 
 FEATURES = 1 << 18
 RANK, EXTRA, ROUNDS = 192, 16, 3
@@ -36,6 +40,8 @@ BLOCKS_PER_PASS = 8
 NEAR = 0.27
 #: Least part of an item that must be found in order; the lower one needs the answer too.
 ALIGNED, WITH_ANSWER = 0.8, 0.6
+#: An item is found by its word pairs if at most one in so many of its words differs; this is within ALIGNED.
+ONE_IN = 5
 SLICES = 16
 #: Words are letters and digits; all else in ASCII stands between them.
 _INSIDE = word_table(bytes(b for b in range(128) if not chr(b).isalnum()))
@@ -234,6 +240,63 @@ class Index:
         return found, any(text[i : i + len(answer)] == answer for i in range(len(text) - len(answer) + 1))
 
 
+class Seeds:
+    """Word pairs of the items of some blocks (the word itself for an item of one), and where they stand in them."""
+
+    def __init__(self, indexes: list[Index]):
+        listed = [(b, i, np.array(w, np.uint64)) for b, index in enumerate(indexes) for i, w in enumerate(index.words)]
+        self.items = [(b, i) for b, i, _ in listed]
+        self.size = np.array([len(w) for _, _, w in listed], np.int64)
+        self.edits = self.size // ONE_IN
+        # every edit breaks two pairs at most
+        self.need = np.maximum(1, self.size - 1 - 2 * self.edits)
+        self.tables = []
+        for k in (1, 2):
+            made = [(n, self.grams(w, k)) for n, (_, _, w) in enumerate(listed) if min(2, len(w)) == k]
+            if made:
+                gram = np.concatenate([g for _, g in made])
+                owner = np.concatenate([np.full(len(g), n) for n, g in made])
+                offset = np.concatenate([np.arange(len(g)) for _, g in made])
+                order = np.argsort(gram, kind="stable")
+                held = np.zeros(1 << 20, bool)
+                held[gram >> np.uint64(44)] = True
+                self.tables.append((k, held, gram[order], owner[order], offset[order]))
+
+    @staticmethod
+    def grams(word: np.ndarray, k: int) -> np.ndarray:
+        return word if k == 1 else mixed(word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:])
+
+    def near(self, row: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, block, item, begin, end) of the places to align: word ranges that may reach beyond the row."""
+        for k, held, gram, owner, offset in self.tables:
+            found = self.grams(word, k)
+            at = np.flatnonzero(held[found >> np.uint64(44)] & (row[: len(found)] == row[k - 1 :]))
+            first, stop = np.searchsorted(gram, found[at], "left"), np.searchsorted(gram, found[at], "right")
+            count = stop - first
+            seed = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+            place = np.repeat(at, count)
+            item, begin = owner[seed], place - offset[seed]
+            # hits of a row and an item stand together, by where the item would begin
+            order = np.lexsort((begin, item, row[place]))
+            place, item, begin = place[order], item[order], begin[order]
+            last = np.arange(len(item)) + self.need[item] - 1
+            within = np.flatnonzero(last < len(item))
+            far = last[within]
+            enough = (item[far] == item[within]) & (row[place[far]] == row[place[within]]) & (begin[far] - begin[within] <= self.edits[item[within]])
+            within = within[enough]
+            owner_row, item, begin = row[place[within]], item[within], begin[within]
+            # an item without room for edits stands there word for word, so its first place will do
+            new = np.ones(len(item), bool)
+            new[1:] = (item[1:] != item[:-1]) | (owner_row[1:] != owner_row[:-1]) | (self.edits[item[1:]] > 0)
+            before = (-1, -1, 0)
+            for r, n, b in zip(owner_row[new].tolist(), item[new].tolist(), begin[new].tolist()):
+                edits = int(self.edits[n])
+                if before[:2] == (r, n) and b <= before[2] + edits:  # inside what was yielded last
+                    continue
+                before = (r, n, b)
+                yield r, *self.items[n], b - edits, b + int(self.size[n]) + 2 * edits
+
+
 def _steps(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word of each step of STRIDE words, and whether it is the last step of its row."""
     first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
@@ -251,7 +314,7 @@ MATCH = "array<struct<item_id:{item},cosine:double,aligned:double,answered:boole
 
 def _search(docs: DataFrame, indexes: list[Index], idf: np.ndarray, item: str) -> DataFrame:
     """``docs`` (with ``_text`` and perhaps ``_found``) with the matches of the indexes' items added to ``_found``."""
-    shared = docs.sparkSession.sparkContext.broadcast((indexes, idf))
+    shared = docs.sparkSession.sparkContext.broadcast((indexes, idf, Seeds(indexes)))
     others = [f for f in docs.schema.fields if f.name != "_found"]
     kept = [f.name for f in others]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["_found " + MATCH.format(item=item)])
@@ -265,8 +328,15 @@ def _search(docs: DataFrame, indexes: list[Index], idf: np.ndarray, item: str) -
         bounds = np.searchsorted(row, np.arange(part.rows + 1))
         weight = shared.value[1][feature] ** 2
         begin, last = _steps(row)
-        for index in shared.value[0]:
-            best: dict[tuple[int, int], tuple] = {}
+        indexes, _, seeds = shared.value
+        seeded: list[dict[tuple[int, int], tuple]] = [{} for _ in indexes]
+        for r, block, i, a, b in seeds.near(row, word):
+            a, b = max(int(bounds[r]), a), min(int(bounds[r + 1]), b)
+            aligned, answered = indexes[block].align(i, word[a:b].tolist())
+            best = seeded[block]
+            if aligned >= ALIGNED and ((r, i) not in best or aligned > best[r, i][1]):
+                best[r, i] = (None, aligned, answered, int(a - bounds[r]))
+        for index, best in zip(indexes, seeded):
             seen: dict[tuple[int, int], int] = {}
             for step, i, cosine in index.near(feature, weight, begin, last):
                 at = int(begin[step])
@@ -279,7 +349,7 @@ def _search(docs: DataFrame, indexes: list[Index], idf: np.ndarray, item: str) -
                 aligned, answered = index.align(i, word[a:b].tolist())
                 seen[r, i] = at + WINDOW
                 if aligned >= ALIGNED or aligned >= WITH_ANSWER and answered:
-                    if (r, i) not in best or aligned > best[r, i][1]:
+                    if (r, i) not in best or aligned > best[r, i][1] or aligned == best[r, i][1] and best[r, i][0] is None:
                         best[r, i] = (cosine, aligned, answered, int(at - bounds[r]))
             for (r, i), (cosine, aligned, answered, first) in sorted(best.items()):
                 out[r].append({"item_id": index.ids[i], "cosine": cosine, "aligned": aligned, "answered": answered, "first_word": first})
@@ -310,6 +380,8 @@ def with_matches(
 ) -> DataFrame:
     """``docs`` with the benchmark items that each text holds, as an array ``into`` of (item_id, cosine, aligned, answered, first_word).
 
+    ``cosine`` is null where no window is near and only word pairs led to the item. Items of any length count, so one
+    of a single word is found wherever that word is.
     ``answer`` names a column of the benchmark; without one, the last sentence of an item counts as its answer.
     All documents are searched in whole, and document frequencies count all of them. Null and empty texts match
     nothing, nor do items without words. Repeated items are matched each. Rows of ``docs`` are neither dropped nor

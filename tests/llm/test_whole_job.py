@@ -3,6 +3,8 @@
 import random
 
 
+import numpy as np
+
 import corpus_pipeline
 from shelfmark.llm import decontamination
 
@@ -87,3 +89,36 @@ def test_decontamination_where_a_contaminated_text_is_common(spark):
     clean = [" ".join(random.sample(words, 90)) for _ in range(40)]
     assert hits(spark, [dirty], [item]) == {0: [0]}
     assert hits(spark, [dirty] * 20 + clean, [item]) == {n: [0] if n < 20 else [] for n in range(60)}
+
+
+def test_decontamination_finds_short_items_in_long_texts(spark):
+    random.seed(10)
+    plain = "what is the of a in to and it for on as with was by at from or an be".split()
+    rare = ["".join(random.choice("abcdefgh") for _ in range(7)) for _ in range(4000)]
+    items = [" ".join(random.sample(plain, n)) + "?" for n in range(3, 11)] + ["one two", "solitary"]
+    clean = [" ".join(w for r in random.sample(rare, 120) for w in (r, random.choice(plain))) for _ in range(40)]
+    dirty = [" ".join([*random.sample(rare, 77), item, *random.sample(rare, 90)]) for item in items]
+    expected = {n: [] for n in range(40)} | {40 + n: [n] for n in range(len(items))}
+    edited = items[7].rstrip("?").split()
+    edited[4:5] = ["other"]
+    dirty.append(" ".join([*random.sample(rare, 50), *edited, *random.sample(rare, 50)]))
+    expected[40 + len(items)] = [7]
+    assert hits(spark, clean + dirty, items) == expected
+
+
+def test_word_pairs_find_every_edited_item():
+    random.seed(11)
+    words = [np.uint64(random.getrandbits(64)) for _ in range(60)]  # few, so that pairs repeat
+    for _ in range(400):
+        m = random.randint(1, 60)
+        item = [random.choice(words) for _ in range(m)]
+        text = list(item)
+        for _ in range(m // decontamination.ONE_IN):
+            at = random.randrange(len(text))
+            text[at : at + random.randint(0, 1)] = [random.choice(words)] * random.randint(0, 1)
+        lead = [random.choice(words) for _ in range(random.randint(0, 30))]
+        whole = np.array(lead + text + [random.choice(words) for _ in range(random.randint(0, 30))], np.uint64)
+        row = np.zeros(len(whole), np.int64)
+        index = decontamination.Index([(1, np.array(item, np.uint64), np.array([], np.uint64))])
+        found = [index.align(i, whole[max(0, a) : b].tolist())[0] for _, _, i, a, b in decontamination.Seeds([index]).near(row, whole)]
+        assert max(found, default=0) >= decontamination.ALIGNED
