@@ -19,13 +19,15 @@ BLOCK = frozenset(
 )
 BOILERPLATE = frozenset("head nav header footer aside form button select menu dialog label input".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-#: Words of a class or id that mark what is not the article.
+#: Words of a class or id that mark what is hardly the article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline captcha comment comments "
     "consent cookie cookies disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter "
     "notice notices overlay pager pagination popup promo promotion related replies responses share sharing sidebar signup "
     "skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
 )
+#: Part of its points that a marked element keeps if it is not dropped.
+MARKED = 0.5
 #: An open element that a new one of the given name ends.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -44,10 +46,10 @@ PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "length", "linked")
+    __slots__ = ("tag", "parent", "children", "dropped", "marked", "points", "length", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, marked: str = ""):
+        self.tag, self.parent, self.dropped, self.marked = tag, parent, dropped, marked
         self.children: list[Node | str] = []
         self.points, self.length, self.linked = 0.0, 0, 0
 
@@ -65,14 +67,18 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and not re.fullmatch("h[1-6]", tag):
-            if any(w.lower() in MARKS for w in NAME.findall(value)):
-                return True
     return False
 
 
+def _marks(tag: str, attributes: str) -> str:
+    if not attributes or tag in ("html", "body", "main") or re.fullmatch("h[1-6]", tag):
+        return ""
+    found = [m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id")]
+    return " ".join(sorted({w.lower() for value in found for w in NAME.findall(value)} & MARKS))
+
+
 def parse(page: str) -> Node:
-    """The tree of a page. Elements that are no part of the article are marked, with all below them."""
+    """The tree of a page. Elements that are no part of the article are dropped, with all below them; doubtful ones marked."""
     root = Node("#root", None, False)
     at, end, size = root, 0, len(page)
     raw_end = ""
@@ -123,7 +129,7 @@ def parse(page: str) -> Node:
         if tag == "body" and any(isinstance(c, Node) and c.tag == "html" for c in root.children) and at.tag not in ("html", "#root"):
             while at is not root and at.tag != "html":  # a head that was never closed
                 at = at.parent
-        node = Node(tag, at, at.dropped or _is_boilerplate(tag, match[3] or ""))
+        node = Node(tag, at, at.dropped or _is_boilerplate(tag, match[3] or ""), _marks(tag, match[3] or ""))
         at.children.append(node)
         if tag in VOID or match[0].endswith("/>") and tag not in BLOCK:
             continue
@@ -143,6 +149,65 @@ def _walk(root: Node) -> Iterator[tuple[Node | str, bool]]:
             stack.extend((c, False) for c in reversed(item.children) if isinstance(c, str) or not c.dropped)
 
 
+def _drop_marked(root: Node) -> None:
+    """Drops the marked elements but those that hold the article: ``main``, the largest article, or else most of the page.
+
+    Elements of the same marks hold most of a page together, so that one cut into widgets stays. An article that
+    is marked itself (a comment) counts if it is most of the page.
+    """
+    size: dict[int, int] = {}
+    open_: list[Node] = []
+    marked: list[Node] = []
+    chosen: list[Node] = []
+    articles: list[Node] = []
+    links = 0
+    for item, leaving in _walk(root):
+        if isinstance(item, str):
+            if open_ and not links:
+                size[id(open_[-1])] = size.get(id(open_[-1]), 0) + len(" ".join(item.split()))
+        elif not leaving:
+            open_.append(item)
+            links += item.tag == "a"
+            if item.marked:
+                marked.append(item)
+            if item.tag == "main":
+                chosen.append(item)
+            elif item.tag == "article":
+                articles.append(item)
+        else:
+            open_.pop()
+            links -= item.tag == "a"
+            if item.parent is not None:
+                size[id(item.parent)] = size.get(id(item.parent), 0) + size.get(id(item), 0)
+    if not marked:
+        return
+    whole = size.get(id(root), 0)
+    plain = [a for a in articles if not a.marked] or [a for a in articles if 2 * size.get(id(a), 0) > whole]
+    chosen = [n for n in chosen if size.get(id(n), 0)]
+    if plain:
+        chosen.append(max(plain, key=lambda a: size.get(id(a), 0)))
+    held: set[int] = set()
+    for n in chosen:
+        up: Node | None = n
+        while up is not None:
+            held.add(id(up))
+            up = up.parent
+    inner: set[int] = set()
+    group: dict[str, int] = {}
+    for n in marked:
+        up = n.parent
+        while up is not None and up.marked != n.marked:
+            up = up.parent
+        if up is not None:
+            inner.add(id(n))
+        else:
+            group[n.marked] = group.get(n.marked, 0) + size.get(id(n), 0)
+    for n in marked:
+        held_text = size.get(id(n), 0) if id(n) in inner else group[n.marked]
+        if id(n) not in held and (chosen or 2 * held_text <= whole):
+            n.dropped = True
+
+
 def blocks(top: list[Node]) -> list[str]:
     """The texts of blocks in page order, white space made single, references decoded."""
     out: list[str] = []
@@ -216,11 +281,19 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _drop_marked(root)
+    found = _main(root)
+    if found:
+        return found
+    return _main(parse(page))  # marks may have taken all there is
+
+
+def _main(root: Node) -> str:
     scored = _score(root)
     containers = [n for n in scored if n.tag not in ("html", "#root")]
     if not containers:
         return "\n\n".join(blocks([root]))
-    value = {id(n): n.points * (1 - _density(n)) for n in containers}
+    value = {id(n): n.points * (1 - _density(n)) * (MARKED if n.marked else 1) for n in containers}
     best = max(containers, key=lambda n: value[id(n)])
     up = best
     while up.parent is not None:  # the element that says it is the article, if the best is inside one
