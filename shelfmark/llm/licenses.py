@@ -2,8 +2,8 @@
 
 A text becomes its words (A-Z lower-cased, runs of ASCII other than letters and digits cut
 them) joined by single spaces. Signatures are regular expressions over that line. A text is looked
-at only if a cheap expression finds a gate word, and a signature only if its own keyword is
-among the words. Detections are word intervals; one that lies inside another is dropped, and
+at only if a cheap expression finds a gate word, and a signature only if its own keyword begins
+one of the words. Detections are word intervals; one that lies inside another is dropped, and
 of two that overlap in part the one whose rule comes first stays.
 """
 
@@ -25,9 +25,11 @@ BASE = (
     ("all rights reserved", "reserved"),
 )
 
-#: label, keyword, expression for the name, SPDX-like words
+#: label, keyword, expression for the name, SPDX-like words. Whatever an expression matches holds a word that begins with
+#: its keyword, so alternatives without one are names of their own.
 NAMES = (
-    ("mit", "mit", "(?:mit|expat)", "mit"),
+    ("mit", "mit", "mit", "mit"),
+    ("mit", "expat", "expat", "mit"),
     ("mit-0", "mit", "mit (?:0|no attribution)", "mit 0"),
     ("apache-2.0", "apache", "apache(?: software)?(?: licen[cs]e)?(?: version)?(?: v)? ?2(?: 0)?", "apache 2 0"),
     ("apache-1.1", "apache", "apache(?: software)?(?: licen[cs]e)?(?: version)? 1 1", "apache 1 1"),
@@ -59,7 +61,8 @@ NAMES = (
     ("artistic", "artistic", "artistic", "artistic 1 0"),
     ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
     ("bsl-1.0", "boost", "boost software", "bsl 1 0"),
-    ("wtfpl", "wtfpl", "(?:wtfpl|do what the fuck you want to public)", "wtfpl"),
+    ("wtfpl", "wtfpl", "wtfpl", "wtfpl"),
+    ("wtfpl", "fuck", "do what the fuck you want to public", "wtfpl"),
     ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense"),
     ("odbl", "database", "open (?:data commons )?database", "odbl 1 0"),
     ("ofl-1.1", "font", "(?:sil )?open font", "ofl 1 1"),
@@ -92,7 +95,7 @@ ELEMENTS = (
 #: label, keyword, expression, how sure
 TEXTS = (
     ("mit", "granted", "permission is hereby granted free of charge to any person", 0.95),
-    ("isc", "granted", "permission to use copy modify and or distribute this software", 0.9),
+    ("isc", "permission", "permission to use copy modify and or distribute this software", 0.9),
     ("bsd", "redistribution", "redistribution and use in source and binary forms", 0.9),
     ("bsd-3-clause", "redistribution", "redistributions? (?:of source code )?must retain the above copyright", 0.7),
     ("gpl", "redistribute", "you can redistribute it and or modify it under the terms", 0.8),
@@ -136,7 +139,7 @@ def rules() -> list[tuple[str, str, str, float]]:
         out += [(short, f"{short}v{n}", f"(?:gnu )?{short}v{n}", 0.9) for n in (2, 3)]
     out += TEXTS
     out += [(label, phrase.split(" ")[-1], phrase, 0.6) for phrase, label in BASE]
-    return out
+    return list(dict.fromkeys(out))
 
 
 def line_of(text: Column) -> Column:
@@ -199,7 +202,7 @@ def scan(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> Dat
     """
     table = F.array(
         *[
-            F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(f" {keyword} ").alias("keyword"), F.lit(expression).alias("expression"), F.lit(sure).alias("sure"))
+            F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(f" {keyword}").alias("keyword"), F.lit(expression).alias("expression"), F.lit(sure).alias("sure"))
             for i, (label, keyword, expression, sure) in enumerate(rules())
         ]
     )
