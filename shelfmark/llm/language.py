@@ -22,8 +22,13 @@ FEATURES = 4096
 #: Training rows of a language from which centroids are made; document frequencies use all rows.
 SAMPLE_ROWS = 1500
 CENTROIDS = 4
-#: A text is rejected if its cosine is below this part of the lowest one among its centroid's sample.
+#: A text is rejected if its cosine is below this quantile of those of sampled texts, whole or cut, with about as many
+#: n-grams, against centroids made without them. Classes of fewer texts take the floor of the next shorter class.
+REJECT_SHARE, LEAST_TEXTS = 0.002, 20
+#: The floor of the shortest class if it has too few texts, as a part of the lowest cosine.
 REJECT_PART = 0.25
+#: Characters to which sampled texts are cut, and classes of length: powers of two n-grams.
+CUTS, CLASSES = (20, 40, 80, 160, 320, 640, 1280), 16
 UNKNOWN = "und"
 #: Bytes and rows of a round; each row takes FEATURES numbers.
 SLICE, ROWS = 500_000, 300
@@ -83,6 +88,37 @@ def _spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 8) -> tuple[np.nda
     return centres, (rows @ centres.T).argmax(axis=1)
 
 
+def _length_class(found: np.ndarray) -> np.ndarray:
+    return np.clip(np.log2(np.maximum(found.sum(axis=1), 1)), 0, CLASSES - 1).astype(np.int64)
+
+
+def _floors(given: list[str], rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Least cosine for each length class, from the vectors ``rows`` of texts of one language."""
+    fold = np.arange(len(rows)) % 2
+    if len(rows) < 2:
+        return np.zeros(CLASSES)
+    centres = [_spherical_kmeans(rows[fold != f], CENTROIDS)[0] for f in (0, 1)]
+    size, near = [], []
+    for cut in (*CUTS, None):
+        some = [(t[:cut], f) for t, f in zip(given, fold) if cut is None or len(t) > cut]
+        at = 0
+        for part in texts(pa.array([t for t, _ in some], pa.string()), SLICE, ROWS):
+            found = counts(part)
+            cosine = vectors(found, idf)
+            own = np.array([f for _, f in some[at : at + part.rows]])
+            best = np.where(own == 0, (cosine @ centres[0].T).max(axis=1), (cosine @ centres[1].T).max(axis=1))
+            size.append(np.where(found.any(axis=1), _length_class(found), -1))
+            near.append(best)
+            at += part.rows
+    size, near = np.concatenate(size), np.concatenate(near)
+    out, last = [], REJECT_PART * float(near[size >= 0].min(initial=1.0))
+    for c in range(CLASSES):
+        if (size == c).sum() >= LEAST_TEXTS:
+            last = float(np.quantile(near[size == c], REJECT_SHARE, method="lower"))
+        out.append(last)
+    return np.array(out)
+
+
 class Centroids:
     """A fitted model: as many numbers as languages * CENTROIDS * FEATURES, whatever the corpus."""
 
@@ -93,10 +129,11 @@ class Centroids:
         """Nearest language, cosine, and whether it is too far, for each text."""
         if not self.langs:
             return [UNKNOWN] * part.rows, np.zeros(part.rows), np.ones(part.rows, bool)
-        cosine = vectors(counts(part), self.idf) @ self.matrix.T
+        found = counts(part)
+        cosine = vectors(found, self.idf) @ self.matrix.T
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(part.rows), best].astype(float), 0.0, 1.0)
-        return [self.langs[b] for b in best], score, score < self.floors[best]
+        return [self.langs[b] for b in best], score, score < self.floors[best, _length_class(found)]
 
 
 def _lowered(text: str) -> Column:
@@ -140,24 +177,24 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         group = group.sort_values(["pick", "position"])
         parts = texts(pa.array(group["text"], pa.string()), SLICE, ROWS)
         rows = np.vstack([vectors(counts(p), idf) for p in parts])
-        rows = rows[rows.any(axis=1)]
+        some = rows.any(axis=1)
+        rows = rows[some]
         if not len(rows):
-            return pd.DataFrame({"lang": [], "centre": [], "floor": []})
-        centres, own = _spherical_kmeans(rows, CENTROIDS)
-        near = (rows * centres[own]).sum(axis=1)
-        floors = [REJECT_PART * float(near[own == c].min()) if (own == c).any() else 1.0 for c in range(len(centres))]
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.astype(np.float32).tolist() for c in centres], "floor": floors})
+            return pd.DataFrame({"lang": [], "centre": [], "floors": []})
+        centres, _ = _spherical_kmeans(rows, CENTROIDS)
+        floors = _floors([t for t, ok in zip(group["text"], some) if ok], rows, idf).tolist()
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.astype(np.float32).tolist() for c in centres], "floors": [floors] * len(centres)})
 
-    made = chosen.select("lang", "text", "pick", "position").groupBy("lang").applyInPandas(centre, "lang string, centre array<float>, floor double")
+    made = chosen.select("lang", "text", "pick", "position").groupBy("lang").applyInPandas(centre, "lang string, centre array<float>, floors array<double>")
     rows = sorted(made.collect(), key=lambda r: (r.lang, r.centre))  # CENTROIDS rows per language
     matrix = np.array([r.centre for r in rows], np.float32).reshape(len(rows), FEATURES)
-    return Centroids([r.lang for r in rows], matrix, np.array([r.floor for r in rows]), idf)
+    return Centroids([r.lang for r in rows], matrix, np.array([r.floors for r in rows]).reshape(len(rows), CLASSES), idf)
 
 
 def predict(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected``.
 
-    ``lang_pred`` is the nearest language; ``rejected`` marks texts too far from its centroid. A null
+    ``lang_pred`` is the nearest language; ``rejected`` marks texts too far from its centroid for their length. A null
     text and one without any letter gives ``und``, score 0, rejected. Columns of ``docs`` with these names are
     replaced; all others are kept, rows neither dropped nor joined. Equal cosines go to the first
     language by name.
