@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 import corpus_pipeline
-from shelfmark.llm import decontamination, embeddings, html, language, licenses, lm, mixing, quality, simhash, substrings
+from shelfmark.llm import bpe, decontamination, embeddings, html, language, licenses, lm, mixing, negatives, quality, search, simhash, substrings
 from shelfmark.llm.common import remainder
 from shelfmark.session import table
 
@@ -126,4 +128,72 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
 
 
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded.select("doc_id", "ids"), ranks)
+    size = (F.length("ids") / 4).cast("bigint").alias("n_tokens")
+    return decoded.select("doc_id", size, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+NEGATIVES = r"""
+with usable as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+scored as (
+  select a.id as anchor, r.id as other, a.label = r.label as alike, list_dot_product(a.v, r.v)::bigint as score
+  from usable a join usable r on a.id <> r.id
+  where a.id % 100 = 0),
+positives as (
+  select * from scored where alike
+  qualify row_number() over (partition by anchor order by score desc, other) <= 5)
+select p.anchor as anchor_id, p.other as positive_id,
+  row_number() over (partition by p.anchor, p.other order by n.score desc, n.other)::int as rank,
+  n.other as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scored n on p.anchor = n.anchor
+where not n.alike and 80 * p.score <= 100 * n.score and n.score <= p.score
+qualify rank <= 5"""
+
+
+@query("op12_hard_negatives", NEGATIVES)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", shifted), F.col("id") % 100 == 0)
+
+
+SEARCH = r"""
+with pieces as (
+  select r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select row_number() over () as r, doc_id, text from documents)),
+sized as (select r, count(*) as n from pieces group by r),
+whole as (select count(*) as docs, sum(n)::bigint as length from sized),
+held as (select r, doc_id, term, count(*) as tf from pieces group by r, doc_id, term),
+wanted as (
+  select distinct item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select row_number() over () as item, item_id, text from (select distinct item_id, text from benchmark))),
+weighed as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from held, whole where term in (select term from wanted) group by term, docs),
+scored as (
+  select item, item_id, doc_id, h.r,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length))))::bigint as score
+  from wanted join weighed using (term) join held h using (term) join sized s on s.r = h.r, whole
+  group by item, item_id, doc_id, h.r)
+select item_id, row_number() over (partition by item order by score desc, doc_id)::int as rank, doc_id, score
+from scored where score > 0
+qualify rank <= 50"""
+
+
+@query("op13_lexical_search", SEARCH)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
