@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -29,8 +30,10 @@ from shelfmark.llm.common import small_batches, written
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: A piece that ends this close to the end of a chunk could end elsewhere in the whole text.
 LOOKAHEAD = 3
-#: Pieces a task remembers, and the longest of them; from ``LONG`` bytes on pieces are merged by a heap.
-REMEMBERED, REMEMBERED_LENGTH, LONG = 500_000, 100, 100
+#: Pieces a task remembers. From ``LONG`` bytes on a piece is merged by itself.
+REMEMBERED, LONG = 300_000, 64
+#: Stands for a pair that makes no token.
+NONE = 1 << 31
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,66 +42,186 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class Merges(dict):
-    """Ids of pieces: a piece that is no token itself is merged from bytes, lowest rank first, leftmost of equals."""
+class Pairs:
+    """Which token two neighbouring tokens make: an open hash table in arrays, so that many pairs are looked up at once."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        found = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    found[left << 32 | right] = rank
+        keys = np.fromiter(found, np.int64, len(found))
+        made = np.fromiter(found.values(), np.int64, len(found))
+        self.bits = max(8, int(np.ceil(np.log2(len(found) + 1))) + 2)
+        self.keys, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int64)
+        at, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]], self.made[at[free]] = keys[free], made[free]  # of several, the last stays
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token of each pair, ``NONE`` where there is none. A lower token is merged first."""
+        keys = left << 32 | right
+        at = self._home(keys)
+        out, held = self.made[at], self.keys[at]
+        more = np.flatnonzero((held != keys) & (held >= 0))
+        out[held != keys] = NONE
+        while len(more):
+            at[more] = (at[more] + 1) & (len(self.keys) - 1)
+            held = self.keys[at[more]]
+            hit = held == keys[more]
+            out[more[hit]] = self.made[at[more[hit]]]
+            more = more[~hit & (held >= 0)]
+        return out
+
+
+def merge_many(pieces: list[bytes], single: np.ndarray, pairs: Pairs) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, ids): the ids of ``pieces``, as matrices of one length each. Each step merges one pair in every piece of a length.
+
+    It is the lowest pair, leftmost of equals. A piece without one is done; the others go on among those one shorter.
+    """
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    out, places = [], np.zeros(0, np.int64)
+    ids, made = np.zeros((0, 0), np.int64), np.zeros((0, 0), np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    first = 0
+    for n in range(int(lengths.max(initial=0)), 0, -1):
+        last = first + int(np.searchsorted(-lengths[order[first:]], -n, "right"))
+        if last > first:
+            new = order[first:last]
+            fresh = single[np.frombuffer(b"".join(map(pieces.__getitem__, new.tolist())), np.uint8).reshape(-1, n)]
+            near = pairs(fresh[:, :-1].ravel(), fresh[:, 1:].ravel()).reshape(-1, n - 1)
+            if len(places):
+                places, ids, made = np.concatenate([places, new]), np.concatenate([ids, fresh]), np.concatenate([made, near])
+            else:
+                places, ids, made = new, fresh, near
+            first = last
+        if not len(places):
+            continue
+        if n == 1:
+            out.append((places, ids))
+            break
+        at = made.argmin(axis=1)
+        token = made[np.arange(len(at)), at]
+        done = token == NONE
+        if done.any():
+            out.append((places[done], ids[done]))
+            places, ids, made, at, token = places[~done], ids[~done], made[~done], at[~done], token[~done]
+        row = np.arange(len(at))
+        ids[row, at] = token
+        keep = np.ones(ids.shape, bool)
+        keep[row, at + 1] = False
+        ids = ids[keep].reshape(len(row), n - 1)
+        keep = np.ones(made.shape, bool)
+        keep[row, at] = False
+        made = made[keep].reshape(len(row), n - 2)
+        if n > 2:
+            some = np.flatnonzero(at > 0)
+            made[some, at[some] - 1] = pairs(ids[some, at[some] - 1], token[some])
+            some = np.flatnonzero(at < n - 2)
+            made[some, at[some]] = pairs(token[some], ids[some, at[some] + 1])
+    return out
+
+
+def merge_one(data: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one long piece, by a heap of its pairs."""
+    size = len(data)
+    stop = list(range(1, size + 1))  # where the part that starts here ends; 0 once it is merged into another
+    before = list(range(-1, size - 1))
+    heap: list[tuple[int, int, int, int]] = []
+
+    def push(left: int) -> None:
+        middle = stop[left]
+        if middle < size:
+            low = ranks.get(data[left : stop[middle]])
+            if low is not None:
+                heapq.heappush(heap, (low, left, middle, stop[middle]))
+
+    for i in range(size - 1):
+        push(i)
+    while heap:
+        _, left, middle, right = heapq.heappop(heap)
+        if stop[left] != middle or stop[middle] != right:
+            continue
+        stop[left], stop[middle] = right, 0
+        if right < size:
+            before[right] = left
+        push(left)
+        if left:
+            push(before[left])
+    out, at = [], 0
+    while at < size:
+        out.append(ranks[data[at : stop[at]]])
+        at = stop[at]
+    return out
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``starts``, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Encoder(dict):
+    """Numbers pieces as they come up; the new ones are merged together when ids are asked for."""
+
+    def __init__(self, ranks: dict[bytes, int], pairs: Pairs):
         super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode()
-        whole = self.ranks.get(data)
-        found = (whole,) if whole is not None else self._few(data) if len(data) < LONG else self._many(data)
-        if len(piece) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = found
-        return found
-
-    def _few(self, data: bytes) -> tuple[int, ...]:
-        rank = self.ranks.get
-        parts = [data[i : i + 1] for i in range(len(data))]
-        none = len(self.ranks) + (1 << 40)
-        while len(parts) > 1:
-            near = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
-            low = min(near)
-            if low == none:
-                break
-            at = near.index(low)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(self.ranks[p] for p in parts)
-
-    def _many(self, data: bytes) -> tuple[int, ...]:
-        size = len(data)
-        stop = list(range(1, size + 1))  # where the part that starts here ends; 0 once it is merged into another
-        before = list(range(-1, size - 1))
-        rank, heap = self.ranks.get, []
-
-        def push(left: int) -> None:
-            middle = stop[left]
-            if middle < size:
-                low = rank(data[left : stop[middle]])
-                if low is not None:
-                    heapq.heappush(heap, (low, left, middle, stop[middle]))
-
-        for i in range(size - 1):
-            push(i)
-        while heap:
-            _, left, middle, right = heapq.heappop(heap)
-            if stop[left] != middle or stop[middle] != right:
-                continue
-            stop[left], stop[middle] = right, 0
-            if right < size:
-                before[right] = left
-            push(left)
-            if left:
-                push(before[left])
-        out, at = [], 0
-        while at < size:
-            out.append(self.ranks[data[at : stop[at]]])
-            at = stop[at]
-        return tuple(out)
+        self.ranks, self.pairs = ranks, pairs
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.waiting: list[str] = []
+        self.flat, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.waiting.append(piece)
+        return number
+
+    def _learn(self) -> None:
+        given, self.waiting = [p.encode() for p in self.waiting], []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        whole = [self.ranks.get(g, -1) for g in given]
+        for i, (g, rank) in enumerate(zip(given, whole)):
+            if rank < 0 and len(g) >= LONG:
+                found.append((np.array([i]), np.array([merge_one(g, self.ranks)])))
+        known = np.array(whole, np.int64)
+        found.append((np.flatnonzero(known >= 0), known[known >= 0][:, None]))
+        rest = [i for i, (g, rank) in enumerate(zip(given, whole)) if rank < 0 and len(g) < LONG]
+        names = np.array(rest, np.int64)
+        found += [(names[places], ids) for places, ids in merge_many([given[i] for i in rest], self.single, self.pairs)]
+        sizes = np.zeros(len(given), np.int64)
+        for places, ids in found:
+            sizes[places] = ids.shape[1]
+        starts = np.cumsum(sizes) - sizes
+        flat = np.zeros(int(sizes.sum()), "<u4")
+        for places, ids in found:
+            flat[starts[places, None] + np.arange(ids.shape[1])] = ids
+        self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+
+    def __call__(self, texts: list[list[str]]) -> pa.Array:
+        """The packed ids of each text, given as its pieces."""
+        counts = np.fromiter(map(len, texts), np.int64, len(texts))
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
+        if self.waiting:
+            self._learn()
+        sizes = self.sizes[numbers]
+        ids = self.flat[_ragged(self.starts[numbers], sizes)]
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
+        if len(self) > REMEMBERED:
+            self._forget()
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends * 4), pa.py_buffer(ids)]).cast(pa.binary())
 
 
 def unsettled(pattern: str) -> str:
@@ -123,74 +246,58 @@ class Splitter:
     """Ends of the pieces of a text by ``pattern``; ``newer`` characters count as neither letters nor digits."""
 
     def __init__(self, pattern: str, newer: str):
-        self.pattern, self.newer = pattern, newer
-        self._ready: tuple | None = None
-
-    def _compiled(self) -> tuple:
-        if self._ready is None:
-            has = regex.compile("[" + regex.escape(self.newer, special_only=False) + "]") if self.newer else None
-            self._ready = regex.compile(self.pattern), has, dict.fromkeys(map(ord, self.newer), "¤")
-        return self._ready
-
-    def __getstate__(self) -> tuple:
-        return self.pattern, self.newer
-
-    def __setstate__(self, state: tuple) -> None:
-        self.__init__(*state)
+        self.pattern, self.newer = regex.compile(pattern), frozenset(newer)
+        self.beyond = regex.compile(f"[{min(newer)}-\U0010ffff]") if newer else None
+        self.plain = dict.fromkeys(map(ord, newer), "¤")
 
     def pieces(self, text: str) -> list[str]:
-        pattern, has, plain = self._compiled()
-        if has is None or text.isascii() or not has.search(text):
-            return pattern.findall(text)
-        return [text[m.start() : m.end()] for m in pattern.finditer(text.translate(plain))]
+        if self.beyond is None or text.isascii() or not self.beyond.search(text) or self.newer.isdisjoint(text):
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.plain))]
 
     def ends(self, text: str) -> np.ndarray:
         return np.cumsum(np.fromiter(map(len, self.pieces(text)), np.int32), dtype=np.int32)
 
 
-def _batches(column: pa.Array, size: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+def _batches(column: pa.Array, size: int = 2_000_000) -> Iterator[list[str]]:
     """Texts of a column, nulls empty, a few megabytes of Python strings at a time."""
     lengths = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)))
     start = 0
     while start < len(column):
         base = lengths[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(lengths, base + size)))
-        yield start, [t or "" for t in column.slice(start, stop - start).to_pylist()]
+        yield [t or "" for t in column.slice(start, stop - start).to_pylist()]
         start = stop
 
 
-def _packed(ids: Iterator[int]) -> bytes:
-    return np.fromiter(ids, "<u4").tobytes()
+#: What a worker process keeps from task to task, by the number of the broadcast.
+_READY: dict[int, tuple[Encoder, Splitter]] = {}
 
 
 class Model:
-    """What tasks need to encode: a table of fixed size, shipped once per executor."""
+    """What tasks need to encode: tables of fixed size, shipped once per executor."""
 
     def __init__(self, docs: DataFrame, ranks: dict[bytes, int], pattern: str):
-        self.shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, unsettled(pattern)))
-        self.tools: tuple[Merges, Splitter] | None = None
-
-    def __getstate__(self) -> dict:
-        return {"shared": self.shared, "tools": None}
+        self.number = uuid.uuid4().int
+        self.shared = docs.sparkSession.sparkContext.broadcast((ranks, Pairs(ranks), pattern, unsettled(pattern)))
 
-    def ready(self) -> tuple[Merges, Splitter]:
-        if self.tools is None:
-            ranks, pattern, newer = self.shared.value
-            self.tools = Merges(ranks), Splitter(pattern, newer)
-        return self.tools
+    def ready(self) -> tuple[Encoder, Splitter]:
+        if self.number not in _READY:
+            ranks, pairs, pattern, newer = self.shared.value
+            _READY.clear()
+            _READY[self.number] = Encoder(ranks, pairs), Splitter(pattern, newer)
+        return _READY[self.number]
 
 
 def _encoded(rows: DataFrame, model: Model, text: str) -> DataFrame:
     """(row, ids) of rows whose texts are split in one go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, split = model.ready()
+        encoder, split = model.ready()
         for batch in batches:
             row = batch.column("row")
-            ids = []
-            for _, some in _batches(pc.struct_field(row, text)):
-                ids += [_packed(chain.from_iterable(map(merges.__getitem__, split.pieces(t)))) for t in some]
-            yield pa.RecordBatch.from_arrays([row, pa.array(ids, pa.binary())], names=["row", "ids"])
+            ids = [encoder([split.pieces(t) for t in some]) for some in _batches(pc.struct_field(row, text))]
+            yield pa.RecordBatch.from_arrays([row, pa.concat_arrays([pa.array([], pa.binary()), *ids])], names=["row", "ids"])
 
     return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("ids", BinaryType())]))
 
@@ -231,7 +338,7 @@ def _split(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 def _merge(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, _ = model.ready()
+        encoder, _ = model.ready()
         for batch in batches:
             ids = []
             for i in range(batch.num_rows):
@@ -239,8 +346,9 @@ def _merge(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 ends = np.asarray(batch.column("ends")[i].values)
                 start, stop = batch.column("start")[i].as_py(), batch.column("stop")[i].as_py()
                 inside = ends[(ends > start) & (ends <= (len(text) if stop is None else stop))].tolist()
-                ids.append(_packed(chain.from_iterable(merges[text[a:b]] for a, b in zip([start, *inside], inside))))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("no"), pa.array(ids, pa.binary())], names=["_row", "no", "ids"])
+                ids.append(encoder([[text[a:b] for a, b in zip([start, *inside], inside)]]))
+            made = pa.concat_arrays([pa.array([], pa.binary()), *ids])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("no"), made], names=["_row", "no", "ids"])
 
     return run
 
