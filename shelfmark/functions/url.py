@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.functions.rules import once
 from shelfmark.functions.text import SPACE, strip
 
 LABEL = "[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
@@ -35,7 +37,7 @@ def _without_www(host: Column) -> Column:
 
 def _tidy_path(path: Column) -> Column:
     cut = F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", "")
-    return F.when(cut == "", F.lit("/")).otherwise(cut)
+    return once(cut, lambda p: F.when(p == "", F.lit("/")).otherwise(p))
 
 
 # An address that ``standard`` changes: something outside ASCII, or a dot segment.
@@ -93,7 +95,15 @@ def _standard_lists(addresses: pd.Series) -> pd.Series:
 
 def standard(c: Column) -> Column:
     """An http(s) address with an ASCII host and without dot segments; anything else as it is."""
-    return F.coalesce(_standard_each(F.when(c.rlike(_UNUSUAL), c)), c)
+    return F.coalesce(_standard_each(once(c, lambda a: F.when(a.rlike(_UNUSUAL), a))), c)
+
+
+def _read(written: Column, use: Callable[[Column, Column], Column], plain: bool = False) -> Column:
+    """``use(written, its standard form)``, so that the plan holds ``written`` twice however often ``use`` refers to it."""
+    if plain:
+        return once(written, lambda a: use(a, a))
+    both = F.struct(written.alias("written"), standard(written).alias("standard"))
+    return once(both, lambda a: use(a["written"], a["standard"]))
 
 
 def standard_all(c: Column) -> Column:
@@ -104,18 +114,24 @@ def standard_all(c: Column) -> Column:
 
 def with_https(c: Column) -> Column:
     """Trimmed; a bare host becomes an https address."""
-    raw = strip(c)
+    return once(strip(c), _with_https)
+
+
+def _with_https(raw: Column) -> Column:
     return F.when(raw.rlike("(?i)^https://") | (raw == ""), raw).otherwise(F.concat(F.lit("https://"), raw))
 
 
 def safe_url(c: Column, plain: bool = False) -> Column:
     """True for an https URL that is fit to be shown: dotted host, no credentials, no blanks."""
-    address = c if plain else standard(c)
+    return _read(c, _safe, plain)
+
+
+def _safe(written: Column, address: Column) -> Column:
     host = F.regexp_extract(address, "(?i)^https://([^/?#:]+)", 1)
     port = F.regexp_extract(address, "(?i)^https://[^/?#:]+:([0-9]+)", 1)
     return F.coalesce(
-        (F.length(c) <= 2048)
-        & ~c.rlike(rf"{SPACE}|[\\\x00-\x1f\x7f]")
+        (F.length(written) <= 2048)
+        & ~written.rlike(rf"{SPACE}|[\\\x00-\x1f\x7f]")
         & address.rlike(rf"(?i)^https://{DOTTED_HOST}(?::[0-9]{{0,5}})?(?:[/?#].*)?$")
         & (F.length(host) <= 253)
         & ((port == "") | (F.lpad(port, 5, "0") <= "65535")),
@@ -125,8 +141,10 @@ def safe_url(c: Column, plain: bool = False) -> Column:
 
 def canon_http_url(c: Column) -> Column:
     """Comparable form of a safe URL: no fragment, parameters sorted by key, no trailing slash."""
-    written = strip(c)
-    url = standard(written)
+    return _read(strip(c), lambda written, address: F.when(_safe(written, address), _http_form(address)))
+
+
+def _http_form(url: Column) -> Column:
     host = F.lower(F.regexp_extract(url, "(?i)^https://([^/?#:]+)", 1))
     port = F.regexp_extract(url, "(?i)^https://[^/?#:]+(:[0-9]+)", 1)
     path = F.regexp_extract(url, "(?i)^https://[^/?#]+(/[^?#]*)", 1)
@@ -141,28 +159,26 @@ def canon_http_url(c: Column) -> Column:
         ),
     )
     ordered = F.array_join(F.transform(F.array_sort(keyed), lambda k: k["pair"]), "&")
-    href = F.concat(
+    return F.concat(
         F.lit("https://"),
         host,
         F.when(port == ":443", F.lit("")).otherwise(port),
         _tidy_path(path),
-        F.when(ordered == "", F.lit("")).otherwise(F.concat(F.lit("?"), ordered)),
+        once(ordered, lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q))),
     )
-    return F.when(safe_url(written), href)
 
 
 def canon_https_url(c: Column, plain: bool = False) -> Column:
     """Official-site form: https, dotted host, no port; query and fragment dropped."""
-    url = strip(c) if plain else standard(strip(c))
     shape = rf"(?i)^https://({PLAIN_HOST})(?::(?:443)?)?(?:[/?#].*)?$"
-    host = F.lower(F.regexp_extract(url, shape, 1))
-    path = F.replace(
-        F.regexp_extract(url, "(?i)^https://[^/?#]+(/[^?#]*)", 1), F.lit(" "), F.lit("%20")
-    )
-    return F.when(
-        url.rlike(shape) & F.contains(host, F.lit(".")),
-        F.concat(F.lit("https://"), host, _tidy_path(path)),
-    )
+
+    def form(_: Column, url: Column) -> Column:
+        host = F.lower(F.regexp_extract(url, shape, 1))
+        path = F.replace(F.regexp_extract(url, "(?i)^https://[^/?#]+(/[^?#]*)", 1), F.lit(" "), F.lit("%20"))
+        whole = F.concat(F.lit("https://"), host, _tidy_path(path))
+        return F.when(url.rlike(shape) & F.contains(host, F.lit(".")), whole)
+
+    return _read(strip(c), form, plain)
 
 
 def canon_url_text(c: Column) -> Column:
@@ -187,22 +203,23 @@ def norm_domain(c: Column, form: str = "identity", plain: bool = False) -> Colum
     ``identity`` accepts http or https and refuses an explicit port; ``discovery``
     accepts safe https URLs only and ignores the port. Both accept a bare host.
     """
-    raw = strip(c)
     if form == "discovery":
-        written = with_https(c)
-        address = written if plain else standard(written)
-        return F.when(
-            (raw != "") & safe_url(written, plain),
-            _without_www(F.regexp_extract(address, "(?i)^https://([^/?#:]+)", 1)),
-        )
+
+        def bare_host(written: Column, address: Column) -> Column:
+            host = _without_www(F.regexp_extract(address, "(?i)^https://([^/?#:]+)", 1))
+            return F.when((written != "") & _safe(written, address), host)
+
+        return _read(with_https(c), bare_host, plain)
     if form != "identity":
         raise ValueError(f"unknown domain form {form!r}")
-    written = F.when(raw.rlike("(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    address = written if plain else standard(written)
     shape = rf"(?i)^(?:http://({PLAIN_HOST})(?::(?:80)?)?|https://({PLAIN_HOST})(?::(?:443)?)?)(?:[/?#].*)?$"
-    host = F.concat(F.regexp_extract(address, shape, 1), F.regexp_extract(address, shape, 2))
-    bare = _without_www(host)
-    return F.when(address.rlike(shape) & (bare != ""), bare)
+
+    def host_of(_: Column, address: Column) -> Column:
+        host = F.concat(F.regexp_extract(address, shape, 1), F.regexp_extract(address, shape, 2))
+        return once(_without_www(host), lambda bare: F.when(address.rlike(shape) & (bare != ""), bare))
+
+    raw = once(strip(c), lambda r: F.when(r.rlike("(?i)^https?://"), r).otherwise(F.concat(F.lit("https://"), r)))
+    return _read(raw, host_of, plain)
 
 
 def host_without_www(c: Column) -> Column:
