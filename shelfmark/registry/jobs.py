@@ -11,7 +11,7 @@ from shelfmark.operators import links
 from shelfmark.operators.checks import union_all
 from shelfmark.plans import assets, forms, gate, identity, publish
 from shelfmark.registry import query
-from shelfmark.session import cut_lineage, table
+from shelfmark.session import cut_lineage, scratch_path, table
 from shelfmark.sources import sinks
 
 # Vendors and claims --------------------------------------------------------------------------
@@ -472,19 +472,25 @@ def batch_figures(spark: SparkSession, sf: str) -> DataFrame:
       1 as documents, sha256(text) as digest from documents""",
 )
 def read_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Each candidate written as a batch file of its own and read back."""
-    from shelfmark.sources.captures import parse_batch
+    """Candidates written as batch files of up to fifty and read back."""
+    from shelfmark.registry.programs import as_files
+    from shelfmark.sources.captures import read_batch as read
 
     empty = F.array().cast("array<struct<id: string>>")
     context = F.struct(empty.alias("software"), empty.alias("vendors"), empty.alias("categories"))
-    files = _candidates(spark, sf).select(
-        F.col("input_index").cast("string").alias("file"),
-        F.to_json(F.struct(F.array("candidate").alias("candidates"), context.alias("context"))).alias("value"),
+    packed = _candidates(spark, sf).groupBy(F.floor(F.col("input_index") / 50).cast("string").alias("file")).agg(
+        F.sort_array(F.collect_list(F.struct("input_index", F.to_json("candidate").alias("json")))).alias("rows")
+    )
+    files = packed.select(
+        "file",
+        F.concat(
+            F.lit('{"candidates":['), F.array_join(F.transform("rows", lambda r: r["json"]), ","),
+            F.lit('],"context":'), F.to_json(context), F.lit("}"),
+        ).alias("value"),
     )
-    rows = parse_batch(files)["candidates"]
     c = F.col("candidate")
-    return rows.select(
-        F.col("file").cast("long").alias("input_index"),
+    return read(spark, as_files(files, "batches"))["candidates"].select(
+        F.regexp_extract(c["productName"]["value"], "[0-9]+", 0).cast("long").alias("input_index"),
         c["productName"]["value"].alias("product"),
         c["primaryCategory"]["slug"].alias("category"),
         F.size(c["evidence"]).alias("documents"),
@@ -912,6 +918,35 @@ def manifest_icons(spark: SparkSession, sf: str) -> DataFrame:
     return assets.manifest_icons(manifests).select("product_id", "url", "score")
 
 
+@query(
+    "image_source",
+    """select s_suppkey, octet_length(b) as length, sha256(b) as digest, 40 + s_nationkey as width, 40 + s_suppkey % 60 as height
+    from (select *, unhex('89504E470D0A1A0A0000000D49484452' || printf('%08X', 40 + s_nationkey)
+      || printf('%08X', (40 + s_suppkey % 60)::int) || '0802000000' || hex(encode(repeat(s_name, (1 + s_suppkey % 400)::int)))) as b
+      from supplier)""",
+)
+def image_source(spark: SparkSession, sf: str) -> DataFrame:
+    """An image file per supplier, written and read back: sizes from its first bytes, length and digest from all of them."""
+    from shelfmark.plans.assets import image_header
+    from shelfmark.sources import captures, sinks
+
+    def four_bytes(c: Column) -> Column:
+        return F.lpad(F.hex(c.cast("bigint")), 8, "0")
+
+    header = F.concat(
+        F.lit("89504E470D0A1A0A0000000D49484452"), four_bytes(40 + F.col("s_nationkey")), four_bytes(40 + F.col("s_suppkey") % 60),
+        F.lit("0802000000"), F.hex(F.repeat("s_name", (1 + F.col("s_suppkey") % 400).cast("int"))),
+    )
+    images = table(spark, sf, "supplier").select(F.concat("s_suppkey", F.lit(".png")).alias("name"), F.unhex(header).alias("bytes"))
+    folder = scratch_path(spark, "images")
+    sinks.write_files(images, folder)
+    whole = captures.read_images(spark, folder, "*.png").select("url", "length", F.sha2("bytes", 256).alias("digest"))
+    heads = captures.read_image_heads(spark, folder, "*.png", size=64).select("url", F.col("head").alias("bytes"), F.lit("image/png").alias("content_type"))
+    return whole.join(image_header(heads).select("url", "width", "height"), "url").select(
+        F.regexp_extract("url", "([0-9]+)[.]png$", 1).cast("bigint").alias("s_suppkey"), "length", "digest", "width", "height"
+    )
+
+
 @query(
     "classify_asset",
     """select p_partkey, case when p_type = 'PROMO' then 'favicon'

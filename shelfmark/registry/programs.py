@@ -6,12 +6,12 @@ chosen by its type.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.plans import programs
 from shelfmark.registry import query
-from shelfmark.session import table
+from shelfmark.session import scratch_path, table
 from shelfmark.sources import captures
 
 PER_FILE = 100
@@ -92,6 +92,18 @@ def inventory(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def as_files(rows: DataFrame, label: str) -> str:
+    """A folder with one file per row (file, value), which holds the value; the folder it lies in names the row."""
+    path = scratch_path(rows.sparkSession, label)
+    rows.select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+def file_name() -> Column:
+    """The row that a file of ``as_files`` was written from."""
+    return F.regexp_extract("file", "/file=([^/]+)/", 1)
+
+
 def _files(spark: SparkSession, sf: str) -> DataFrame:
     """Programs packed into capture files of at most a hundred."""
     packed = (
@@ -116,9 +128,10 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
       'api' as source_kind, 'file ' || (k // {PER_FILE}) as reference from c""",
 )
 def read_capture_json(spark: SparkSession, sf: str) -> DataFrame:
-    rows = captures.parse_capture_json(_files(spark, sf))
+    """Captures written as files and read back."""
+    rows = captures.read_capture_json(spark, as_files(_files(spark, sf), "captures"))
     return rows.select(
-        "file",
+        file_name().alias("file"),
         F.col("input_index").cast("long").alias("input_index"),
         F.variant_get("record", "$.name", "string").alias("name"),
         F.variant_get("source", "$.kind", "string").alias("source_kind"),
@@ -155,10 +168,10 @@ def read_capture_text(spark: SparkSession, sf: str) -> DataFrame:
         F.format_number(F.size("cards"), 0), F.lit(" programs\n\n"),
         F.array_join(F.transform("cards", lambda c: c["card"]), ""),
     )
-    rows = captures.parse_capture_text(packed.select("file", page.alias("value")))
+    rows = captures.read_capture_text(spark, as_files(packed.select("file", page.alias("value")), "pages"))
     normal = programs.normalise_program(rows, passing=("file",))
     return normal.select(
-        "file", "input_index", "program_name", "description", "commission_model",
+        file_name().alias("file"), F.col("input_index"), "program_name", "description", "commission_model",
         F.col("provider_relationship").alias("relationship"),
     )
 
@@ -169,11 +182,12 @@ def read_capture_text(spark: SparkSession, sf: str) -> DataFrame:
       'https://' || domain || '/' as website_url from inv""",
 )
 def read_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    named = inventory(spark, sf).withColumnsRenamed(
-        {"vendor_name": "vendorName", "website_url": "websiteUrl"}
-    )
-    encoded = F.to_json(F.struct(*named.columns))
-    return captures.parse_inventory(named.select(F.parse_json(encoded).alias("record")))
+    """The inventory written as files of a thousand rows, each one array, and read back."""
+    named = inventory(spark, sf).withColumnsRenamed({"vendor_name": "vendorName", "website_url": "websiteUrl"})
+    row = F.to_json(F.struct(*named.columns))
+    packed = named.groupBy(F.floor(F.substring("id", 2, 8).cast("bigint") / 1000).cast("string").alias("file")).agg(F.collect_list(row).alias("rows"))
+    files = packed.select("file", F.concat(F.lit("["), F.array_join("rows", ",\n"), F.lit("]")).alias("value"))
+    return captures.read_inventory(spark, as_files(files, "inventory"))
 
 
 @query(

@@ -1,17 +1,23 @@
 """Marketplace captures, product inventories and candidate batches as DataFrames.
 
-Captures are whole files: each is one row of text, so a folder of captures is read in
-parallel, and an unusable file fails the load.
+The readers cut files at their records (``ranges``), so that one file may be read by many tasks; an unusable file fails
+the load. The parsers take texts that are in a DataFrame already.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions import text, url
 from shelfmark.functions.rules import commission_label
+from shelfmark.session import stored
+from shelfmark.sources.ranges import RANGE_BYTES, json_outline, numbered, text_records
 
 DEFAULT_KIND = "export"
 
@@ -59,14 +65,50 @@ def parse_capture_json(files: DataFrame, content: str = "value") -> DataFrame:
     )
 
 
-def read_capture_json(spark: SparkSession, path: str) -> DataFrame:
-    return parse_capture_json(_whole_files(spark, path))
+def _failing(rows: DataFrame, bad: Column, message: str, label: str, like: DataFrame) -> DataFrame:
+    """No rows, of the shape of ``like``; the job fails if one of ``rows`` is ``bad``.
+
+    The condition is a filter, so that it is judged whatever columns are used.
+    """
+    failed = F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.concat(F.lit(f"{message} "), F.coalesce(label, F.lit("")))))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema]
+    return rows.filter(failed.cast("string").isNotNull()).select(*none)
+
+
+def _files_of(outline: DataFrame, *arrays: str) -> DataFrame:
+    """Per file: the kind of its root, whether all ``arrays`` are arrays, and its first members ``_members`` by name."""
+    plain = outline.filter("kind <> 'item'")
+    held = [F.count_if((F.col("path") == a) & (F.col("kind") == "array")) == 1 for a in arrays]
+    members = F.collect_list(F.when(F.col("kind") == "member", F.struct("path", "value")))
+    every = F.lit(True)
+    for h in held:
+        every = every & h
+    return plain.groupBy("file").agg(
+        F.max(F.when(F.col("path") == "", F.col("kind"))).alias("_root"), every.alias("_arrays"), members.alias("_members")
+    )
+
 
+def _member(name: str) -> Column:
+    return F.get(F.filter("_members", lambda m: m["path"] == name), 0)["value"]
 
-def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), "value"
+
+def read_capture_json(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Envelopes in files to rows of the shape of ``parse_capture_json``; the programs of one file may be spread over many tasks.
+
+    An envelope but for its programs travels with each of them as ``source`` does. It must hold each member once.
+    """
+    outline = json_outline(spark, path, ["programs"], range_bytes)
+    files = _files_of(outline, "programs").select(
+        "file",
+        (F.coalesce(F.col("_root") == "object", F.lit(False)) & F.col("_arrays") & F.coalesce(_member("schemaVersion").try_cast("double") == 1, F.lit(False))).alias("_usable"),
+        F.parse_json(_member("source")).alias("_given"),
     )
+    files = files.select("file", "_usable", "_given", (F.coalesce(variant_kind(F.col("_given")), F.lit("object")) == "object").alias("_source_ok"))
+    items = numbered(outline.filter("path = 'programs' and kind = 'item'")).select("file", "input_index", F.parse_json("value").alias("record"))
+    rows = items.join(files.select("file", F.when(variant_kind(F.col("_given")) == "object", F.col("_given")).alias("source")), "file")
+    rows = rows.select("file", "source", "input_index", "record")
+    unusable = _failing(files, ~F.col("_usable"), "Expected a capture object with schemaVersion: 1 and programs: [].", "file", rows)
+    return rows.unionAll(unusable).unionAll(_failing(files, ~F.col("_source_ok"), "source must be an object.", "file", rows))
 
 
 # The layout of a marketplace page saved as Markdown.
@@ -76,6 +118,7 @@ NOT_APPLIED = r"(?i)Programs not applied to yet\s+([\d,]+)"
 RELATIONSHIP_LINE = "(?i)^svg(?:Application pending|Application declined|Joined)$"
 STATED = r"(?im)^[^\S\n]*svg(?:Application pending|Application declined|Joined)[^\S\n]*$"
 BOLD_LINE = r"^\*\*(.+)\*\*$"
+MISCOUNTED = "The capture does not hold the number of program cards it declares."
 MARKDOWN_SOURCE = "PartnerStack All Programs marketplace Markdown capture"
 
 
@@ -96,16 +139,17 @@ def parse_capture_text(files: DataFrame, content: str = "value") -> DataFrame:
         _number(F.regexp_extract(page, NOT_APPLIED, 1)).alias("_not_applied"),
         F.try_element_at(F.split(page, COUNT_LINE, 2), F.lit(2)).alias("_body"),
     ).withColumn("_blocks", F.filter(F.split("_body", CARD_IMAGE), lambda b, i: i > 0))
-    counted = _fail_unless(
-        F.col("_declared") == F.size("_blocks"),
-        F.col("_blocks"),
-        "The capture does not hold the number of program cards it declares.",
-    )
+    counted = _fail_unless(F.col("_declared") == F.size("_blocks"), F.col("_blocks"), MISCOUNTED)
     stated = F.size(F.filter(F.col("_blocks"), lambda b: b.rlike(STATED)))
     fill = F.coalesce(F.col("_not_applied") + stated == F.col("_declared"), F.lit(False))
     cards = declared.select(
         "file", fill.alias("_fill"), F.posexplode(counted).alias("input_index", "_block")
     )
+    return _card_rows(cards)
+
+
+def _card_rows(cards: DataFrame) -> DataFrame:
+    """Cards (file, _fill, input_index, _block) as rows of a capture."""
     source = F.to_json(
         F.struct(F.lit(DEFAULT_KIND).alias("kind"), F.lit(MARKDOWN_SOURCE).alias("provenance"))
     )
@@ -180,8 +224,31 @@ def _parsed_cards(cards: DataFrame) -> DataFrame:
     )
 
 
-def read_capture_text(spark: SparkSession, path: str) -> DataFrame:
-    return parse_capture_text(_whole_files(spark, path))
+def read_capture_text(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Markdown files to rows of the shape of ``parse_capture_text``; the cards of one file may be spread over many tasks.
+
+    The first count line of a file opens its list; cards are the records behind it.
+    """
+    pieces = stored(text_records(spark, path, CARD_IMAGE.removeprefix("(?m)"), range_bytes), "cards")
+    piece = F.col("text")
+    at_count = F.when(piece.rlike(COUNT_LINE), F.col("at"))
+    at_open = F.when(piece.rlike(NOT_APPLIED), F.col("at"))
+    heads = pieces.groupBy("file").agg(
+        F.min(at_count).alias("_list"),
+        F.min_by(F.regexp_extract("text", COUNT_LINE, 1), at_count).alias("_declared"),
+        F.min_by(F.regexp_extract("text", NOT_APPLIED, 1), at_open).alias("_not_applied"),
+    )
+    listed = pieces.join(heads.select("file", "_list"), "file").filter(F.col("at") > F.col("_list"))
+    blocks = listed.select("file", "start", "at", F.regexp_replace("text", CARD_IMAGE.replace("(?m)^", r"\A"), "").alias("_block"))
+    counts = blocks.groupBy("file").agg(F.count(F.lit(1)).alias("_cards"), F.count_if(F.col("_block").rlike(STATED)).alias("_stated"))
+    files = heads.join(counts, "file", "left").select(
+        "file",
+        F.coalesce(_number(F.col("_declared")) == F.coalesce("_cards", F.lit(0)), F.lit(False)).alias("_counted"),
+        F.coalesce(_number(F.coalesce("_not_applied", F.lit(""))) + F.col("_stated") == _number(F.col("_declared")), F.lit(False)).alias("_fill"),
+    )
+    cards = numbered(blocks).join(files.select("file", "_fill"), "file").select("file", "_fill", "input_index", "_block")
+    rows = _card_rows(cards)
+    return rows.unionAll(_failing(files, ~F.col("_counted"), MISCOUNTED, "file", rows))
 
 
 INVENTORY = T.ArrayType(
@@ -228,24 +295,18 @@ def parse_inventory(rows: DataFrame) -> DataFrame:
         )
         .alias("website_url"),
     )
-    return _all_distinct(_all_distinct(typed, F.col("id")), F.lower("slug"))
+    out = typed
+    for key in (F.col("id"), F.lower("slug")):  # only keys travel for that
+        keys = typed.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+        out = out.unionAll(_failing(keys, F.col("_n") > 1, "Inventory: duplicate ID or slug.", "_key", typed))
+    return out
 
 
-def _all_distinct(rows: DataFrame, key: Column) -> DataFrame:
-    """The rows, or a failed job if ``key`` repeats."""
-    repeated = (
-        rows.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    )
-    if repeated.limit(1).count():
-        raise ValueError("Inventory: duplicate ID or slug.")
-    return rows
-
-
-def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Inventory files, each one JSON array of objects."""
-    files = _whole_files(spark, path)
-    items = F.variant_get(F.parse_json("value"), "$", "array<variant>")
-    return parse_inventory(files.select(F.explode(items).alias("record")))
+def read_inventory(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Inventory files, each one JSON array of objects; one file may be read by many tasks."""
+    outline = json_outline(spark, path, [], range_bytes)
+    rows = parse_inventory(outline.filter("path = '' and kind = 'item'").select(F.parse_json("value").alias("record")))
+    return rows.unionAll(_failing(_files_of(outline), F.col("_root") != "array", "Expected an array of inventory rows.", "file", rows))
 
 
 _CITATION = "array<struct<sourceUrl: string, quote: string>>"
@@ -298,8 +359,31 @@ def parse_batch(files: DataFrame, content: str = "value") -> dict[str, DataFrame
     }
 
 
-def read_batch(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return parse_batch(_whole_files(spark, path))
+_CONTEXT = {
+    "software": "struct<id: string, slug: string, name: string, vendorId: string, vendorName: string, officialUrl: string>",
+    "vendors": "struct<id: string, slug: string, name: string, officialUrl: string>",
+    "categories": "struct<id: string, slug: string, name: string>",
+}
+_REPORTING = "struct<categoryCountsBefore: map<string, bigint>, publishedCountBefore: bigint, uncategorizedCountBefore: bigint>"
+
+
+def read_batch(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> dict[str, DataFrame]:
+    """Batch files to the tables of ``parse_batch``; candidates and context of one file may be spread over many tasks."""
+    arrays = ["candidates", *[f"context.{name}" for name in _CONTEXT]]
+    outline = json_outline(spark, path, arrays, range_bytes)
+    files = _files_of(outline, *arrays)
+
+    def items(array: str) -> DataFrame:
+        return outline.filter((F.col("path") == array) & (F.col("kind") == "item"))
+
+    candidates = numbered(items("candidates")).select("file", "input_index", F.from_json("value", CANDIDATE.replace("\n", " ")).alias("candidate"))
+    message = "Input must contain candidates plus software, vendor and category context arrays."
+    tables = {"candidates": candidates.unionAll(_failing(files, ~F.col("_arrays") | (F.col("_root") != "object"), message, "file", candidates))}
+    for name, kind in _CONTEXT.items():
+        tables[name] = items(f"context.{name}").select("file", F.from_json("value", kind).alias("_r")).select("file", "_r.*")
+    reporting = F.from_json(_member("reporting"), _REPORTING).alias("_r")
+    tables["reporting"] = files.select("file", reporting).select("file", "_r.*")
+    return tables
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -309,11 +393,44 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     ).parquet(path)
 
 
-def read_images(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
-    """Image files as ``(url, bytes)``; the path stands for the address."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", suffix)
-        .load(path)
-        .select(F.col("path").alias("url"), F.col("content").alias("bytes"))
-    )
+#: Bytes at the start of an image file in which its size stands, but for JPEG files with long leading segments.
+HEADER_BYTES = 1 << 16
+
+
+def list_images(spark: SparkSession, path: str, suffix: str = "*") -> DataFrame:
+    """(url, length, modified) of image files, without reading them. The files are split over tasks like their contents.
+
+    Empty files are not listed, as Spark lists none.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(path)
+    return found.select(F.col("path").alias("url"), "length", F.col("modificationTime").alias("modified"))
+
+
+def read_images(spark: SparkSession, path: str, suffix: str = "*", largest: int | None = None) -> DataFrame:
+    """Image files of a folder and those below it as ``(url, bytes, length)``; the path stands for the address.
+
+    Files of more than ``largest`` bytes are listed with null bytes and are never read: the length is known from the listing.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", "true").load(path)
+    small = found if largest is None else found.filter(F.col("length") <= largest)
+    out = small.select(F.col("path").alias("url"), F.col("content").alias("bytes"), "length")
+    if largest is None:
+        return out
+    large = found.filter(F.col("length") > largest)
+    return out.unionAll(large.select(F.col("path").alias("url"), F.lit(None).cast("binary").alias("bytes"), "length"))
+
+
+def _heads(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        heads = []
+        for address, length in zip(batch.column("url").to_pylist(), batch.column("length").to_pylist()):
+            system, path = fs.FileSystem.from_uri(address)
+            with system.open_input_file(path) as file:
+                heads.append(file.read_at(min(size, length), 0))
+        yield pa.RecordBatch.from_arrays([batch.column("url"), batch.column("length"), pa.array(heads, pa.binary())], names=["url", "length", "head"])
+
+
+def read_image_heads(spark: SparkSession, path: str, suffix: str = "*", size: int = HEADER_BYTES) -> DataFrame:
+    """(url, length, head): the first ``size`` bytes of image files, enough for format and sides; the rest is not read."""
+    listed = list_images(spark, path, suffix).select("url", "length")
+    return listed.mapInArrow(lambda batches: _heads(batches, size), "url string, length bigint, head binary")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +51,26 @@ def asset_manifest(provenance_rows: DataFrame) -> DataFrame:
         F.col("asset_path").alias("src"),
         F.concat("name", F.lit(" logo")).alias("alt"),
     )
+
+
+def write_files(df: DataFrame, folder: str, name: str = "name", content: str = "bytes") -> int:
+    """Writes each row as a file of its own, and says how many there are.
+
+    A file gets its name once it is whole, and a repeated task writes the same again, so a lost executor leaves no half file.
+    Names must be unique and hold no folder.
+    """
+    system, root = fs.FileSystem.from_uri(folder)
+    system.create_dir(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for file, data in zip(batch.column("name").to_pylist(), batch.column("bytes").to_pylist()):
+                part = f"{root}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(data or b"")
+                system.move(part, f"{root}/{file}")
+            yield pa.RecordBatch.from_pydict({"files": [batch.num_rows]})
+
+    rows = df.select(F.col(name).alias("name"), F.col(content).alias("bytes"))
+    return rows.mapInArrow(run, "files bigint").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
