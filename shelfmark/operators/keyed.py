@@ -4,8 +4,7 @@ Spark sends all rows of a window or list aggregate with one key to one task. The
 operators here avoid that: they reduce map-side to a fixed-size state per key
 (``first_per_key``, ``sole_match``), cut each task to its own best rows before the
 exchange (``top_per_key``), or split a long key into time buckets (``previous_in_order``).
-``best_at`` answers "which interval wins at this instant" without pairing every
-instant with every interval of its key.
+``asof.best_at`` answers "which interval wins at this instant".
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmark.operators.asof import best_at as best_at
+
 SALTS = 32
 
 
@@ -116,154 +117,3 @@ def previous_in_order(
         F.coalesce("_seen", "_carry")[value].alias(into),
     )
 
-
-RADIX_BITS = 1
-TIER = 6
-# Microseconds per unit of interval bounds, and the bits that 9999 years of it take.
-UNITS = {"day": (86_400_000_000, 22), "second": (1_000_000, 39), "microsecond": (1, 59)}
-
-
-def _micros(c: Column) -> Column:
-    """Microseconds since 0001-01-01 of a timestamp without zone; never negative."""
-    return F.timestamp_diff(
-        "MICROSECOND", F.expr("timestamp_ntz'0001-01-01 00:00:00'"), c.cast("timestamp_ntz")
-    )
-
-
-def _bound(c: Column, unit: str) -> Column:
-    """An interval bound in whole units; a bound inside a unit fails the job."""
-    size = UNITS[unit][0]
-    micros = _micros(c)
-    return F.when(
-        F.pmod(micros, F.lit(size).cast("bigint")) != 0,
-        F.raise_error(F.lit(f"interval bound is not a whole {unit}")).cast("bigint"),
-    ).otherwise(_whole(micros, size))
-
-
-def _whole(micros: Column, size: int) -> Column:
-    """Whole units, by integer division; ``micros`` is never negative."""
-    return F.call_function("div", micros, F.lit(size).cast("bigint"))
-
-
-def _levels(unit: str) -> int:
-    return -(-UNITS[unit][1] // RADIX_BITS) + 1
-
-
-def _blocks(start: Column, stop: Column, unit: str) -> Column:
-    """Cover ``[start, stop)`` by aligned blocks of 2**level units, as an array of structs.
-
-    A level holds what its own blocks can cover and blocks of the next level cannot: at
-    most one block at either end.
-    """
-    empty = F.array().cast("array<bigint>")
-
-    def run(a: Column, b: Column) -> Column:
-        return F.when(a < b, F.sequence(a, b - 1)).otherwise(empty)
-
-    def level_blocks(level: int) -> Column:
-        left, right = _ceil_shift(start, level), _floor_shift(stop, level)
-        inner_left, inner_right = _ceil_shift(start, level + 1), _floor_shift(stop, level + 1)
-        width = 1 << RADIX_BITS
-        edges = F.concat(run(left, inner_left * width), run(inner_right * width, right))
-        numbers = F.when(inner_left < inner_right, edges).otherwise(run(left, right))
-        return F.transform(
-            numbers, lambda n: F.struct(F.lit(level).alias("level"), n.alias("block"))
-        )
-
-    return F.flatten(F.array(*[level_blocks(k) for k in range(_levels(unit))]))
-
-
-def _floor_shift(c: Column, level: int) -> Column:
-    return F.shiftright(c, RADIX_BITS * level)
-
-
-def _ceil_shift(c: Column, level: int) -> Column:
-    return F.shiftright(c + F.lit((1 << (RADIX_BITS * level)) - 1).cast("bigint"), RADIX_BITS * level)
-
-
-def best_at(
-    points: DataFrame,
-    point_key: Sequence[str],
-    at: str,
-    point_id: Sequence[str],
-    intervals: DataFrame,
-    interval_key: Sequence[str],
-    valid_from: str,
-    valid_until: str,
-    order: Sequence[Column],
-    payload: Sequence[str],
-    unit: str = "microsecond",
-) -> DataFrame:
-    """The winning interval of each point's key at the point's instant, if any.
-
-    An interval ``[valid_from, valid_until)`` (a null end is open) is cut into aligned
-    blocks of 2**level units; each (key, level, block) keeps only its winner, the least by
-    ``order``, which must be free of ties. A point lies in one block per level, so it looks
-    up one winner per level and takes the best. Six levels travel together: the winners
-    below one block of the level above are packed into a row of at most 126. Work is linear
-    in both tables even if one key holds most of both, where pairing points with intervals
-    would be quadratic.
-
-    ``unit`` is what interval bounds are whole multiples of: the coarser, the fewer levels.
-    Points may fall anywhere.
-    """
-    levels = _levels(unit)
-    first = F.lit(0).cast("bigint")
-    last = F.lit(1 << (RADIX_BITS * (levels - 1))).cast("bigint")
-    keys = [f"_k{i}" for i in range(len(interval_key))]
-    winners = (
-        intervals.withColumn("_start", F.coalesce(_bound(F.col(valid_from), unit), first))
-        .withColumn("_stop", F.coalesce(_bound(F.col(valid_until), unit), last))
-        .filter(F.col("_start") < F.col("_stop"))
-        .select(
-            *[F.col(c).alias(k) for c, k in zip(interval_key, keys)],
-            F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("_order"),
-            F.struct(*payload).alias("_payload"),
-            F.inline(_blocks(F.col("_start"), F.col("_stop"), unit)),
-        )
-        .groupBy(*keys, "level", "block")
-        .agg(F.min(F.struct("_order", "_payload")).alias("_best"))
-    )
-    level, block = F.col("level"), F.col("block")
-    tier = F.floor(level / TIER).cast("int")
-    climb = RADIX_BITS * ((tier + 1) * TIER - level)
-    packed = (
-        winners.select(
-            *keys,
-            tier.alias("tier"),
-            F.call_function("shiftright", block, climb).alias("parent"),
-            F.struct("level", "block", "_best").alias("_entry"),
-        )
-        .groupBy(*keys, "tier", "parent")
-        .agg(F.collect_list("_entry").alias("_entries"))
-    )
-    tiers = -(-levels // TIER)
-    steps = F.array(
-        *[
-            F.struct(
-                F.lit(g).alias("tier"),
-                _floor_shift(F.col("_instant"), (g + 1) * TIER).alias("parent"),
-            )
-            for g in range(tiers)
-        ]
-    )
-    held = F.filter(
-        "_entries",
-        lambda e: e["block"]
-        == F.call_function("shiftright", F.col("_instant"), e["level"] * RADIX_BITS),
-    )
-    return (
-        points.withColumn("_instant", _whole(_micros(F.col(at)), UNITS[unit][0]))
-        .select(
-            *point_id,
-            "_instant",
-            *[F.col(c).alias(k) for c, k in zip(point_key, keys)],
-            F.inline(steps),
-        )
-        .join(packed, [*keys, "tier", "parent"])
-        .select(*point_id, F.array_min(F.transform(held, lambda e: e["_best"])).alias("_best"))
-        .filter(F.col("_best").isNotNull())
-        .groupBy(*point_id)
-        .agg(F.min("_best").alias("_best"))
-        .select(*point_id, "_best._payload.*")
-    )

@@ -72,9 +72,9 @@ def resolve_link(
 
 
 def link_at(
-    points: DataFrame, point_id: Sequence[str], links: DataFrame, unit: str = "microsecond"
+    points: DataFrame, point_id: Sequence[str], links: DataFrame, unit: str = "microsecond", outer: bool = False
 ) -> DataFrame:
-    """The best verified link of ``points.software_id`` valid at ``points.at``."""
+    """The best verified link of ``points.software_id`` valid at ``points.at``; with ``outer`` all points."""
     return best_at(
         points,
         ["software_id"],
@@ -87,6 +87,7 @@ def link_at(
         [-F.col("priority"), F.col("affiliate_link_id")],
         ["affiliate_link_id"],
         unit,
+        outer,
     )
 
 

@@ -79,8 +79,8 @@ def events_by_link(events: DataFrame, link: str, at: str, width: str = "1 hour")
 
 def enrich_click(clicks: DataFrame, links: DataFrame, unit: str = "microsecond") -> DataFrame:
     """Clicks (click_id, software_id, at) with the link valid then; null where none was."""
-    found = link_at(clicks, ["click_id"], links, unit)
-    return clicks.join(found, "click_id", "left")
+    columns = ["click_id", *[c for c in clicks.columns if c != "click_id"]]
+    return link_at(clicks, columns, links, unit, outer=True)
 
 
 def conversions_to_clicks(conversions: DataFrame, clicks: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ def test_ingest_agrees_with_taking_rows_one_by_one(spark):
     assert sorted(r["n"] for r in got.collect()) == expected
 
 
-def test_best_interval_agrees_with_comparing_all(spark):
+@pytest.mark.parametrize("hot_rows", [10**6, 40, 6])
+def test_best_interval_agrees_with_comparing_all(spark, hot_rows):
     rng = random.Random(3)
 
     def moment():
@@ -66,9 +67,33 @@ def test_best_interval_agrees_with_comparing_all(spark):
         spark.createDataFrame(
             links, "k string, link string, rank int, f timestamp_ntz, u timestamp_ntz"
         ),
-        ["k"], "f", "u", [-F.col("rank"), F.col("link")], ["link"],
-    )
-    assert {r["p"]: r["link"] for r in got.collect()} == expected
+        ["k"], "f", "u", [-F.col("rank"), F.col("link")], ["link"], hot_rows=hot_rows,
+    ).collect()
+    assert {r["p"]: r["link"] for r in got} == expected and len(got) == len(expected)
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 50])
+def test_best_interval_in_one_instant_and_without_keys(spark, hot_rows):
+    """Most points and intervals meet in one instant of one key; nulls, empty and touching intervals."""
+    day = lambda n: START + dt.timedelta(days=n)
+    links = [("x", f"a{i:03}", i % 7, day(5), day(5 + i % 40)) for i in range(300)]
+    links += [("x", "open", 0, None, None), ("y", "early", 1, day(0), day(5)), ("y", "late", 1, day(5), None), (None, "none", 9, None, None)]
+    points = [(i, "x", day(5)) for i in range(400)] * 2 + [(500 + i, "x", day(i)) for i in range(60)]
+    points += [(600, "y", day(5)), (601, "y", day(4)), (602, None, day(5)), (603, "x", None), (604, "z", day(1))]
+    expected = []
+    for p, key, at in points:
+        fits = [(-r, n) for k, n, r, f, u in links if key and at and k == key and (f is None or f <= at) and (u is None or u > at)]
+        expected.append((p, min(fits)[1] if fits else None))
+    given = spark.createDataFrame(points, "p int, k string, at timestamp_ntz"), spark.createDataFrame(links, "k string, link string, rank int, f timestamp_ntz, u timestamp_ntz")
+    for outer in (False, True):
+        got = keyed.best_at(
+            given[0], ["k"], "at", ["p"], given[1], ["k"], "f", "u", [-F.col("rank"), F.col("link")], ["link"], "day", outer, hot_rows
+        )
+        wanted = [e for e in expected if outer or e[1]]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(wanted, key=str)
+    with pytest.raises(Exception, match="whole day"):
+        shifted = given[1].withColumn("f", F.col("f") + F.expr("interval 1 second"))
+        keyed.best_at(given[0], ["k"], "at", ["p"], shifted, ["k"], "f", "u", [F.col("link")], ["link"], "day").collect()
 
 
 def test_previous_in_order_looks_across_buckets(spark):
