@@ -60,6 +60,39 @@ def ingest_conversions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "ingest_both_identities",
+    """with recursive c as (
+      select event_id as id, user_id,
+        case when value >= 5 then user_id || '-' || strftime(ts, '%Y%m%d') end as e,
+        case when event_id % 7 <> 0 then user_id || '|' || (event_id % 5) end as d,
+        row_number() over (partition by user_id order by event_id) as n
+      from events),
+    walk as (
+      select user_id, 0::bigint as n, []::varchar[] as es, []::varchar[] as ds, null::bigint as id, false as taken
+      from (select distinct user_id from c)
+      union all
+      select user_id, n, case when fits and e is not null then list_append(es, e) else es end,
+        case when fits and d is not null then list_append(ds, d) else ds end, id, fits
+      from (
+        select w.user_id, c.n, es, ds, c.id, e, d, (e is not null or d is not null)
+          and not coalesce(list_contains(es, e), false) and not coalesce(list_contains(ds, d), false) as fits
+        from walk w join c on c.user_id = w.user_id and c.n = w.n + 1))
+    select id as affiliate_conversion_id, e as external_event_id, d as payload_digest
+    from walk join c using (id) where taken""",
+)
+def ingest_both_identities(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as conversions, most with both identities, so that a row may be refused for either."""
+    big, day = F.col("value") >= 5, F.date_format("ts", "yyyyMMdd")
+    rows = table(spark, sf, "events").select(
+        F.col("event_id").alias("affiliate_conversion_id"),
+        F.lit("shop").alias("network"),
+        F.when(big, F.concat_ws("-", F.col("user_id").cast("string"), day)).alias("external_event_id"),
+        F.when(F.col("event_id") % 7 != 0, F.concat_ws("|", F.col("user_id").cast("string"), (F.col("event_id") % 5).cast("string"))).alias("payload_digest"),
+    )
+    return rules.ingest_conversions(rows, rows.limit(0), "affiliate_conversion_id").drop("network")
+
+
 @query(
     "clicks_by_link",
     """select user_id, time_bucket(interval 6 hour, ts) as window_start,

@@ -5,13 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.operators import history, keyed
+from shelfmark.operators import components, history, keyed
 from shelfmark.streaming import events, streams
 
 START = dt.datetime(2026, 1, 1)
 
 
-def test_ingest_agrees_with_taking_rows_one_by_one(spark):
+@pytest.mark.parametrize("fold_rows", [200_000, 12, 0])
+def test_ingest_agrees_with_taking_rows_one_by_one(spark, fold_rows):
     rng = random.Random(11)
     schema = "network string, external_event_id string, payload_digest string, n int"
 
@@ -32,11 +33,44 @@ def test_ingest_agrees_with_taking_rows_one_by_one(spark):
         if d:
             digests_seen.add((n, d))
     got = events.ingest_conversions(
-        spark.createDataFrame(new, schema).repartition(6), spark.createDataFrame(old, schema), "n"
+        spark.createDataFrame(new, schema).repartition(6), spark.createDataFrame(old, schema), "n", fold_rows
     )
     assert sorted(r["n"] for r in got.collect()) == expected
 
 
+def test_a_long_chain_settles_in_few_rounds(spark, monkeypatch):
+    """Rows share an event id with the next and a digest with the one before, so every second one is accepted."""
+    rounds, pointers = [], []
+    forced, stored = events._forced, events.stored
+    monkeypatch.setattr(events, "_forced", lambda *a: rounds.append(1) or forced(*a))
+    monkeypatch.setattr(events, "stored", lambda df, label: pointers.append(label) or stored(df, label))
+    n = 100_000
+    rows = spark.range(n).select(
+        F.lit("a").alias("network"), F.concat(F.lit("e"), F.expr("id div 2")).alias("external_event_id"),
+        F.concat(F.lit("d"), F.expr("(id + 1) div 2")).alias("payload_digest"), F.col("id").alias("n"),
+    )
+    got = events.ingest_conversions(rows.repartition(7), rows.limit(0), "n", fold_rows=1000)
+    assert got.agg(F.count("n"), F.sum(F.col("n") % 2), F.max("n")).first() == (n // 2, 0, n - 2)
+    assert len(rounds) <= 2 and pointers.count("pointers") <= 20
+    at_once = events.ingest_conversions(rows.repartition(7), rows.limit(0), "n")
+    assert at_once.count() == n // 2 and len(rounds) <= 2
+
+
+def test_components_of_paths_stars_and_rings(spark):
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(100, 400)] + [(1000, 1000 + i) for i in range(200)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)]
+    pairs += [(rng.randrange(5000, 5300), rng.randrange(5000, 5300)) for _ in range(180)] + [(7, 7), (9, 8), (8, 9)]
+    root = {x: x for p in pairs for x in p if p[0] != p[1]}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in pairs:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    rng.shuffle(pairs)
+    got = components.connected(spark.createDataFrame(pairs, "a bigint, b bigint").repartition(4)).collect()
+    assert len(got) == len(root) and {r.node: r.root for r in got} == {x: find(x) for x in root}
+
+
 @pytest.mark.parametrize("hot_rows", [10**6, 40, 6])
 def test_best_interval_agrees_with_comparing_all(spark, hot_rows):
     rng = random.Random(3)
