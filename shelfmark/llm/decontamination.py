@@ -3,7 +3,7 @@
 The TF-IDF matrix of a block of benchmark passages (windows of words) gets its leading right singular vectors by a
 randomised SVD: tasks multiply their own passages with the current basis, Spark adds up the products, the driver
 orthonormalises a matrix of fixed size. Every window of every document is placed in that space and
-compared with the block's passages by cosine. What is near enough is aligned word by word: the longest common
+compared with the block's passages by cosine, if its document has enough of an item's words at all. What is near enough is aligned word by word: the longest common
 subsequence must cover most of the item, or a good part of it together with its answer.
 
 An item that fills little of a window is far from it by cosine, so items are also looked up by pairs of words: text
@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfmark.llm.common import Rolling, Texts, mixed, small_batches, texts, word_table, words, written
 
@@ -43,6 +44,8 @@ ALIGNED, WITH_ANSWER = 0.8, 0.6
 #: An item is found by its word pairs if at most one in so many of its words differs; this is within ALIGNED.
 ONE_IN = 5
 SLICES = 16
+#: Numbers of a table of rows and words that a task holds.
+CELLS = 2_000_000
 #: Words are letters and digits; all else in ASCII stands between them.
 _INSIDE = word_table(bytes(b for b in range(128) if not chr(b).isalnum()))
 
@@ -182,6 +185,32 @@ class Index:
         self.owner = np.array([n for n, _ in cut], np.int64)
         self.passages = [f for _, f in cut]
         self.vocabulary = np.unique(np.concatenate(self.passages)) if cut else np.zeros(0, np.int64)
+        every = [w for _, w, _ in items]
+        self.known = np.unique(np.concatenate(every)) if items else np.zeros(0, np.uint64)
+        self.first_bits = np.zeros(1 << 16, bool)
+        self.first_bits[self.known >> np.uint64(48)] = True
+        self.member = np.zeros((len(self.known), len(items)), np.float32)
+        for n, w in enumerate(every):
+            np.add.at(self.member[:, n], np.searchsorted(self.known, w), 1)
+        self.enough = np.array([WITH_ANSWER * len(w) - 1e-3 for w in every], np.float32)
+
+    def possible(self, row: np.ndarray, word: np.ndarray, rows: int) -> np.ndarray:
+        """Which items (columns) a row of words could hold: it has enough of their words, in whatever order.
+
+        A common subsequence is no longer than that, so nothing that would align is left out.
+        """
+        some = np.flatnonzero(self.first_bits[word >> np.uint64(48)])
+        at = np.searchsorted(self.known, word[some])
+        hit = self.known[np.minimum(at, len(self.known) - 1)] == word[some]
+        row, at = row[some[hit]], at[hit]
+        out = np.zeros((rows, len(self.ids)), bool)
+        step = max(1, CELLS // max(1, len(self.known)))
+        for first in range(0, rows, step):
+            a, b = np.searchsorted(row, [first, first + step])
+            bag = np.zeros((min(step, rows - first), len(self.known)), np.float32)
+            bag[row[a:b] - first, at[a:b]] = 1
+            out[first : first + step] = bag @ self.member >= self.enough
+        return out
 
     def place(self, space: np.ndarray, idf: np.ndarray) -> None:
         """Takes the space (vocabulary x rank), extends it where it holds too little, and places the passages."""
@@ -313,22 +342,38 @@ MATCH = "array<struct<item_id:{item},cosine:double,aligned:double,answered:boole
 
 
 def _search(docs: DataFrame, indexes: list[Index], idf: np.ndarray, item: str) -> DataFrame:
-    """``docs`` (with ``_text`` and perhaps ``_found``) with the matches of the indexes' items added to ``_found``."""
-    shared = docs.sparkSession.sparkContext.broadcast((indexes, idf, Seeds(indexes)))
-    others = [f for f in docs.schema.fields if f.name != "_found"]
-    kept = [f.name for f in others]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["_found " + MATCH.format(item=item)])
+    """``docs`` (``row``, ``_text`` and perhaps ``_found``) with the matches of the indexes' items added to ``_found``."""
+    shared = docs.sparkSession.sparkContext.broadcast((indexes, idf, Seeds(indexes)))  # a block has a bounded size
+    kept = [n for n in docs.columns if n != "_found"]
+    schema = StructType([*[docs.schema[n] for n in kept], *StructType.fromDDL("_found " + MATCH.format(item=item))])
+
+    def near(index: Index, possible: np.ndarray, row: np.ndarray, word: np.ndarray, idf_: np.ndarray, best: dict) -> None:
+        """Adds to ``best`` what windows near a passage of an item hold of it."""
+        bounds = np.searchsorted(row, np.arange(len(possible) + 1))
+        feature = _feature(word)
+        begin, last = _steps(row)
+        seen: dict[tuple[int, int], int] = {}
+        for step, i, cosine in index.near(feature, idf_[feature] ** 2, begin, last):
+            at = int(begin[step])
+            r = int(row[at])
+            if not possible[r, i] or seen.get((r, i), -1) >= at + WINDOW:  # the words here were aligned with the item already
+                continue
+            # a hit can be any passage of the item, so as much as an item more on either side
+            size = len(index.words[i])
+            a, b = max(bounds[r], at - size), min(bounds[r + 1], at + WINDOW + size)
+            aligned, answered = index.align(i, word[a:b].tolist())
+            seen[r, i] = at + WINDOW
+            if aligned >= ALIGNED or aligned >= WITH_ANSWER and answered:
+                if (r, i) not in best or aligned > best[r, i][1] or aligned == best[r, i][1] and best[r, i][0] is None:
+                    best[r, i] = (cosine, aligned, answered, int(at - bounds[r]))
 
     def matches(part: Texts, find: Words) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(part.rows)]
         row, word = find(part)
         if not len(row):
             return out
-        feature = _feature(word)
         bounds = np.searchsorted(row, np.arange(part.rows + 1))
-        weight = shared.value[1][feature] ** 2
-        begin, last = _steps(row)
-        indexes, _, seeds = shared.value
+        indexes, idf_, seeds = shared.value
         seeded: list[dict[tuple[int, int], tuple]] = [{} for _ in indexes]
         for r, block, i, a, b in seeds.near(row, word):
             a, b = max(int(bounds[r]), a), min(int(bounds[r + 1]), b)
@@ -337,20 +382,10 @@ def _search(docs: DataFrame, indexes: list[Index], idf: np.ndarray, item: str) -
             if aligned >= ALIGNED and ((r, i) not in best or aligned > best[r, i][1]):
                 best[r, i] = (None, aligned, answered, int(a - bounds[r]))
         for index, best in zip(indexes, seeded):
-            seen: dict[tuple[int, int], int] = {}
-            for step, i, cosine in index.near(feature, weight, begin, last):
-                at = int(begin[step])
-                r = int(row[at])
-                if seen.get((r, i), -1) >= at + WINDOW:  # the words here were aligned with the item already
-                    continue
-                # a hit can be any passage of the item, so as much as an item more on either side
-                size = len(index.words[i])
-                a, b = max(bounds[r], at - size), min(bounds[r + 1], at + WINDOW + size)
-                aligned, answered = index.align(i, word[a:b].tolist())
-                seen[r, i] = at + WINDOW
-                if aligned >= ALIGNED or aligned >= WITH_ANSWER and answered:
-                    if (r, i) not in best or aligned > best[r, i][1] or aligned == best[r, i][1] and best[r, i][0] is None:
-                        best[r, i] = (cosine, aligned, answered, int(at - bounds[r]))
+            possible = index.possible(row, word, part.rows)
+            able = possible.any(axis=1)[row]
+            if able.any():
+                near(index, possible, row[able], word[able], idf_, best)
             for (r, i), (cosine, aligned, answered, first) in sorted(best.items()):
                 out[r].append({"item_id": index.ids[i], "cosine": cosine, "aligned": aligned, "answered": answered, "first_word": first})
         return out
@@ -395,7 +430,7 @@ def with_matches(
     given = F.col(answer) if answer else F.regexp_extract(F.rtrim(F.col(item_text)), r"(?s)(?:^|.*[.!?]\s+)(.+?)$", 1)
     listed = benchmark.select(F.col(item_id).alias("id"), F.lower(F.col(item_text)).alias("text"), F.lower(given).alias("answer"))
     numbered = written(listed.orderBy("id", "text"), "items")
-    out = base.select("*", F.coalesce(F.lower(F.col(text)), F.lit("")).alias("_text"))
+    out = base.select(F.struct(*base.columns).alias("row"), F.coalesce(F.lower(F.col(text)), F.lit("")).alias("_text"))
     spark = docs.sparkSession
     find, ready, block, held = Words(), [], [], 0
 
@@ -421,4 +456,4 @@ def with_matches(
         held += more
     if block:
         ready.append(finish(block))
-    return _search(out, ready, idf, kind).select(*base.columns, F.col("_found").alias(into))
+    return _search(out, ready, idf, kind).select(*[F.col("row")[c].alias(c) for c in base.columns], F.col("_found").alias(into))
