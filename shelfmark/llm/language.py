@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfmark.llm.common import Texts, broadcast_up_to, small_batches, texts, word_table
 from shelfmark.operators.keyed import top_per_key
@@ -143,7 +144,9 @@ def _lowered(text: str) -> Column:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Centroids:
     """A model from rows whose language is known; others must be filtered out before.
 
-    The sample of a language is its ``SAMPLE_ROWS`` rows with the smallest hash of the key.
+    The sample of a language is its ``SAMPLE_ROWS`` rows with the smallest hash of the key. A language whose sampled texts
+    hold no n-gram (null, empty, no letters) is not learned; without any language all texts are rejected. Repeated rows count
+    as often as they come up.
     """
     small_batches(docs.sparkSession)
     known = docs.select(
@@ -180,7 +183,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         some = rows.any(axis=1)
         rows = rows[some]
         if not len(rows):
-            return pd.DataFrame({"lang": [], "centre": [], "floors": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("lang", "centre", "floors")})
         centres, _ = _spherical_kmeans(rows, CENTROIDS)
         floors = _floors([t for t, ok in zip(group["text"], some) if ok], rows, idf).tolist()
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.astype(np.float32).tolist() for c in centres], "floors": [floors] * len(centres)})
@@ -203,24 +206,23 @@ def predict(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
     base = docs.drop(*made)
     small_batches(base.sparkSession)
     shared = base.sparkSession.sparkContext.broadcast(model)
-    ready = base.select("*", _lowered(text).alias("_lowered"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    fields = [f.simpleString().replace(":", "` ", 1) for f in base.schema.fields]
-    schema = ", ".join([f"`{f}" for f in fields] + ["lang_pred string", "score double", "rejected boolean"])
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters")
+    ready = base.select(F.struct(*base.columns).alias("row"), _lowered(text).alias("lowered"), letters)
+    schema = StructType([ready.schema["row"], *StructType.fromDDL("lang_pred string, score double, rejected boolean")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores, far = [], [], []
-            for part in texts(batch.column("_lowered"), SLICE, ROWS):
+            for part in texts(batch.column("lowered"), SLICE, ROWS):
                 a, b, c = shared.value.predict(part)
                 names += a
                 scores.append(b)
                 far.append(c)
-            letters = np.asarray(batch.column("_letters"))
+            letters = np.asarray(batch.column("letters"))
             score = np.where(letters, np.concatenate(scores), 0.0) if names else np.zeros(0)
             rejected = ~letters | np.concatenate(far) if names else np.zeros(0, bool)
             chosen = [n if ok else UNKNOWN for n, ok in zip(names, letters)]
-            kept = batch.drop_columns(["_lowered", "_letters"])
-            columns = [*kept.columns, pa.array(chosen, pa.string()), pa.array(score), pa.array(rejected)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept.schema.names, *made])
+            columns = [batch.column("row"), pa.array(chosen, pa.string()), pa.array(score), pa.array(rejected)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", *made])
 
-    return ready.mapInArrow(run, schema)
+    return ready.mapInArrow(run, schema).select(*[F.col("row")[c].alias(c) for c in base.columns], *made)

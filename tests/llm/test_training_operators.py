@@ -343,3 +343,23 @@ def test_pipeline_on_odd_rows(spark, odd, empty, tmp_path):
         kept = {r.doc_id for r in docs.collect()}
         assert kept == ({4, 5, 7, 8, 9, None} if frame is odd else set())
         assert corpus_pipeline.run(spark, folder).columns == [*frame.columns, "copy"]
+
+
+def test_language_without_letters_and_clashing_names(spark):
+    """A language all of whose texts are null, empty or without letters; columns named like the operators' own."""
+    given = [(1, None, "fr"), (2, "", "fr"), (3, "1 2 3", "xx"), (4, "a", "yy"), (5, "the cat and the dog", "en"), (6, "der Hund und die Katze", "de")]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string, lang string")
+    for name in ("_lowered", "_letters", "_text", "_found", "lowered", "letters", "row"):
+        docs = docs.withColumn(name, F.lit(f"mine {name}"))
+    model = language.fit(docs)
+    assert set(model.langs) == {"en", "de"}
+    rows = language.predict(docs, model).collect()
+    assert {r.doc_id: r.lang_pred for r in rows} == {1: "und", 2: "und", 3: "und", 4: rows[3].lang_pred, 5: "en", 6: "de"}
+    none = language.fit(docs.filter("doc_id < 4"))
+    assert none.langs == [] and {r.rejected for r in language.predict(docs, none).collect()} == {True}
+    items = spark.createDataFrame([(1, "the cat and the dog"), (2, "nowhere to be seen")], "item_id bigint, text string")
+    found = decontamination.with_matches(docs, items).collect()
+    assert {r.doc_id: [m.item_id for m in r.matches] for r in found} == {i: [1] if i == 5 else [] for i in range(1, 7)}
+    for r in [*rows, *found]:
+        for name in ("_lowered", "_letters", "_text", "_found", "lowered", "letters", "row"):
+            assert r[name] == f"mine {name}"
