@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from shelfmark.session import scratch_path
 
 MASK = (1 << 64) - 1
+#: Whether Spark deletes the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes and rows that one round of numpy work takes; arrays of eight bytes a position stay below 8 MB.
 SLICE_BYTES, SLICE_ROWS = 1_000_000, 5_000
 
@@ -19,16 +21,30 @@ SLICE_BYTES, SLICE_ROWS = 1_000_000, 5_000
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder, so that a lost executor costs no recompute.
 
-    Parquet keeps it small and lets later reads prune columns. The file system drops the
-    folder when the application ends.
+    Parquet keeps it small and lets later reads prune columns. Shuffle files of the job go as soon as it is done, since
+    later reads go to the table. The file system drops the folder when the application ends, ``drop`` does so before.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    cleaned = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, cleaned)
     drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by ``written`` that nothing will read any more."""
+    for df in tables:
+        hadoop = df.sparkSession._jsc.hadoopConfiguration()
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+            at.getFileSystem(hadoop).delete(at, True)
+
+
 def drop_at_end(spark: SparkSession, path: str) -> None:
     """Asks the file system that holds ``path`` to delete it when the application ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

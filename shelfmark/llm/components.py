@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import written
+from shelfmark.llm.common import drop, written
 
 ROUNDS = 60
 
@@ -36,7 +36,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        earlier = now
         now = written(small.filter("e.b <> e.m").select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).distinct(), "edges")
+        drop(earlier)
         before, seen = seen, _mark(now)
         if before == seen:
             break
