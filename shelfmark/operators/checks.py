@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import rules, text
 from shelfmark.operators.keyed import fold_sorted
+from shelfmark.operators.ranks import positions
 from shelfmark.session import cut_lineage
 
 
@@ -141,6 +142,11 @@ def ordered_array(df: DataFrame, keys: Sequence[str], value: str, into: str) ->
     return folded.withColumn(into, F.array_join(into, ","))
 
 
+def ordered_entries(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """What ``ordered_array`` joins, as rows (keys, value, position), for keys with any number of values."""
+    return positions(df.filter(F.col(value).isNotNull()).select(*keys, value).distinct(), keys, [value])
+
+
 def count_by_class(df: DataFrame, column: str, classes: Sequence[str]) -> DataFrame:
     """Rows per class in the given order; classes without rows count zero."""
     known = df.sparkSession.createDataFrame(

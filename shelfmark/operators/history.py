@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators.keyed import previous_in_order, top_per_key
+from shelfmark.operators.keyed import top_per_key
+from shelfmark.operators.ranks import previous
 
 HISTORY_LIMIT = 50
 
@@ -28,14 +29,12 @@ def page_views(
 ) -> DataFrame:
     """Views that count: not skipped, and not a repeat of the path seen just before.
 
-    The path loses its query and fragment first; ``referrer`` is the previous path.
+    The path loses its query and fragment first; ``referrer`` is the previous path. A session may hold any number of views.
     """
     public = visits.filter(~skipped).withColumn(
         path, F.regexp_replace(F.col(path), r"[?#].*$", "")
     )
-    looked = previous_in_order(
-        public, [session], F.date_trunc("minute", F.col(at)), [at, identifier], path, "referrer"
-    )
+    looked = previous(public, [session], [at, identifier], path, "referrer")
     return looked.filter(F.col("referrer").isNull() | (F.col("referrer") != F.col(path)))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text
 from shelfmark.operators.keyed import fold_sorted, top_per_key
+from shelfmark.operators.ranks import SortedIndex, positions
 
 PUBLISHED = "published"
 PAGE_SIZE = 12
@@ -66,7 +67,10 @@ def join_vendor(software: DataFrame, vendors: DataFrame) -> DataFrame:
 
 
 def page_by_name(df: DataFrame, page: int, size: int, order: Sequence[str]) -> DataFrame:
-    """One page in name order. A page past the end shows the last one."""
+    """One page in name order. A page past the end shows the last one.
+
+    All rows before the page are ordered, too; for deep pages keep a ``ranks.SortedIndex``.
+    """
     if page < 1 or size < 1:
         raise ValueError("page and size count from 1")
     if page > 1:
@@ -137,6 +141,12 @@ def category_software(
     )
 
 
+def category_index(relations: DataFrame, software: DataFrame) -> SortedIndex:
+    """Published products of every category by id, for pages of any depth: a page reads the ranges it lies in."""
+    pairs = relations.select("category_id", "software_id").distinct()
+    return SortedIndex(id_in_list(pairs, published_only(software), "software_id"), ["software_id"], ["category_id"])
+
+
 def software_categories_of(relations: DataFrame, categories: DataFrame) -> DataFrame:
     """Published categories of each product, each once."""
     return (
@@ -304,6 +314,16 @@ def review_fold(detail: DataFrame) -> DataFrame:
     return folded.withColumn("status", F.when(nameless, "error").otherwise("success"))
 
 
+def review_entries(detail: DataFrame) -> DataFrame:
+    """What ``review_fold`` folds, as rows: each product's distinct categories with their place in name order.
+
+    A product may have any number of categories; those without one have no rows.
+    """
+    columns = ["software_id", "category_name", "category_id"]
+    pairs = detail.filter(F.col("category_id").isNotNull()).select(*columns).distinct()
+    return positions(pairs, ["software_id"], ["category_name", "category_id"])
+
+
 def distinct_paths(
     fixed: Sequence[str], categories: DataFrame, software: DataFrame
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import rules, text
 from shelfmark.operators import listing
+from shelfmark.operators.ranks import SortedIndex
 from shelfmark.registry import query
 from shelfmark.registry.tables import (
     CATEGORIES,
@@ -304,6 +305,17 @@ def review_fold(spark: SparkSession, sf: str) -> DataFrame:
     return folded.withColumn("categories", F.array_join(shown, ","))
 
 
+@query(
+    "review_entries",
+    f"""{_DETAIL_SQL}, pairs as (
+      select distinct software_id, category_name, category_id from detail where category_id is not null)
+    select *, row_number() over (partition by software_id order by category_name nulls first, category_id) as position
+    from pairs""",
+)
+def review_entries(spark: SparkSession, sf: str) -> DataFrame:
+    return listing.review_entries(_detail(spark, sf))
+
+
 @query(
     "semi_exists",
     """select c_custkey, c_name from customer where exists (
@@ -401,6 +413,25 @@ def queue_order(spark: SparkSession, sf: str) -> DataFrame:
     return queue.select("software_id", "slug", "software_name", "vendor", "verification_status")
 
 
+@query(
+    "category_index",
+    f"""{WITH_ALL}, held as (
+      select distinct r.category_id, r.software_id from relations r join software s using (software_id)
+      where s.publication_status = 'published'),
+    placed as (
+      select *, row_number() over (partition by category_id order by software_id) as n, count(*) over (partition by category_id) as total
+      from held where category_id in (3, 4))
+    select category_id, software_id, software_name from placed join software using (software_id)
+    where (n - 1) // 12 + 1 = least(case when category_id = 3 then 2 else 1000 end, (total + 11) // 12)""",
+)
+def category_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The second page of one category and the last of another, from one index."""
+    every = software(spark, sf)
+    index = listing.category_index(relations(spark, sf), every)
+    pages = index.page(2, listing.PAGE_SIZE, 3).unionAll(index.page(1000, listing.PAGE_SIZE, 4))
+    return pages.join(every, "software_id").select("category_id", "software_id", "software_name")
+
+
 @query(
     "initials",
     """select upper(left(p_name, 1)) as letter, count(*) as names from part
@@ -420,6 +451,18 @@ def page_by_name(spark: SparkSession, sf: str) -> DataFrame:
     return listing.page_by_name(public, 3, listing.PAGE_SIZE, ["software_name", "software_id"])
 
 
+@query(
+    "deep_page",
+    """select o_orderkey, o_orderdate from (
+      select *, row_number() over (order by o_orderdate, o_orderkey) as n, count(*) over () as total from orders)
+    where (n - 1) // 12 + 1 = least(1000, (total + 11) // 12)""",
+)
+def deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A page far from the start, read from one range of an index."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return SortedIndex(orders, ["o_orderdate", "o_orderkey"]).page(1000, listing.PAGE_SIZE)
+
+
 @query(
     "az_index",
     f"""with {SOFTWARE} select count(*) as total, greatest(1, ceil(count(*) / 6))::bigint as total_pages

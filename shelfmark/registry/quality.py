@@ -182,6 +182,15 @@ def ordered_array(spark: SparkSession, sf: str) -> DataFrame:
     return checks.ordered_array(table(spark, sf, "part"), ["p_brand"], "p_type", "types")
 
 
+@query(
+    "ordered_entries",
+    """select p_brand, p_name, row_number() over (partition by p_brand order by p_name) as position
+    from (select distinct p_brand, p_name from part)""",
+)
+def ordered_entries(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.ordered_entries(table(spark, sf, "part"), ["p_brand"], "p_name")
+
+
 @query(
     "monetization_counts",
     """select coalesce(case when p_size < 10 then 'KNOWN_EXISTING_MONETIZATION'

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,14 +59,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a parquet table in the shared folder, dropped when the application ends.
+def stored(df: DataFrame, label: str, folders: Sequence[str] = ()) -> DataFrame:
+    """``df`` as a parquet table in the shared folder, in ``folders`` by these last columns, dropped when the application ends.
 
     Like ``cut_lineage`` a lost executor costs no recompute; later reads can prune columns and rows.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
