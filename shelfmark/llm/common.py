@@ -60,14 +60,14 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of Arrow batches for whole texts, unless the session has a smaller bound.
+    """Bounds the rows and bytes of Arrow batches for whole texts, unless the session has smaller bounds.
 
-    The default of 10,000 rows can be tens of megabytes of text in several copies per worker.
+    The defaults of 10,000 rows and 64 MB can be hundreds of megabytes of text in several copies per worker.
     """
-    name, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > rows:
-        spark.conf.set(name, rows)
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = int(spark.conf.get(name).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, most)
 
 
 def remainder(identifier: Column, modulus: int) -> Column:
