@@ -229,6 +229,23 @@ def page_view_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return views.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
+@query(
+    "page_views_in_order",
+    """with v as (select user_id as session, event_id as view_id, ts as at, event_type as path,
+        lag(event_type) over (partition by user_id order by ts, event_id) as referrer
+      from events where event_type <> 'error')
+    select * from v where (referrer is null or referrer <> path)
+      and time_bucket(interval 1 day, v.at) + interval 1 day <= (select max(ts) - interval 1 hour from events where event_type <> 'error')""",
+)
+def page_views_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Views of all days that the watermark has passed."""
+    visits = _stream(spark, sf).select(
+        F.col("user_id").alias("session"), F.col("event_id").alias("view_id"), F.col("ts").alias("at"), F.col("event_type").alias("path")
+    )
+    ordered = streams.ordered_page_views(visits, F.col("path") == "error", hours=24 * 1000, width_ms=86_400_000)
+    return streams.run_available(ordered).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query(
     "stream_counts_by_link",
     """select event_type, window_start, window_start + interval 1 hour as window_end, count(*) as n

@@ -7,6 +7,7 @@ run these jobs.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from shelfmark.session import scratch_path
 from shelfmark.streaming.events import ingest_conversions
@@ -181,6 +183,96 @@ def page_views(visits: DataFrame, skipped: Column, hours: int = 24, delay: str =
     )
 
 
+class _OrderedViews(StatefulProcessor):
+    """Holds a session's views by minutes of event time, and settles a minute once the watermark has passed it.
+
+    ``held`` keeps what came of a minute as parts, one per chunk of input; ``parts`` counts them; ``last`` is the path and time
+    of the last view settled. A timer stands at the end of each minute; a single one, a millisecond past a whole minute,
+    forgets the session or is set again.
+    """
+
+    def __init__(self, view_id: T.DataType, width_ms: int, forget_ms: int):
+        self.view_id, self.width, self.forget = view_id, width_ms, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        minute = T.StructType([T.StructField("minute", T.LongType())])
+        part = T.StructType([*minute, T.StructField("part", T.IntegerType())])
+        self.handle = handle
+        self.held = handle.getMapState("held", part, T.StructType([T.StructField("rows", T.BinaryType())]))
+        self.parts = handle.getMapState("parts", minute, T.StructType([T.StructField("n", T.IntegerType())]))
+        self.last = handle.getValueState("last", T.StructType([T.StructField("path", T.StringType()), T.StructField("at_ms", T.LongType())]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        for chunk in rows:
+            chunk = chunk[chunk["at_us"] >= watermark * 1000]
+            minutes = chunk["at_us"] // (self.width * 1000)
+            for minute, some in chunk.groupby(minutes):
+                minute = int(minute)
+                known = self.parts.getValue((minute,))
+                n = known[0] if known else 0
+                self.held.updateValue((minute, n), (pickle.dumps(some[["at_us", "view_id", "path"]].to_dict("list")),))
+                self.parts.updateValue((minute,), (n + 1,))
+                if not known:
+                    self.handle.registerTimer((minute + 1) * self.width)
+        yield pd.DataFrame()
+
+    def _forgotten(self, newest: int) -> int:
+        return (newest + self.forget) // self.width * self.width + self.width + 1
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        expiry = expiredTimerInfo.getExpiryTimeInMs()
+        if expiry % self.width:
+            newest = self.last.get()[1]
+            if newest + self.forget < expiry:
+                self.last.clear()
+            else:
+                self.handle.registerTimer(self._forgotten(newest))
+            yield pd.DataFrame()
+            return
+        minute = expiry // self.width - 1
+        parts = [pickle.loads(self.held.getValue((minute, i))[0]) for i in range(self.parts.getValue((minute,))[0])]
+        for i in range(len(parts)):
+            self.held.removeKey((minute, i))
+        self.parts.removeKey((minute,))
+        views = pd.concat([pd.DataFrame(p) for p in parts]).sort_values(["at_us", "view_id"], kind="stable")
+        last = self.last.get()
+        before = [last[0] if last else None, *views["path"].tolist()[:-1]]
+        views["referrer"] = pd.Series(before, index=views.index, dtype="object")
+        newest = int(views["at_us"].iloc[-1]) // 1000
+        self.last.update((views["path"].iloc[-1], newest))
+        if not last:
+            self.handle.registerTimer(self._forgotten(newest))
+        kept = views[views["path"] != views["referrer"]]
+        columns = {"session": [key[0]] * len(kept), **{c: kept[c].tolist() for c in ("view_id", "at_us", "path", "referrer")}}
+        yield pd.DataFrame(columns, dtype="object")
+
+
+def ordered_page_views(visits: DataFrame, skipped: Column, hours: int = 24, delay: str = "1 hour", width_ms: int = 60_000) -> DataFrame:
+    """Views (session, view_id, at, path) that count, with their referrer, in the order of event time across micro-batches.
+
+    A view waits until the watermark, ``delay`` behind the newest view, has passed its minute (``width_ms``); views of a
+    session may therefore come in any order within the delay. One older than the watermark is late and left out. A task
+    holds one chunk of input, or one minute of one session, whatever the session's length; the rest is in the
+    state store, which must be that of RocksDB and is set to it here. A session's last path is forgotten after ``hours``
+    without a view.
+    """
+    visits.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+    kinds = {n: visits.schema[n].dataType for n in ("session", "view_id")}
+    schema = T.StructType(
+        [*[T.StructField(n, t) for n, t in kinds.items()], T.StructField("at_us", T.LongType()), T.StructField("path", T.StringType()), T.StructField("referrer", T.StringType())]
+    )
+    public = visits.filter(~skipped).select(
+        "session", "view_id", F.col("at").cast("timestamp").alias("at"), F.regexp_replace("path", r"[?#].*$", "").alias("path")
+    )
+    timed = public.filter("at is not null").withWatermark("at", delay).withColumn("at_us", F.unix_micros("at"))
+    processor = _OrderedViews(kinds["view_id"], width_ms, hours * 3_600_000)
+    found = timed.groupBy("session").transformWithStateInPandas(processor, schema, "append", "EventTime")
+    return found.select("session", "view_id", F.timestamp_micros("at_us").alias("at"), "path", "referrer")
+
+
 def seen_bounds(events: DataFrame, keys: list[str], at: str) -> DataFrame:
     """First and last sighting per key; for update mode through ``run_batches``."""
     return events.groupBy(*keys).agg(

@@ -217,6 +217,27 @@ def test_streamed_views_agree_with_the_batch_over_several_batches(spark, tmp_pat
     )
 
 
+def test_ordered_views_in_any_order_of_arrival(spark, tmp_path):
+    """Views come shuffled over three micro-batches; a hot session; one view is late. Open minutes wait."""
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.7 else f"s{rng.randrange(3)}", i, START + dt.timedelta(seconds=7 * i), rng.choice(["/a", "/a?q", "/b", "/admin"])) for i in range(600)]
+    late = ("hot", 9999, START, "/late")
+    parts = [rows[:200], rows[200:400], [*rows[400:], late]]
+    for part in parts:
+        rng.shuffle(part)
+        spark.createDataFrame(part, VIEWS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    skip = F.col("path").startswith("/admin")
+    stream = spark.readStream.schema(VIEWS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = streams.run_available(streams.ordered_page_views(stream, skip, delay="5 minutes", hours=24))
+    newest = rows and max(r[2] for r in rows if r[3] != "/admin")
+    closed = newest - dt.timedelta(minutes=5)
+    batch = history.page_views(spark.createDataFrame(rows, VIEWS), "session", "at", "view_id", "path", skip)
+    wanted = [r for r in batch.collect() if r["at"].replace(tzinfo=None, second=0) + dt.timedelta(minutes=1) <= closed]
+    key = ["session", "view_id", "path", "referrer"]
+    assert sorted(map(tuple, got.select(key).collect()), key=str) == sorted((tuple(r[k] for k in key) for r in wanted), key=str)
+    assert wanted and len(wanted) < batch.count()
+
+
 def test_expired_hashes(spark):
     rows = [("h", START), ("h", START + dt.timedelta(1)), ("h", None), (None, None)]
     df = spark.createDataFrame(rows, "ip_hash string, ip_hash_expires_at timestamp_ntz")
