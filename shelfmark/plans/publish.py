@@ -285,6 +285,7 @@ def dispose(records: DataFrame, catalogue: dict[str, DataFrame]) -> DataFrame:
     same_product = _both(slug, canonical)
     present, conflict = "ALREADY_PRESENT", "EXCLUDED_SOFTWARE_CONFLICT"
     vendor_conflict = "EXCLUDED_VENDOR_CONFLICT"
+    # Dispositions and the sentences of the reason column, which must read as they do.
     # Each rule: condition, disposition, reason.
     table: list[tuple[Column, str, str]] = [
         (
