@@ -45,7 +45,14 @@ def run_available(stream: DataFrame, path: str | None = None, mode: str = "appen
 
 def _each_batch(stream: DataFrame, step: Callable[[DataFrame, int], DataFrame], target: str) -> str:
     def write(batch: DataFrame, number: int) -> None:
-        step(batch, number).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        # A micro-batch is computed again each time it is read, and a stateful step may then let another of equal rows
+        # through, so that ids found by one reading are missing in the next. It is read once.
+        spark = batch.sparkSession
+        kept = scratch_path(spark, "micro-batch")
+        batch.write.parquet(kept)
+        step(spark.read.schema(batch.schema).parquet(kept), number).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(kept)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     started = (
         stream.writeStream.foreachBatch(write)

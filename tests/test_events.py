@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +184,18 @@ def test_a_refused_conversion_reserves_nothing_in_the_stream(spark, tmp_path, fi
     assert streamed == batch == {0, 2, 5}
 
 
+def test_each_identity_is_stored_where_a_batch_lets_other_rows_through_when_read_again(spark, tmp_path):
+    rows = spark.range(2000).select(
+        F.lit("shop").alias("network"), F.concat(F.lit("e"), F.col("id") % 50).alias("external_event_id"),
+        F.lit(None).cast("string").alias("payload_digest"), F.lit(START).cast("timestamp").alias("occurred_at"),
+    )
+    rows.repartition(4).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    drawn = F.udf(lambda: uuid.uuid4().hex, "string").asNondeterministic()
+    numbered = source.withColumn("id", drawn())  # stands for the row that happens to be first of equal ones
+    folder = streams.store_conversions(streams.unique_conversions(numbered), "id", f"{tmp_path}/out")
+    assert spark.read.parquet(folder).select("external_event_id").distinct().count() == 50
+
 
 VIEWS = T.StructType(
     [
