@@ -1,6 +1,7 @@
-"""Near copies by Jaccard similarity of word shingles, found by prefix filtering and verified.
+"""Near copies by SimHash fingerprints of word shingles, verified by Jaccard similarity and completed by prefix filtering.
 
-Shingles have one order for all texts, rare ones first. Two sets that are similar enough share a shingle among
+Fingerprints find most copies, as op10 does; pairs are checked by their shingles. A fingerprint misses pairs of a lower
+similarity, so prefix filtering finds the rest. Shingles have one order for all texts, rare ones first. Two sets that are similar enough share a shingle among
 the first few of each, so only those are posted, and no such pair is missed. Texts whose similarity follows
 from links found before are not compared: each text is first compared with one other of its posting lists, and
 then only with those of its lists that are in another component.
@@ -15,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm import simhash
 from shelfmark.llm.common import Rolling, Texts, broadcast_up_to, drop, mixed, small_batches, texts, written
 from shelfmark.llm.components import components
 from shelfmark.llm.simhash import _single_spaced
 
 SHINGLE = 5
+#: Differing bits up to which fingerprints link.
+BITS = 2
 #: Similarity from which two texts are near copies, as a fraction of whole numbers.
 SIMILAR = (4, 5)
 #: Rows from which common shingles are learned, and counters for them. They set the order only: any order finds all pairs.
@@ -128,13 +132,43 @@ def _postings(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     return made.filter("n > 0").dropDuplicates(["_class"])
 
 
+def fingerprint_pairs(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """Pairs (a, b) of different classes, a the larger, that connect all whose fingerprints ``BITS`` steps connect.
+
+    Classes of one fingerprint are paired with the smallest of them; smallest ones as the index of ``simhash`` links
+    their fingerprints. Texts without words are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Shingles(shingle)
+        for batch in batches:
+            for part in texts(batch.column("text")):
+                mark, size = _class(part, *find(part))
+                columns = [pa.array(mark), pa.array(size > 0), pa.array(simhash.fingerprints(part, shingle).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_class", "worded", "fp"])
+
+    made = docs.select(F.col(text).alias("text")).mapInArrow(run, "_class bigint, worded boolean, fp bigint")
+    # texts of the same shingles differ in fingerprint if they repeat them differently
+    marked = written(made.filter("worded").select("_class", "fp").distinct(), "shingle-fingerprints")
+    first = written(marked.groupBy("fp").agg(F.min("_class").alias("first")), "fingerprint-first")
+    same = marked.join(first, "fp").select(F.col("_class").alias("a"), F.col("first").alias("b"))
+    ends = [first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")) for c in ("a", "b")]
+    near = simhash.links(first.select("fp"), BITS).join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    met = same.unionAll(near).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = written(met.distinct(), "fingerprint-pairs")
+    drop(marked, first)
+    return pairs
+
+
 def links(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Edges (a, b) between classes of ``docs`` that connect exactly those that similar pairs connect.
 
+    The first round takes pairs of near fingerprints, and each class with the smallest of one of its lists.
     A list costs as many comparisons as it has pairs of members from different components after the first round:
     few for a group of near copies of any size.
     """
     small_batches(docs.sparkSession)
+    near = fingerprint_pairs(docs, text, shingle)
     part_, whole = SIMILAR
     # not stored: both sides of the join read the exchange of the postings, and nearly all of them are in no list
     posted = _postings(docs, text, shingle).select("_class", "n", F.posexplode("keys").alias("at", "key"))
@@ -153,7 +187,9 @@ def links(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFr
         drop(pairs, asked, held)
         return out
 
-    first = verified(listed.groupBy("_class").agg(F.min("leader").alias("b")).filter("_class <> b").select(F.col("_class").alias("a"), "b"))
+    led = listed.groupBy("_class").agg(F.min("leader").alias("b")).filter("_class <> b").select(F.col("_class").alias("a"), "b")
+    first = verified(led.unionAll(near))
+    drop(near)
     roots = components(first).withColumnRenamed("node", "_class")
     rooted = written(listed.drop("leader").join(roots, "_class", "left").withColumn("root", F.coalesce("root", "_class")), "shingle-rooted")
     drop(listed)

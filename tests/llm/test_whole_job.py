@@ -7,6 +7,7 @@ import numpy as np
 
 import corpus_pipeline
 from shelfmark.llm import decontamination
+from shelfmark.llm import shingles as near_copies
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -74,6 +75,18 @@ def test_pipeline_drops_a_large_group_of_near_copies(spark):
     assert sorted(r.doc_id for r in found.select("doc_id").collect()) == [0, 900]
 
 
+def test_pipeline_pairs_near_copies_by_fingerprint(spark):
+    random.seed(8)
+    words = ["".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    base = [random.choices(words, k=2500) for _ in range(6)]
+    edited = [[*b[:40], "edited", *b[41:]] for b in base]  # a few of 2,500 shingles; up to two bits for most
+    docs = rows(spark, list(enumerate([" ".join(w) for w in base + edited] + ["", None, "  "])))
+    kinds = {r.doc_id: r["_class"] for r in near_copies.classified(docs.select("doc_id", "text")).collect()}
+    pairs = {(r.a, r.b) for r in near_copies.fingerprint_pairs(docs).collect()}
+    copies = {tuple(sorted((kinds[i], kinds[i + 6]), reverse=True)) for i in range(6)}
+    assert pairs and pairs <= copies and len(pairs) >= 4
+
+
 def hits(spark, texts, items):
     """The items found in each text."""
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
