@@ -190,39 +190,85 @@ def page_views(visits: DataFrame, skipped: Column, hours: int = 24, delay: str =
     )
 
 
+#: Rows of a session that are held as one value of its state; more are held by their minutes.
+HELD_ROWS = 10_000
+
+
+def _missing(value) -> bool:
+    return value is None or value != value
+
+
 class _OrderedViews(StatefulProcessor):
-    """Holds a session's views by minutes of event time, and settles a minute once the watermark has passed it.
+    """Holds a session's views, and settles a minute of event time once the watermark has passed it.
 
-    ``held`` keeps what came of a minute as parts, one per chunk of input; ``parts`` counts them; ``last`` is the path and time
-    of the last view settled. A timer stands at the end of each minute; a single one, a millisecond past a whole minute,
-    forgets the session or is set again.
+    ``open`` keeps up to HELD_ROWS views as one value, the number of minutes in ``parts`` and the next timer; when more come,
+    they go to ``held``, by minutes as parts, which ``parts`` counts. ``last`` is the path and time of the last view settled.
+    A session has one timer at the end of its earliest minute, where all minutes that the watermark has passed are
+    settled; another one, a millisecond past a whole minute, forgets the session or is set again.
     """
 
-    def __init__(self, view_id: T.DataType, width_ms: int, forget_ms: int):
-        self.view_id, self.width, self.forget = view_id, width_ms, forget_ms
+    def __init__(self, view_id: T.DataType, width_ms: int, forget_ms: int, held_rows: int):
+        self.view_id, self.width, self.forget, self.most = view_id, width_ms, forget_ms, held_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         minute = T.StructType([T.StructField("minute", T.LongType())])
         part = T.StructType([*minute, T.StructField("part", T.IntegerType())])
+        rows = T.StructField("rows", T.BinaryType())
         self.handle = handle
-        self.held = handle.getMapState("held", part, T.StructType([T.StructField("rows", T.BinaryType())]))
+        self.open = handle.getValueState("open", T.StructType([rows, T.StructField("minutes", T.LongType()), T.StructField("timer", T.LongType())]))
+        self.held = handle.getMapState("held", part, T.StructType([rows]))
         self.parts = handle.getMapState("parts", minute, T.StructType([T.StructField("n", T.IntegerType())]))
         self.last = handle.getValueState("last", T.StructType([T.StructField("path", T.StringType()), T.StructField("at_ms", T.LongType())]))
 
+    def _minute(self, view: tuple) -> int:
+        return view[0] // (self.width * 1000)
+
+    def _by_minute(self, views: list[tuple]) -> dict[int, list[tuple]]:
+        found: dict[int, list[tuple]] = {}
+        for view in views:
+            found.setdefault(self._minute(view), []).append(view)
+        return found
+
+    def _put_away(self, views: list[tuple]) -> int:
+        """Adds views to ``held``; returns how many minutes are new there."""
+        new = 0
+        for minute, some in self._by_minute(views).items():
+            known = self.parts.getValue((minute,))
+            n = known[0] if known else 0
+            self.held.updateValue((minute, n), (pickle.dumps(some),))
+            self.parts.updateValue((minute,), (n + 1,))
+            new += not known
+        return new
+
+    def _keep(self, views: list[tuple], minutes: int, timer: int, least: int | None) -> None:
+        """Stores what is open; ``least`` is the earliest minute, for which a timer stands from then on."""
+        if least is None:
+            self.open.clear()
+            return
+        end = (least + 1) * self.width
+        if not timer or end < timer:
+            self.handle.registerTimer(end)
+            timer = end
+        self.open.update((pickle.dumps(views), minutes, timer))
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
+        known = self.open.get()
+        views, minutes, timer = (pickle.loads(known[0]), known[1], known[2]) if known else ([], 0, 0)
+        least = None
         for chunk in rows:
             chunk = chunk[chunk["at_us"] >= watermark * 1000]
-            minutes = chunk["at_us"] // (self.width * 1000)
-            for minute, some in chunk.groupby(minutes):
-                minute = int(minute)
-                known = self.parts.getValue((minute,))
-                n = known[0] if known else 0
-                self.held.updateValue((minute, n), (pickle.dumps(some[["at_us", "view_id", "path"]].to_dict("list")),))
-                self.parts.updateValue((minute,), (n + 1,))
-                if not known:
-                    self.handle.registerTimer((minute + 1) * self.width)
-        yield pd.DataFrame()
+            if not len(chunk):
+                continue
+            first = int(chunk["at_us"].min()) // (self.width * 1000)
+            least = first if least is None else min(least, first)
+            views.extend(zip(chunk["at_us"].tolist(), chunk["view_id"].tolist(), chunk["path"].tolist()))
+            if len(views) > self.most:
+                minutes += self._put_away(views)
+                views = []
+        if least is not None:
+            self._keep(views, minutes, timer, least)
+        return iter(())
 
     def _forgotten(self, newest: int) -> int:
         return (newest + self.forget) // self.width * self.width + self.width + 1
@@ -235,33 +281,55 @@ class _OrderedViews(StatefulProcessor):
                 self.last.clear()
             else:
                 self.handle.registerTimer(self._forgotten(newest))
-            yield pd.DataFrame()
             return
-        minute = expiry // self.width - 1
-        parts = [pickle.loads(self.held.getValue((minute, i))[0]) for i in range(self.parts.getValue((minute,))[0])]
-        for i in range(len(parts)):
-            self.held.removeKey((minute, i))
-        self.parts.removeKey((minute,))
-        views = pd.concat([pd.DataFrame(p) for p in parts]).sort_values(["at_us", "view_id"], kind="stable")
+        known = self.open.get()
+        if not known or known[2] != expiry:  # an earlier minute came after this timer was set, and took it along
+            return
+        passed = max(expiry, timerValues.getCurrentWatermarkInMs()) // self.width
+        views, minutes = pickle.loads(known[0]), known[1]
+        done = [v for v in views if self._minute(v) < passed]
+        left = [v for v in views if self._minute(v) >= passed]
+        least = min(map(self._minute, left), default=None)
+        if not minutes:
+            yield from self._settled(key, done)
+        else:
+            rest = self._by_minute(done)
+            counts = {int(k[0]): self.parts.getValue(k)[0] for k in list(self.parts.keys())}
+            for minute in sorted({*rest, *(m for m in counts if m < passed)}):
+                some = rest.get(minute, [])
+                for i in range(counts.get(minute, 0)):
+                    some = some + pickle.loads(self.held.getValue((minute, i))[0])
+                    self.held.removeKey((minute, i))
+                if minute in counts:
+                    self.parts.removeKey((minute,))
+                    minutes -= 1
+                yield from self._settled(key, some)
+            least = min([*([] if least is None else [least]), *(m for m in counts if m >= passed)], default=None)
+        self._keep(left, minutes, 0, least)
+
+    def _settled(self, key: tuple, views: list[tuple]) -> Iterator[pd.DataFrame]:
+        """The views that count of some that follow those settled before."""
+        if not views:
+            return
+        views.sort(key=lambda v: (v[0], _missing(v[1]), 0 if _missing(v[1]) else v[1]))
         last = self.last.get()
-        before = [last[0] if last else None, *views["path"].tolist()[:-1]]
-        views["referrer"] = pd.Series(before, index=views.index, dtype="object")
-        newest = int(views["at_us"].iloc[-1]) // 1000
-        self.last.update((views["path"].iloc[-1], newest))
+        before = [last[0] if last else None, *[v[2] for v in views[:-1]]]
+        newest = int(views[-1][0]) // 1000
+        self.last.update((views[-1][2], newest))
         if not last:
             self.handle.registerTimer(self._forgotten(newest))
-        kept = views[views["path"] != views["referrer"]]
-        columns = {"session": [key[0]] * len(kept), **{c: kept[c].tolist() for c in ("view_id", "at_us", "path", "referrer")}}
-        yield pd.DataFrame(columns, dtype="object")
+        kept = [(key[0], v[1], v[0], v[2], b) for v, b in zip(views, before) if v[2] is None or v[2] != b]
+        if kept:
+            yield pd.DataFrame(kept, columns=["session", "view_id", "at_us", "path", "referrer"], dtype="object")
 
 
-def ordered_page_views(visits: DataFrame, skipped: Column, hours: int = 24, delay: str = "1 hour", width_ms: int = 60_000) -> DataFrame:
+def ordered_page_views(visits: DataFrame, skipped: Column, hours: int = 24, delay: str = "1 hour", width_ms: int = 60_000, held_rows: int = HELD_ROWS) -> DataFrame:
     """Views (session, view_id, at, path) that count, with their referrer, in the order of event time across micro-batches.
 
     A view waits until the watermark, ``delay`` behind the newest view, has passed its minute (``width_ms``); views of a
     session may therefore come in any order within the delay. One older than the watermark is late and left out. A task
-    holds one chunk of input, or one minute of one session, whatever the session's length; the rest is in the
-    state store, which must be that of RocksDB and is set to it here. A session's last path is forgotten after ``hours``
+    holds one chunk of input and up to ``held_rows`` views, or one minute of one session, whatever the session's length; the
+    rest is in the state store, which must be that of RocksDB and is set to it here. A session's last path is forgotten after ``hours``
     without a view.
     """
     visits.sparkSession.conf.set(
@@ -275,7 +343,7 @@ def ordered_page_views(visits: DataFrame, skipped: Column, hours: int = 24, dela
         "session", "view_id", F.col("at").cast("timestamp").alias("at"), F.regexp_replace("path", r"[?#].*$", "").alias("path")
     )
     timed = public.filter("at is not null").withWatermark("at", delay).withColumn("at_us", F.unix_micros("at"))
-    processor = _OrderedViews(kinds["view_id"], width_ms, hours * 3_600_000)
+    processor = _OrderedViews(kinds["view_id"], width_ms, hours * 3_600_000, held_rows)
     found = timed.groupBy("session").transformWithStateInPandas(processor, schema, "append", "EventTime")
     return found.select("session", "view_id", F.timestamp_micros("at_us").alias("at"), "path", "referrer")
 

@@ -251,6 +251,24 @@ def test_ordered_views_in_any_order_of_arrival(spark, tmp_path):
     assert wanted and len(wanted) < batch.count()
 
 
+@pytest.mark.parametrize("held_rows", [10_000, 40, 0])
+def test_a_session_of_many_days_is_settled_at_one_timer(spark, tmp_path, held_rows):
+    """Days of views in two micro-batches, held as one value, in part or by days only."""
+    rng = random.Random(7)
+    rows = [(f"s{rng.randrange(2)}", i, START + dt.timedelta(hours=i), rng.choice(["/a", "/b"])) for i in range(400)]
+    rng.shuffle(rows)
+    for part in (rows[:399], [rows[399], ("s0", 999, START + dt.timedelta(days=30), "/a")]):
+        spark.createDataFrame(part, VIEWS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(VIEWS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    views = streams.ordered_page_views(stream, F.lit(False), delay="20 days", width_ms=86_400_000, hours=24 * 100, held_rows=held_rows)
+    got = streams.run_available(views)
+    closed = START + dt.timedelta(days=10)
+    batch = history.page_views(spark.createDataFrame(rows, VIEWS), "session", "at", "view_id", "path", F.lit(False))
+    wanted = [r for r in batch.collect() if r["at"].replace(tzinfo=None) < closed]
+    key = ["session", "view_id", "path", "referrer"]
+    assert sorted(map(tuple, got.select(key).collect()), key=str) == sorted((tuple(r[k] for k in key) for r in wanted), key=str)
+
+
 def test_expired_hashes(spark):
     rows = [("h", START), ("h", START + dt.timedelta(1)), ("h", None), (None, None)]
     df = spark.createDataFrame(rows, "ip_hash string, ip_hash_expires_at timestamp_ntz")
