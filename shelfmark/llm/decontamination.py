@@ -46,6 +46,8 @@ ONE_IN = 5
 SLICES = 16
 #: Numbers of a table of rows and words that a task holds.
 CELLS = 2_000_000
+#: Bytes of text that are searched at once: each of their words takes a row of the space, 768 bytes.
+SEARCHED_BYTES = 250_000
 #: Words are letters and digits; all else in ASCII stands between them.
 _INSIDE = word_table(bytes(b for b in range(128) if not chr(b).isalnum()))
 
@@ -394,7 +396,7 @@ def _search(docs: DataFrame, indexes: list[Index], idf: np.ndarray, item: str) -
         find = Words()
         for batch in batches:
             found: list[list[dict]] = []
-            for part in texts(batch.column("_text"), 1_000_000):
+            for part in texts(batch.column("_text"), SEARCHED_BYTES):
                 found += matches(part, find)
             if batch.schema.get_field_index("_found") >= 0:
                 found = [a + b for a, b in zip(batch.column("_found").to_pylist(), found)]
