@@ -45,8 +45,8 @@ def run_available(stream: DataFrame, path: str | None = None, mode: str = "appen
 
 def _each_batch(stream: DataFrame, step: Callable[[DataFrame, int], DataFrame], target: str) -> str:
     def write(batch: DataFrame, number: int) -> None:
-        # A micro-batch is computed again each time it is read, and a stateful step may then let another of equal rows
-        # through, so that ids found by one reading are missing in the next. It is read once.
+        # A micro-batch may be computed again when it is read again, and a stateful step could then let another of equal rows
+        # through, so that ids found by one reading would be missing in the next. It is read once.
         spark = batch.sparkSession
         kept = scratch_path(spark, "micro-batch")
         batch.write.parquet(kept)
