@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.plans import programs
 from shelfmark.registry import query
-from shelfmark.session import scratch_path, table
+from shelfmark.session import scratch_path, spread, table
 from shelfmark.sources import captures
 
 PER_FILE = 100
@@ -46,7 +46,7 @@ def _record(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("p_size") < 30, "Approved").alias("relationship"),
         F.struct(F.lit("CPA").alias("model")).alias("commission"),
     )
-    part = table(spark, sf, "part")
+    part = spread(spark, sf, "part", "p_partkey")
     return part.select(key.alias("input_index"), F.to_json(record).alias("json"))
 
 
@@ -83,7 +83,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 def inventory(spark: SparkSession, sf: str) -> DataFrame:
     host = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), "p_size", F.lit(".example.com"))
-    return table(spark, sf, "part").select(
+    return spread(spark, sf, "part", "p_partkey").select(
         F.concat(F.lit("S"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("id"),
         F.concat(F.lit("p-"), F.col("p_partkey").cast("string")).alias("slug"),
         F.concat_ws(" ", "p_name", "p_brand").alias("name"),

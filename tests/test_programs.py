@@ -213,3 +213,16 @@ def test_inventory(spark, tmp_path):
     ):
         with pytest.raises(Exception):
             write(bad).collect()
+
+
+def test_programs_of_one_row_group_are_many_tasks_work(spark, tmp_path):
+    from shelfmark.registry import programs as queries
+
+    part = spark.range(20_000).select(
+        F.col("id").alias("p_partkey"), F.lit("green lace").alias("p_name"), F.lit("Brand#11").alias("p_brand"),
+        F.lit("STANDARD").alias("p_type"), F.lit(20).alias("p_size"),
+    )
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for rows in (queries._raw(spark, str(tmp_path)), queries.inventory(spark, str(tmp_path))):
+        busy = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert busy == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
