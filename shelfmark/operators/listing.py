@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text
 from shelfmark.operators.keyed import fold_sorted, top_per_key
 from shelfmark.operators.ranks import SortedIndex, positions
+from shelfmark.session import dealt
 
 PUBLISHED = "published"
 PAGE_SIZE = 12
@@ -307,7 +308,8 @@ def review_fold(detail: DataFrame) -> DataFrame:
     ``status`` is ``error`` where a category id comes without a name.
     """
     product = ["software_id", "software_name", "vendor_name"]
-    pairs = detail.select(*product, "category_id", "category_name").distinct()
+    # by all three: a join on the id before it would make dealing out by the id alone go away
+    pairs = dealt(detail.select(*product, "category_id", "category_name"), *product).distinct()
     entry = F.when(F.col("category_id").isNotNull(), F.struct("category_name", "category_id"))
     folded = fold_sorted(pairs, product, entry, "categories")
     nameless = F.exists("categories", lambda c: text.is_blank(c["category_name"]))
@@ -320,7 +322,7 @@ def review_entries(detail: DataFrame) -> DataFrame:
     A product may have any number of categories; those without one have no rows.
     """
     columns = ["software_id", "category_name", "category_id"]
-    pairs = detail.filter(F.col("category_id").isNotNull()).select(*columns).distinct()
+    pairs = dealt(detail.filter(F.col("category_id").isNotNull()).select(*columns), *columns).distinct()
     return positions(pairs, ["software_id"], ["category_name", "category_id"])
 
 

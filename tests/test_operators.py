@@ -131,3 +131,14 @@ def test_filters_and_columns_reach_the_scan(spark):
     scan = plan[plan.index("== Physical Plan") :]
     assert "EqualTo(o_orderstatus,F)" in scan
     assert "o_orderpriority" not in scan
+
+
+def test_pairs_of_products_and_categories_are_not_put_together_by_their_bytes(spark):
+    products = spark.range(400).select(F.col("id").alias("software_id"), F.lit("a").alias("software_name"), F.lit("v").alias("vendor_name"))
+    pairs = spark.range(4000).select((F.col("id") % 400).alias("software_id"), F.col("id").alias("category_id"), F.lit("c").alias("category_name"))
+    detail = products.hint("merge").join(pairs, "software_id")
+    folded = listing.review_fold(detail)
+    # an exchange whose number is given is not merged by bytes
+    assert "REPARTITION_BY_NUM" in folded._jdf.queryExecution().executedPlan().toString()
+    assert folded.filter(F.size("categories") == 10).count() == 400
+    assert listing.review_entries(detail).filter("position = 10").count() == 400
