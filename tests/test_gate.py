@@ -240,3 +240,14 @@ def test_batch_report(spark):
     }
     derived = gate.batch_report(rows, got.filter(F.lit(True)), 20, 16).collect()[0]
     assert derived["uncategorised_before"] == 4
+
+
+def test_texts_of_evidence_go_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, 10_000)
+    try:
+        run(spark, [candidate()])
+        assert int(spark.conf.get(name)) <= 1000
+    finally:
+        spark.conf.set(name, held)
