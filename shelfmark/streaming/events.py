@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,7 +14,7 @@ from shelfmark.operators.checks import union_all
 from shelfmark.operators.components import connected
 from shelfmark.operators.keyed import left_lookup
 from shelfmark.operators.links import link_at
-from shelfmark.session import stored
+from shelfmark.session import dealt, stored
 
 EVENT_KEY = ["network", "external_event_id"]
 DIGEST_KEY = ["network", "payload_digest"]
@@ -87,22 +89,28 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def _taken_in_order(rows: DataFrame, order: str) -> DataFrame:
-    """The rows of each ``_group`` that are accepted if they are taken one by one; a group is one task's."""
-
-    def settle(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        seen: set[tuple] = set()
-        keep = []
-        columns = (table.column(c).to_pylist() for c in ("network", "external_event_id", "payload_digest"))
-        for network, event, digest in zip(*columns):
-            marks = [(kind, network, value) for kind, value in (("e", event), ("d", digest)) if value is not None]
-            keep.append(not any(m in seen for m in marks))
-            if keep[-1]:
-                seen.update(marks)
-        return table.select([order]).filter(pa.array(keep, pa.bool_()))
+    """The rows of each ``_group`` that are accepted if they are taken one by one; a group is one task's.
+
+    A task takes its groups one after the other from one sorted stream, as a call per group costs more than a small group.
+    """
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seen = None, set()
+        for batch in batches:
+            keep = []
+            columns = (batch.column(c).to_pylist() for c in ("_group", "network", "external_event_id", "payload_digest"))
+            for group, network, event, digest in zip(*columns):
+                if group != current:
+                    current, seen = group, set()
+                marks = [(kind, network, value) for kind, value in (("e", event), ("d", digest)) if value is not None]
+                keep.append(not any(m in seen for m in marks))
+                if keep[-1]:
+                    seen.update(marks)
+            yield batch.select([order]).filter(pa.array(keep, pa.bool_()))
 
     named = rows.schema[order]
-    return rows.groupBy("_group").applyInArrow(settle, T.StructType([T.StructField(order, named.dataType)]))
+    sorted_rows = dealt(rows, "_group").sortWithinPartitions("_group", order)
+    return sorted_rows.mapInArrow(settle, T.StructType([T.StructField(order, named.dataType)]))
 
 
 def _forced(rows: DataFrame, order: str) -> DataFrame:

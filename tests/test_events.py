@@ -57,6 +57,35 @@ def test_a_long_chain_settles_in_few_rounds(spark, monkeypatch):
     assert at_once.count() == n // 2 and len(rounds) <= 2
 
 
+def test_small_groups_are_settled_in_one_stream(spark, monkeypatch):
+    """A call per group cost milliseconds, and groups grow in number with the input. Groups span batches here."""
+    settled, plans = events._taken_in_order, []
+
+    def watched(rows, order):
+        out = settled(rows, order)
+        plans.append(out._jdf.queryExecution().toString())
+        return out
+
+    monkeypatch.setattr(events, "_taken_in_order", watched)
+    rng = random.Random(5)
+    new = [("a", f"{u}e{rng.randrange(4)}", f"{u}d{rng.randrange(4)}", i) for i in range(900) for u in [rng.randrange(60)]]
+    expected, seen = [], set()
+    for _, e, d, i in new:
+        if e not in seen and d not in seen:
+            expected.append(i)
+            seen |= {e, d}
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    try:
+        rows = spark.createDataFrame(new, "network string, external_event_id string, payload_digest string, n int")
+        got = events.ingest_conversions(rows.repartition(5), rows.limit(0), "n", fold_rows=40)
+        assert sorted(r["n"] for r in got.collect()) == expected
+    finally:
+        spark.conf.set(name, before)
+    assert plans and all("FlatMapGroups" not in p and "MapInArrow" in p for p in plans)
+
+
 def test_components_of_paths_stars_and_rings(spark):
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(100, 400)] + [(1000, 1000 + i) for i in range(200)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)]
