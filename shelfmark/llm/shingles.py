@@ -170,10 +170,12 @@ def links(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFr
     small_batches(docs.sparkSession)
     near = fingerprint_pairs(docs, text, shingle)
     part_, whole = SIMILAR
-    # not stored: both sides of the join read the exchange of the postings, and nearly all of them are in no list
-    posted = _postings(docs, text, shingle).select("_class", "n", F.posexplode("keys").alias("at", "key"))
+    # stored: the sides of the join read other columns, so that each would make the postings from the texts, both at once
+    postings = written(_postings(docs, text, shingle), "shingle-postings")
+    posted = postings.select("_class", "n", F.posexplode("keys").alias("at", "key"))
     lengths = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("_class").alias("leader")).filter("members > 1").drop("members")
     listed = written(posted.join(lengths, "key"), "shingle-lists")
+    drop(postings)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The similar ones of pairs (a, b)."""

@@ -40,6 +40,21 @@ def first_of_groups(listed):
     return sorted(((i, t) for n, (i, t) in enumerate(listed) if find(n) == n), key=str)
 
 
+def test_near_copies_read_texts_once_for_their_postings(spark, monkeypatch):
+    """Both sides of the join of posting lists made them from the texts, at the same time."""
+    kept, plans = near_copies.written, {}
+
+    def watched(df, label):
+        plans[label] = df._jdf.queryExecution().toString()
+        return kept(df, label)
+
+    monkeypatch.setattr(near_copies, "written", watched)
+    given = [(n, " ".join(f"w{n // 2}x{i}" for i in range(40)) + " end" * (n % 2)) for n in range(12)]
+    edges = near_copies.links(rows(spark, given))
+    assert edges.distinct().count() == 6
+    assert "MapInArrow" in plans["shingle-postings"] and "MapInArrow" not in plans["shingle-lists"]
+
+
 def test_pipeline_drops_edited_copies_and_rows_without_an_id(spark):
     random.seed(6)
     words = ["".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(600)]
