@@ -28,6 +28,8 @@ BITS = 2
 SIMILAR = (4, 5)
 #: Rows from which common shingles are learned, and counters for them. They set the order only: any order finds all pairs.
 SAMPLE_ROWS, COUNTERS = 10_000, 1 << 18
+#: Bytes of texts that one round of numpy work takes.
+CHUNK = 250_000
 
 
 class Shingles:
@@ -73,7 +75,7 @@ def _counts(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, total = Shingles(shingle), np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for part in texts(batch.column("text")):
+            for part in texts(batch.column("text"), CHUNK):
                 total += np.bincount(find(part)[1] & np.uint64(COUNTERS - 1), minlength=COUNTERS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"counter": some.astype(np.int32), "n": total[some]})
@@ -99,7 +101,7 @@ def classified(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, sets
         find = Shingles(shingle)
         for batch in batches:
             marks, lists = [pa.array([], pa.int64())], [pa.array([], pa.list_(pa.int32()))]
-            for part in texts(batch.column("_text")):
+            for part in texts(batch.column("_text"), CHUNK):
                 row, found = find(part)
                 marks.append(pa.array(_class(part, row, found)[0]))
                 if sets:
@@ -118,7 +120,7 @@ def _postings(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Shingles(shingle)
         for batch in batches:
-            for part in texts(batch.column("text")):
+            for part in texts(batch.column("text"), CHUNK):
                 row, found = find(part)
                 mark, size = _class(part, row, found)
                 order = np.lexsort((found, shared.value[found & np.uint64(COUNTERS - 1)], row))
@@ -142,7 +144,7 @@ def fingerprint_pairs(docs: DataFrame, text: str = "text", shingle: int = SHINGL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Shingles(shingle)
         for batch in batches:
-            for part in texts(batch.column("text")):
+            for part in texts(batch.column("text"), CHUNK):
                 mark, size = _class(part, *find(part))
                 columns = [pa.array(mark), pa.array(size > 0), pa.array(simhash.fingerprints(part, shingle).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["_class", "worded", "fp"])
