@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from shelfmark.functions import text
 from shelfmark.plans import gate
 from shelfmark.sources import captures
 
@@ -251,3 +252,27 @@ def test_texts_of_evidence_go_to_python_in_small_batches(spark):
         assert int(spark.conf.get(name)) <= 1000
     finally:
         spark.conf.set(name, held)
+
+
+def test_catalogue_keys_of_plain_and_odd_names(spark):
+    software = spark.createDataFrame(
+        [
+            ("1", " Ａcme-Tool", "Ａcme & Tool", "Vënd"), ("2", "acme-tool", "ACME and tool", "Vënd"),
+            ("3", None, None, None), ("4", "Plain", "Plain  One", "Maker"), ("5", "ﬁne", "Plain One", None),
+        ],
+        "id string, slug string, name string, vendorName string",
+    )
+    vendors = spark.createDataFrame([("a", "Vënd", "VËND"), ("b", "maker", "Maker"), ("c", None, None)], "id string, slug string, name string")
+    plain, odd = text.by_script(software, "slug", "name", "vendorName")
+    assert sorted(r["id"] for r in plain.collect()) == ["3", "4"]
+    assert sorted(r["id"] for r in odd.collect()) == ["1", "2", "5"]
+    found = {(r["kind"], r["key"]): (r["n"], r["first"]["id"], r["last"]["id"], r["first_owner"], r["last_owner"]) for r in gate._catalogue_keys(software, vendors).collect()}
+    assert found == {
+        ("slug", "acme-tool"): (2, "1", "2", "vënd", "vënd"), ("slug", ""): (1, "3", "3", "", ""), ("slug", "plain"): (1, "4", "4", "maker", "maker"),
+        ("slug", "fine"): (1, "5", "5", "", ""),
+        ("name", "acme and tool"): (2, "1", "2", "vënd", "vënd"), ("name", ""): (1, "3", "3", "", ""), ("name", "plain one"): (2, "4", "5", "", "maker"),
+        ("name+vendor", "acme and tool\x1fvënd"): (2, "1", "2", "vënd", "vënd"), ("name+vendor", "\x1f"): (1, "3", "3", "", ""),
+        ("name+vendor", "plain one\x1fmaker"): (1, "4", "4", "maker", "maker"), ("name+vendor", "plain one\x1f"): (1, "5", "5", "", ""),
+        ("vendor", "vënd"): (1, "a", "a", "vënd", "vënd"), ("vendor", "maker"): (1, "b", "b", "maker", "maker"), ("vendor", ""): (1, "c", "c", "", ""),
+        ("vendor_slug", "vënd"): (1, "a", "a", "vënd", "vënd"), ("vendor_slug", "maker"): (1, "b", "b", "maker", "maker"), ("vendor_slug", ""): (1, "c", "c", "", ""),
+    }
