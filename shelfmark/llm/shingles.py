@@ -3,8 +3,9 @@
 Fingerprints find most copies, as op10 does; pairs are checked by their shingles. A fingerprint misses pairs of a lower
 similarity, so prefix filtering finds the rest. Shingles have one order for all texts, rare ones first. Two sets that are similar enough share a shingle among
 the first few of each, so only those are posted, and no such pair is missed. Texts whose similarity follows
-from links found before are not compared: each text is first compared with one other of its posting lists, and
-then only with those of its lists that are in another component.
+from links found before are not compared: each text is first compared with the one that leads most of its posting
+lists, and then only with those of its lists that are in another component. The parities of a set, a few bits for
+each shingle, tell most pairs that are not similar, so that few whole sets are sent.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm import simhash
-from shelfmark.llm.common import Rolling, Texts, broadcast_up_to, drop, mixed, small_batches, texts, written
+from shelfmark.llm.common import Rolling, Texts, drop, mixed, small_batches, texts, written
 from shelfmark.llm.components import components
 from shelfmark.llm.simhash import _single_spaced
 
@@ -28,6 +29,12 @@ BITS = 2
 SIMILAR = (4, 5)
 #: Rows from which common shingles are learned, and counters for them. They set the order only: any order finds all pairs.
 SAMPLE_ROWS, COUNTERS = 10_000, 1 << 18
+#: Words of parities that go with each posting.
+SHORT = 4
+#: Leaders that a set is compared with at first.
+LEADERS = 3
+#: Bits for the classes whose sets are asked for; others of the same bits are sorted out afterwards.
+ASKED_BITS = 1 << 24
 #: Bytes of texts that one round of numpy work takes.
 CHUNK = 250_000
 
@@ -69,6 +76,34 @@ def _lists(row: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def _parities(row: np.ndarray, found: np.ndarray, held: np.ndarray) -> pa.Array:
+    """For each set, in ``held`` words of 64 bits, whether an odd number of its shingles has each remainder by that many bits.
+
+    Words are a power of two. Each shingle that only one of two sets holds changes one bit, so no more bits differ than
+    there are such shingles. The halves of a set's parities, added bit by bit, are its parities in half as many words.
+    """
+    first = np.cumsum(held) - held
+    place = 64 * first[row] + (found & (64 * held[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * int(held.sum())) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)).astype(np.int32)), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+
+
+def _words_for(size: np.ndarray) -> np.ndarray:
+    """Words of parities for sets of these sizes: a bit for each shingle at least."""
+    return 1 << np.ceil(np.log2(np.maximum(-(-size // 64), 1))).astype(np.int64)
+
+
+def able(n: tuple[Column, Column], parities: tuple[Column, Column]) -> Column:
+    """Whether sets of these sizes and parities can be similar; false only if they are not."""
+    part, whole = SIMILAR
+    fits = F.least(*n) * whole >= F.greatest(*n) * part
+    # sizes that fit differ by less than twice, so bits by twice at most
+    words = F.least(*[F.size(p) for p in parities])
+    x, y = (F.when(F.size(p) > words, F.zip_with(F.slice(p, F.lit(1), words), F.slice(p, words + 1, words), lambda a, b: a.bitwiseXOR(b))).otherwise(p) for p in parities)
+    differ = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, bits: total + bits)
+    return fits & (differ * (whole + part) <= (n[0] + n[1]) * (whole - part))
+
+
 def _counts(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     """How often the shingles of each counter come up in a sample of the rows."""
 
@@ -88,11 +123,23 @@ def _counts(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     return out
 
 
-def classified(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, sets: bool = False) -> DataFrame:
+def _bits_of(classes: DataFrame) -> np.ndarray:
+    """Words of ``ASKED_BITS`` bits, set where the last bits of a class point."""
+    place = F.col("_class").bitwiseAND(F.lit(ASKED_BITS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    found = classes.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(ASKED_BITS // 64, np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def classified(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, sets: bool = False, among: np.ndarray | None = None) -> DataFrame:
     """``docs`` without the text, with ``_class``, which texts of the same shingles share, and with ``sets`` their shingles ``_set``.
 
-    A set holds half of each hash, which is half as much to store and send.
+    A set holds half of each hash, which is half as much to store and send. Of ``among``, made by ``_bits_of``, rows of
+    other classes are left out, but for a few of the same bits.
     """
+    held = docs.sparkSession.sparkContext.broadcast(among) if among is not None else None
     kept = [f for f in docs.schema.fields if f.name != text]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["_class bigint"] + ["_set array<int>"] * sets)
     names = [*[f.name for f in kept], "_class", *["_set"] * sets]
@@ -107,13 +154,17 @@ def classified(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, sets
                 if sets:
                     lists.append(_lists(row, (found >> np.uint64(32)).astype(np.uint32).view(np.int32), part.rows))
             made = [pa.concat_arrays(marks), *[pa.concat_arrays(lists)] * sets]
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *made], names=names)
+            rows = pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *made], names=names)
+            if held is not None:
+                place = np.asarray(made[0]).view(np.uint64) & np.uint64(ASKED_BITS - 1)
+                rows = rows.filter(pa.array((held.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)))
+            yield rows
 
     return docs.select(*[f.name for f in kept], F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def _postings(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """(_class, n, keys): size and first shingles of each set, distinct."""
+    """(_class, n, keys, parities, short): size, first shingles, parities and parities in ``SHORT`` words of each set, distinct."""
     shared = docs.sparkSession.sparkContext.broadcast(_counts(docs, text, shingle))
     part_, whole = SIMILAR
 
@@ -128,9 +179,10 @@ def _postings(docs: DataFrame, text: str, shingle: int) -> DataFrame:
                 at = np.arange(len(row)) - (np.cumsum(size) - size)[row]
                 first = at < (size - -(-size * part_ // whole) + 1)[row]
                 columns = [pa.array(mark), pa.array(size.astype(np.int32)), _lists(row[first], found[first].view(np.int64), part.rows)]
-                yield pa.RecordBatch.from_arrays(columns, names=["_class", "n", "keys"])
+                columns += [_parities(row, found, held) for held in (_words_for(size), np.full(part.rows, SHORT))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_class", "n", "keys", "parities", "short"])
 
-    made = docs.select(F.col(text).alias("text")).mapInArrow(run, "_class bigint, n int, keys array<bigint>")
+    made = docs.select(F.col(text).alias("text")).mapInArrow(run, "_class bigint, n int, keys array<bigint>, parities array<bigint>, short array<bigint>")
     return made.filter("n > 0").dropDuplicates(["_class"])
 
 
@@ -165,9 +217,10 @@ def fingerprint_pairs(docs: DataFrame, text: str = "text", shingle: int = SHINGL
 def links(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Edges (a, b) between classes of ``docs`` that connect exactly those that similar pairs connect.
 
-    The first round takes pairs of near fingerprints, and each class with the smallest of one of its lists.
-    A list costs as many comparisons as it has pairs of members from different components after the first round:
-    few for a group of near copies of any size.
+    The first round takes pairs of near fingerprints, and each class with the leaders of most of its lists.
+    A list then costs as many comparisons as it has pairs of members from different components:
+    few for a group of near copies of any size. Sets are sent only for pairs whose parities allow it, and that what was
+    found before does not connect.
     """
     small_batches(docs.sparkSession)
     near = fingerprint_pairs(docs, text, shingle)
@@ -177,40 +230,69 @@ def links(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFr
     posted = postings.select("_class", "n", F.posexplode("keys").alias("at", "key"))
     lengths = posted.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("_class").alias("leader")).filter("members > 1").drop("members")
     listed = written(posted.join(lengths, "key"), "shingle-lists")
+    marked = written(postings.select("_class", "n", "parities", "short"), "shingle-parities")
     drop(postings)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The similar ones of pairs (a, b)."""
-        pairs = written(pairs.distinct(), "shingle-pairs")
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) that can be similar, a the larger, distinct."""
+        ends = [marked.select(F.col("_class").alias(c), F.struct("n", "parities").alias(f"_{c}")) for c in ("a", "b")]
+        met = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(ends[0], "a").join(ends[1], "b")
+        held = met.filter(able((F.col("_a.n"), F.col("_b.n")), (F.col("_a.parities"), F.col("_b.parities"))))
+        return written(held.select("a", "b"), "shingle-pairs")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """(_class, _set) of all classes of pairs (a, b)."""
         asked = written(pairs.select(F.explode(F.array("a", "b")).alias("_class")).distinct(), "shingle-asked")
-        sets = classified(docs.select(text), text, shingle, sets=True)
-        held = written(sets.join(broadcast_up_to(asked, 200_000), "_class", "left_semi").dropDuplicates(["_class"]), "shingle-sets")
-        both = pairs.join(held.select(F.col("_class").alias("a"), F.col("_set").alias("x")), "a").join(held.select(F.col("_class").alias("b"), F.col("_set").alias("y")), "b")
+        sets = classified(docs.select(text), text, shingle, sets=True, among=_bits_of(asked))
+        held = written(sets.dropDuplicates(["_class"]).join(asked, "_class", "left_semi"), "shingle-sets")
+        drop(asked)
+        return held
+
+    def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The similar ones of pairs (a, b)."""
+        both = pairs.join(sets.select(F.col("_class").alias("a"), F.col("_set").alias("x")), "a").join(sets.select(F.col("_class").alias("b"), F.col("_set").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
-        out = written(both.filter(shared * whole >= (F.size("x") + F.size("y") - shared) * part_).select("a", "b"), "shingle-links")
-        drop(pairs, asked, held)
-        return out
+        return written(both.filter(shared * whole >= (F.size("x") + F.size("y") - shared) * part_).select("a", "b"), "shingle-links")
+
+    def led(lists: DataFrame) -> DataFrame:
+        """Pairs of each class with the leaders of most of its lists."""
+        counts = lists.filter("_class <> leader").groupBy("_class", "leader").agg(F.count(F.lit(1)).alias("lists"))
+        best = F.slice(F.sort_array(F.collect_list(F.struct("lists", "leader")), False), 1, LEADERS)
+        return counts.groupBy(F.col("_class").alias("a")).agg(best.alias("best")).select("a", F.explode("best.leader").alias("b"))
 
-    led = listed.groupBy("_class").agg(F.min("leader").alias("b")).filter("_class <> b").select(F.col("_class").alias("a"), "b")
-    first = verified(led.unionAll(near))
+    pairs = likely(led(listed).unionAll(near))
     drop(near)
-    roots = components(first).withColumnRenamed("node", "_class")
+    sets = sets_of(pairs)
+    found = similar(pairs, sets)
+    drop(pairs, sets)
+    roots = components(found).withColumnRenamed("node", "_class")
     rooted = written(listed.drop("leader").join(roots, "_class", "left").withColumn("root", F.coalesce("root", "_class")), "shingle-rooted")
     drop(listed)
     # the largest component of a list meets the others only, so that its own members are not paired
     sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
     most = sizes.groupBy("key").agg(F.max(F.struct("rows", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
-    mixed_lists = written(rooted.join(most, "key"), "shingle-mixed")
+    short = marked.select("_class", *[F.col("short")[i].alias(f"p{i}") for i in range(SHORT)])
+    lists = written(rooted.join(most, "key").join(short, "_class"), "shingle-mixed")
     drop(rooted)
-    x, y = mixed_lists.filter("root <> most").alias("x"), mixed_lists.alias("y")
+    x, y = lists.filter("root <> most").alias("x"), lists.alias("y")
     least = (F.col("x.n") + F.col("y.n")) * part_ / (whole + part_)
     # what is left of either set from the shared shingle on holds all that they share, if it is the first
-    able = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= least - 1e-6
+    enough = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= least - 1e-6
     once = (F.col("y.root") == F.col("y.most")) | (F.col("x.root") < F.col("y.root"))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & able)
-    second = verified(pairs.select(F.col("x._class").alias("a"), F.col("y._class").alias("b")))
-    drop(mixed_lists)
-    return first.unionAll(second)
+    differ = sum(F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(SHORT))
+    enough &= differ * (whole + part_) <= (F.col("x.n") + F.col("y.n")) * (whole - part_)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & enough)
+    pairs = likely(met.select(F.col("x._class").alias("a"), F.col("y._class").alias("b")))
+    drop(lists, marked)
+    # a group whose members are still apart has the square of them in pairs: each goes first with its smallest, the others if still apart
+    sets = sets_of(pairs)
+    found = found.unionAll(similar(pairs.groupBy("a").agg(F.min("b").alias("b")), sets))
+    roots = components(found)
+    ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
+    apart = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+    found = found.unionAll(similar(apart.select("a", "b"), sets))
+    drop(pairs, sets)
+    return found
 
 
 def first_of_near_copies(docs: DataFrame, identifier: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -227,5 +309,7 @@ def first_of_near_copies(docs: DataFrame, identifier: str = "doc_id", text: str
     rooted = least.join(roots, "_class", "left").withColumn("root", F.coalesce("root", "_class"))
     chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_class")).alias("m")).select("m._id", "m._class")
     chosen = written(chosen, "shingle-first")
-    same = (rows["_class"] == chosen["_class"]) & rows["_id"].eqNullSafe(chosen["_id"])
-    return rows.join(chosen, same, "left_semi").dropDuplicates(["_class", "_id"]).select("row.*")
+    # a struct is never null and equals one of the same value or of none, so rows are dealt out once for the join and the duplicates
+    keys = ["_class", "_key"]
+    kept = rows.withColumn("_key", F.struct("_id")).join(chosen.select("_class", F.struct("_id").alias("_key")), keys, "left_semi")
+    return kept.dropDuplicates(keys).select("row.*")
