@@ -31,6 +31,7 @@ def watched_links(spark, monkeypatch, listed):
 
 
 def test_texts_that_share_a_passage_only_send_no_sets(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SAMPLE_ROWS", 0)  # else so few texts show that the passage is common
     draw = random.Random(3)
     passage = prose(draw, 12)
     apart = [[*prose(draw, 60), *passage, *prose(draw, 60)] for _ in range(40)]
